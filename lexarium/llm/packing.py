@@ -86,17 +86,16 @@ def pieces(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 20
     """Encode whole texts, add the end id, and cut those above the capacity; one row a piece."""
 
     def cut_up(batches):
-        encode, seen, pid = encoder(tokenizer, chunks).encode, np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        seen, pid = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            keys, ids, texts = b.column(0), b.column(1), b.column(2)
             out: list[list] = [[] for _ in range(8)]
-            for i in range(len(b)):
-                raw = encode(texts[i].as_py() or "") + end
+            for key, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder(tokenizer, chunks).encode_many(b.column(2).to_pylist()), strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     n = len(part) // 4
-                    for column, value in zip(out, (keys[i].as_py(), ids[i].as_py(), k, at // 4, n, zlib.crc32(part), pid, int(seen[n])), strict=True):
+                    for column, value in zip(out, (key, doc_id, k, at // 4, n, zlib.crc32(part), pid, int(seen[n])), strict=True):
                         column.append(value)
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["row_key", "doc_id", "piece", "start", "length", "ids_crc32", "pid", "place"])

@@ -150,21 +150,19 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, chunks: str = "", e
         out = writer = None
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            encode = encoder(tokenizer, chunks).encode
-            for i in range(len(b)):
+            for doc_id, raw in zip(b.column(0).to_pylist(), encoder(tokenizer, chunks).encode_many(b.column(1).to_pylist()), strict=True):
                 if writer is None:
                     uri = f"{path}/{context.partitionId():06d}-{context.taskAttemptId()}.tok"
                     out = _open(uri, "w")
                     writer = ShardWriter(out, width)
-                writer.add(ids[i].as_py(), np.frombuffer(encode(texts[i].as_py() or "") + end, "<u4"))
+                writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "uri": uri, "documents": writer.documents, "tokens": writer.tokens}], schema=pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    written = cut(rows.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, uri string, documents long, tokens long"))
+    written = cut(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, uri string, documents long, tokens long"))
     found, before = [], 0
     for r in sorted(written.collect()):  # one row a shard
         found.append((*r, before))

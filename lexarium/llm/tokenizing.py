@@ -10,11 +10,17 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 
 #: Characters that some library counts as white space, besides space, \\t, \\n, \\v, \\f and \\r.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Words, how a tokenizer takes white space: "spaces" keeps one space before a word with it, "words" drops all.
+_CONTROL = re.compile("[\x1c-\x1f]")
 _CHUNKS = {"spaces": re.compile(r" ?[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]"), "words": re.compile(r"[^ \t\n\v\f\r]+")}
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
+#: How byte-level vocabularies write bytes: visible characters stand for themselves, others for those from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _open: dict[tuple, Encoder] = {}
 
 
@@ -28,7 +34,8 @@ def _bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
-    ``chunks`` is "spaces", "words" or "" (whole texts, right for any tokenizer). The chunk cache of a worker is
+    ``chunks`` is "spaces" (a byte-level vocabulary whose words take one space before them), "words" (the same,
+    lower-cased, white space dropped) or "" (whole texts, right for any tokenizer). The chunk cache of a worker is
     bounded by ``cache`` entries of at most 64 characters.
     """
 
@@ -37,33 +44,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.limit, self.known = _CHUNKS.get(chunks), cache, {}
+        self.chunks, self.limit, self.known, self.lower = _CHUNKS.get(chunks), cache, {}, chunks == "words"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if len(texts) == 1:
-            encoded = [self.tokenizer.encode(texts[0], add_special_tokens=False)]
-        else:
-            encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [_bytes(e.ids) for e in encoded]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 64):
+            out += [_bytes(e.ids) for e in self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Add the ids of unseen chunks to the cache.
+
+        Latin letters with plain punctuation behind them, if any, are what either pre-tokenizer makes one or two
+        pieces of; these go to the tokenizer's model directly, which saves its normalisation and bookkeeping.
+        """
+        known, rest, model = self.known, [], self.tokenizer.model
+        for p in new:
+            m = _PLAIN.fullmatch(p)
+            if m is None:
+                rest.append(p)
+                continue
+            word, tail = m.groups()
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._piece(model, word)
+            if tail:
+                end = known.get(tail)
+                if end is None:
+                    end = known[tail] = self._piece(model, tail)
+                known[p] = ids + end
+        if rest:
+            known.update(zip(rest, self._ids(rest), strict=True))
+
+    def _piece(self, model, piece: str) -> bytes:
+        if self.lower:
+            piece = piece.lower()
+        return _bytes([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))])
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.chunks is None or not text.isascii() and _ODD.search(text) or text.isascii() and re.search("[\x1c-\x1f]", text):
-            return self._ids([text])[0]
-        known, pieces = self.known, self.chunks.findall(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._ids(new), strict=True))
-            out = b"".join([known[p] for p in pieces])
-            for p in new:
-                if len(p) > 64:
-                    del known[p]
-            return out
-        return b"".join([known[p] for p in pieces])
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: Iterable[str | None], slice_chars: int = 1 << 18) -> Iterator[bytes]:
+        """The ids of each text, in order; null counts as empty. Works on slices of texts together."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= slice_chars:
+                yield from self._slice(held)
+                held, size = [], 0
+        yield from self._slice(held)
+
+    def _slice(self, texts: list[str]) -> Iterator[bytes]:
+        if self.chunks is None:
+            yield from self._ids(texts) if texts else ()
+            return
+        whole = [bool((_CONTROL if t.isascii() else _ODD).search(t)) for t in texts]
+        pieces = [[] if w else self.chunks.findall(t) for t, w in zip(texts, whole, strict=True)]
+        distinct = set().union(*pieces)
+        new = list(distinct.difference(self.known))
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(distinct)
+        known = self.known
+        self._learn(new)
+        for text, w, own in zip(texts, whole, pieces, strict=True):
+            yield self._ids([text])[0] if w else b"".join(map(known.__getitem__, own))
+        for p in new:
+            if len(p) > 64:
+                known.pop(p, None)
 
 
 def encoder(path: str, chunks: str) -> Encoder:
