@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import packing, tokenfile
+from lexarium.llm import chat, jaccard_join, mixing, packing, quality_rules, tokenfile
 from lexarium.llm.tokenizing import public_path
 
 
@@ -20,9 +20,31 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "words")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+#: Target weights of the mixture; sources that are not named share the rest alike.
+MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_output, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_output, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality_rules.ORACLE, "op10_pfair_mixing": mixing.oracle(MIX_WEIGHTS, 64, 1000)}

@@ -120,7 +120,7 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     place = np.arange(out_at[-1]) - np.repeat(out_at[:-1] - at[:-1], counts)
     out = mix(total[place])
     for i in np.flatnonzero((lengths > 0) & (lengths < k)):
-        value, factor = lengths[i] * 0x2545F4914F6CDD1D, 1
+        value, factor = int(lengths[i]) * 0x2545F4914F6CDD1D, 1
         for w in words[at[i] : at[i + 1]].tolist():
             value += w * factor
             factor = factor * 0xD6E8FEB86659FD93 % 2**64
