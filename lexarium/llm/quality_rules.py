@@ -20,6 +20,7 @@ from lexarium.session import cut
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 #: So many frequent lines at most are sent to all executors (8 bytes each); more are joined by hash and host.
 MOST_BROADCAST = 100_000
 
@@ -79,15 +80,17 @@ def judged(docs: DataFrame, min_docs: int = 20, share: float = 0.05, min_words:
     rows = rows.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", same), lambda x: x["i"])))
     rows = rows.withColumn("_n_repeat_words", F.aggregate(F.transform("_places", lambda p, k: F.least(F.lit(window), F.coalesce(F.get("_places", k + 1), p + window) - p)), F.lit(0).cast("long"), lambda s, x: s + x))
     failed = (F.col("_n_words") < min_words) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * repeat_percent)
-    return rows.withColumns({"_base_failed": failed, "_kept": ~failed & (F.col("_removed_words") * 100 <= F.col("_n_words") * depleted_percent)})
+    rows = rows.withColumns({"_base_failed": failed, "_kept": ~failed & (F.col("_removed_words") * 100 <= F.col("_n_words") * depleted_percent)})
+    # Behind a generator no filter of a caller is pushed down: it would repeat the array expressions inside each other.
+    found = F.explode(F.array(F.struct("_removed", *(f"_{n}" for n in COUNTS)))).alias("_found")
+    return rows.select(*docs.columns, "_text", found).select(*docs.columns, "_text", "_found.*")
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """One row a document: id, counts, base_failed, removed_words and kept."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
     slim = docs.select(docs[limits.get("id_col", "doc_id")].alias("doc_id"), docs[limits.get("text_col", "text")].alias("text"), docs[limits.get("host_col", "source")].alias("source"))
     own = {k: v for k, v in limits.items() if not k.endswith("_col")}
-    return judged(slim, **own).select("doc_id", *(F.col(f"_{n}").alias(n) for n in names))
+    return judged(slim, **own).select("doc_id", *(F.col(f"_{n}").alias(n) for n in COUNTS))
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
