@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.llm import textkernel as tk
+from lexarium.llm.batches import batch_rows
 from lexarium.llm.graph import components
+from lexarium.llm.marks import marked, places, unpacked
 from lexarium.session import cut
 
 #: Counters of the frequency sketch: 4 MB, whatever the input.
 SKETCH_BITS = 20
 _BLOCK_BITS = 14
+#: Pairs of sets a worker holds at once.
+VERIFY_ROWS = 128
 #: Leaders a list may name in round 1, and links a member may have to them.
 LEADERS, LINKS = 8, 4
 
@@ -148,27 +152,47 @@ def _lists(batches, names: list[str], most: int = 2_000_000):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _shared(batches):
-    """Drop index lists with one class, and repeated entries of a class."""
-    names = ["token", "f1", "f2", "n", "pos"]
-    for t, f1, f2, n, pos in _lists(batches, names):
-        keep = np.ones(len(t), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
-        t, f1, f2, n, pos = (x[keep] for x in (t, f1, f2, n, pos))
-        same = t[1:] == t[:-1]
-        multi = np.zeros(len(t), bool)
-        multi[1:] |= same
-        multi[:-1] |= same
-        if multi.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (t, f1, f2, n, pos)], names)
-
-
 def _passes(n, pos, i, j, percent):
     """Size and position filter of entries i < j of one list, sorted by size."""
     need = needed(n[i], n[j], percent)
     return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need  # the shared shingle and all behind it
 
 
+def _walk(t, n, pos, percent):
+    """(i, j) of all pairs of entries of one list, i before j, that pass size and position; step by step.
+
+    Lists are sorted by size, so an entry whose partner is too large leaves the walk: all later ones are larger.
+    """
+    ends = np.searchsorted(t, t, "right")
+    live, step = np.arange(len(t)), 0
+    while True:
+        step += 1
+        live = live[live + step < ends[live]]
+        live = live[100 * n[live] >= percent * n[live + step]]
+        if not len(live):
+            return
+        good = live[_passes(n, pos, live, live + step, percent)]
+        yield good, good + step
+
+
+def _shared(percent: int):
+    """Keep the entries of index lists that some other class's entry passes the filters with, one a class."""
+    names = ["token", "f1", "f2", "n", "pos"]
+
+    def run(batches):
+        for t, f1, f2, n, pos in _lists(batches, names):
+            keep = np.ones(len(t), bool)
+            keep[1:] = (t[1:] != t[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
+            t, f1, f2, n, pos = (x[keep] for x in (t, f1, f2, n, pos))
+            met = np.zeros(len(t), bool)
+            for i, j in _walk(t, n, pos, percent):
+                met[i] = met[j] = True
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (t, f1, f2, n, pos)], names)
+
+    return run
+
+
 def _leaders(percent: int):
     """Round 1: links of each list's members to at most a few leaders of the list."""
 
@@ -206,17 +230,11 @@ def _across(percent: int):
 
     def run(batches):
         for t, doc, n, pos, comp in _lists(batches, ["token", "doc", "n", "pos", "comp"], 500_000):
-            ends = np.searchsorted(t, t, "right")
-            live, step, found = np.arange(len(t)), 0, []
-            while len(live):
-                step += 1
-                live = live[live + step < ends[live]]
-                live = live[100 * n[live] >= percent * n[live + step]]  # all later ones are larger still
-                other = live + step
-                i = live[(comp[live] != comp[other]) & _passes(n, pos, live, other, percent)]
-                if len(i):
-                    a, b = doc[i], doc[i + step]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            found = []
+            for i, j in _walk(t, n, pos, percent):
+                apart = comp[i] != comp[j]
+                a, b = doc[i[apart]], doc[j[apart]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
                 if sum(map(len, found)) > 2_000_000:
                     found = [np.unique(np.concatenate(found), axis=0)]
             if found:
@@ -226,11 +244,16 @@ def _across(percent: int):
     return run
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, marks):
+    """Sets of the rows whose id is marked; a few others pass and are dropped by the join that follows."""
+
     def run(batches):
+        bits = unpacked(marks)
         for b in batches:
-            rows = [s.tobytes() if _fingerprint(s) == (f1, f2) else None for (_, s), f1, f2 in zip(_sets(b.column("text"), k), b.column("f1").to_pylist(), b.column("f2").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary())], ["doc", "items"]).filter(pa.array([r is not None for r in rows], pa.bool_()))
+            b = b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
+            sets = [s for _, s in _sets(b.column(1), k)]
+            prints = [_fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in prints], pa.int64()), pa.array([f[1] for f in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "f1", "f2", "items"])
 
     return run
 
@@ -264,22 +287,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     classes = cut(profiles.where("doc_id is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc")))
 
     lists = texts.where("doc_id is not null").select("text").mapInArrow(_postings(k, percent, order), "token long, f1 long, f2 long, n long, pos int")
-    shared = lists.repartition("token").sortWithinPartitions("token", "n", "f1", "f2").mapInArrow(_shared, "token long, f1 long, f2 long, n long, pos int")
+    shared = lists.repartition("token").sortWithinPartitions("token", "n", "f1", "f2").mapInArrow(_shared(percent), "token long, f1 long, f2 long, n long, pos int")
     entries = cut(shared.join(classes, ["f1", "f2", "n"]).select("token", "doc", "n", "pos"))
-    wanted = classes.join(entries.select("doc").distinct(), "doc").select(F.col("doc").alias("doc_id"), "f1", "f2")
-    sets = cut(texts.join(wanted, "doc_id").mapInArrow(_set_rows(k), "doc long, items binary"))
+    wanted = cut(classes.join(entries.select("doc").distinct(), "doc").select("doc", "f1", "f2"))
+    marks = marked(wanted.select("doc"))
+    sets = texts.where("doc_id is not null").mapInArrow(_set_rows(k, marks), "doc long, f1 long, f2 long, items binary")
+    sets = cut(sets.join(wanted, ["doc", "f1", "f2"]).select("doc", "items"))
 
     def links(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("doc").alias("u"), F.col("items").alias("left")), "u")
-        return left.join(sets.select(F.col("doc").alias("v"), F.col("items").alias("right")), "v").mapInArrow(_verify(percent), "u long, v long")
+        both = left.join(sets.select(F.col("doc").alias("v"), F.col("items").alias("right")), "v")
+        with batch_rows(spark, VERIFY_ROWS):
+            return cut(both.mapInArrow(_verify(percent), "u long, v long"))
 
     walked = entries.repartition("token").sortWithinPartitions("token", "n", "doc")
     tried = cut(walked.mapInArrow(_leaders(percent), "u long, v long").distinct())
-    edges = cut(links(tried))
+    edges = links(tried)
     known = components(edges)
     labelled = entries.join(known, entries.doc == known.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
     rest = labelled.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_across(percent), "u long, v long").distinct()
-    more = cut(links(rest.join(tried, ["u", "v"], "left_anti")))
+    more = links(rest.join(tried, ["u", "v"], "left_anti"))
     final = components(edges.union(more))
     named = classes.join(final, classes.doc == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "doc").alias("component"))
     out = profiles.join(named, ["f1", "f2", "n"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import chat, jaccard_join, mixing, packing, quality_rules, tokenfile
+from lexarium.llm import chat, jaccard_join, mixing, packing, quality_rules, suffix_dedup, tokenfile
 from lexarium.llm.tokenizing import public_path
 
 
@@ -24,6 +24,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), 400)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_output, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
