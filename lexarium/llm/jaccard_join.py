@@ -245,15 +245,23 @@ def _across(percent: int):
 
 
 def _set_rows(k: int, marks):
-    """Sets of the rows whose id is marked; a few others pass and are dropped by the join that follows."""
+    """Sets of the rows whose id is marked; a few others pass too and are never asked for."""
 
     def run(batches):
         bits = unpacked(marks)
         for b in batches:
             b = b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
             sets = [s for _, s in _sets(b.column(1), k)]
-            prints = [_fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in prints], pa.int64()), pa.array([f[1] for f in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "f1", "f2", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "items"])
+
+    return run
+
+
+def _only(marks):
+    def run(batches):
+        bits = unpacked(marks)
+        for b in batches:
+            yield b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
 
     return run
 
@@ -289,14 +297,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     lists = texts.where("doc_id is not null").select("text").mapInArrow(_postings(k, percent, order), "token long, f1 long, f2 long, n long, pos int")
     shared = lists.repartition("token").sortWithinPartitions("token", "n", "f1", "f2").mapInArrow(_shared(percent), "token long, f1 long, f2 long, n long, pos int")
     entries = cut(shared.join(classes, ["f1", "f2", "n"]).select("token", "doc", "n", "pos"))
-    wanted = cut(classes.join(entries.select("doc").distinct(), "doc").select("doc", "f1", "f2"))
-    marks = marked(wanted.select("doc"))
-    sets = texts.where("doc_id is not null").mapInArrow(_set_rows(k, marks), "doc long, f1 long, f2 long, items binary")
-    sets = cut(sets.join(wanted, ["doc", "f1", "f2"]).select("doc", "items"))
+    marks = marked(entries.select("doc"))
+    sets = cut(texts.where("doc_id is not null").mapInArrow(_set_rows(k, marks), "doc long, items binary"))
+
+    def side(pairs: DataFrame, key: str, items: str) -> DataFrame:
+        """The sets of one side's documents; most others are left out before the shuffle."""
+        return sets.mapInArrow(_only(marked(pairs.select(key))), "doc long, items binary").select(F.col("doc").alias(key), F.col("items").alias(items))
 
     def links(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("doc").alias("u"), F.col("items").alias("left")), "u")
-        both = left.join(sets.select(F.col("doc").alias("v"), F.col("items").alias("right")), "v")
+        both = pairs.join(side(pairs, "u", "left"), "u").join(side(pairs, "v", "right"), "v")
         with batch_rows(spark, VERIFY_ROWS):
             return cut(both.mapInArrow(_verify(percent), "u long, v long"))
 
@@ -306,7 +315,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     known = components(edges)
     labelled = entries.join(known, entries.doc == known.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
     rest = labelled.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_across(percent), "u long, v long").distinct()
-    more = links(rest.join(tried, ["u", "v"], "left_anti"))
+    more = links(cut(rest.join(tried, ["u", "v"], "left_anti")))
     final = components(edges.union(more))
     named = classes.join(final, classes.doc == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "doc").alias("component"))
     out = profiles.join(named, ["f1", "f2", "n"], "left")

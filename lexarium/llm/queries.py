@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import chat, jaccard_join, mixing, packing, quality_rules, suffix_dedup, tokenfile
+from lexarium.llm import chat, jaccard_join, lm_scoring, mixing, packing, quality_rules, suffix_dedup, tokenfile
 from lexarium.llm.tokenizing import public_path
 
 
@@ -16,6 +16,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "spaces")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "words")
 
@@ -47,7 +51,7 @@ MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op5_lm_scoring, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
