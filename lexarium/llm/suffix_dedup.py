@@ -38,6 +38,8 @@ _PLACE = np.uint64(24)
 #: Starts worked on at once in a long text; places within fit in 24 bits.
 _STRETCH = 1 << 22
 _TOKENS = 4
+#: Suffixes sorted at once; the groups of one gram that hold more are sorted by phases.
+SUFFIXES = 300_000
 _RUN = "ka long, kb long, s0 int, s1 int, anchor int, gram long"
 
 
@@ -172,18 +174,20 @@ def multikey_ties(lead: np.ndarray, token, tokens: int) -> np.ndarray:
 
     Multikey quicksort over arrays: sort by one token, then go on with each group of ties at the next.
     """
+    out = np.zeros(len(lead), bool)
     which, group = np.arange(len(lead)), lead
     for k in range(tokens + 1):
+        if not len(which):
+            return out
         order = np.argsort(group, kind="stable")
         which, group = which[order], group[order]
         same = group[1:] == group[:-1]
         tied = np.r_[False, same] | np.r_[same, False]
         which, group = which[tied], group[tied]
-        if not len(which) or k == tokens:
+        if k == tokens:
             break
         rank = np.cumsum(np.r_[True, group[1:] != group[:-1]]).astype(np.uint64)
         group = tk.mix(token(k, which) ^ tk.mix(rank))
-    out = np.zeros(len(lead), bool)
     out[which] = True
     return out
 
@@ -192,27 +196,34 @@ def _compare(length: int):
     def run(batches):
         names = ["gram", "ka", "kb", "s0", "phase", "bytes"]
         step = -(-length // _TOKENS)
-        for gram, ka, kb, s0, phase, raw in _lists(batches, names, 10_000):
+        for gram, ka, kb, s0, phase, raw in _lists(batches, names, 4_000):
             size = np.array([len(x) for x in raw], np.int64)
             at = np.r_[0, np.cumsum(size)]
             prefix = tk.prefix_hash(np.frombuffer(b"".join(raw), np.uint8), tk.EXACT)
             count = size - length + 1
-            row = np.repeat(np.arange(len(size)), count)
-            j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = at[row] + j
-            lead = tk.mix(gram[row].view(np.uint64) ^ tk.mix((phase[row] - j).astype(np.uint64)))
-
-            def token(k, which, prefix=prefix, start=start):
-                a = start[which] + min(k * step, length - step)
-                return tk.range_hash(prefix, a, a + step)
-
-            tied = np.flatnonzero(multikey_ties(lead, token, _TOKENS))
-            if not len(tied):
-                continue
-            cuts = np.flatnonzero((np.diff(tied) != 1) | (np.diff(row[tied]) != 0))
-            a, z = tied[np.r_[0, cuts + 1]], tied[np.r_[cuts, len(tied) - 1]]
-            r = row[a]
-            yield pa.RecordBatch.from_arrays([pa.array(ka[r]), pa.array(kb[r]), pa.array((s0[r] + j[a]).astype(np.int32)), pa.array((s0[r] + j[z] + length).astype(np.int32))], ["ka", "kb", "start", "end"])
+            # suffixes tie within a phase (their distance from the anchor) only, so phases are taken some at a time
+            low = int((phase - count).min()) + 1
+            blocks = max(1, int(count.sum()) // SUFFIXES)
+            edges = np.linspace(low, int(phase.max()) + 1, blocks + 1).astype(np.int64)
+            for p0, p1 in zip(edges[:-1], edges[1:], strict=True):
+                begin = np.maximum(0, phase - p1 + 1)
+                own = np.maximum(0, np.minimum(count - 1, phase - p0) - begin + 1)
+                row = np.repeat(np.arange(len(size)), own)
+                j = begin[row] + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                start = at[row] + j
+                lead = tk.mix(gram[row].view(np.uint64) ^ tk.mix((phase[row] - j).astype(np.uint64)))
+
+                def token(k, which, prefix=prefix, start=start):
+                    a = start[which] + min(k * step, length - step)
+                    return tk.range_hash(prefix, a, a + step)
+
+                tied = np.flatnonzero(multikey_ties(lead, token, _TOKENS))
+                if not len(tied):
+                    continue
+                cuts = np.flatnonzero((np.diff(tied) != 1) | (np.diff(row[tied]) != 0))
+                a, z = tied[np.r_[0, cuts + 1]], tied[np.r_[cuts, len(tied) - 1]]
+                r = row[a]
+                yield pa.RecordBatch.from_arrays([pa.array(ka[r]), pa.array(kb[r]), pa.array((s0[r] + j[a]).astype(np.int32)), pa.array((s0[r] + j[z] + length).astype(np.int32))], ["ka", "kb", "start", "end"])
 
     return run
 
