@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import chat, jaccard_join, lm_scoring, mixing, packing, quality_rules, suffix_dedup, tokenfile
+from lexarium.llm import ann_search, chat, jaccard_join, lm_scoring, mixing, packing, quality_rules, suffix_dedup, tokenfile
 from lexarium.llm.tokenizing import public_path
 
 
@@ -36,6 +36,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_search.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
@@ -51,7 +56,7 @@ MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op5_lm_scoring, op6_best_fit_packing, op7_quality_rules, op9_chat_formatting, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op5_lm_scoring, op6_best_fit_packing, op7_quality_rules, op8_ann_search, op9_chat_formatting, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
