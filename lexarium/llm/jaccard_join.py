@@ -5,13 +5,14 @@ are put into index lists under the rarest shingles of their sets (a prefix long
 one); a list is sorted by set size and walked in steps, and whole stretches of it are skipped by size and by the
 shingle's position in either set. Two rounds use the relation between sets:
 
-1. Each list yields links from every member to a few leaders only; these are verified exactly.
+1. Each list yields only the pairs that lie certain steps apart in it; these are verified exactly.
 2. Members whose answers the first round already relates (same component) are skipped as a block; only pairs of
-   different components are still generated, filtered and verified.
+   different components are still generated, filtered (also by parity bitmaps, which bound the difference of
+   two sets from below) and verified.
 
 So a group of thousands of near copies costs pairs in proportion to its members where it hangs together, and no
-link between different components is lost. The order of shingles by frequency comes from a sketch of fixed size;
-any order gives the same result.
+link between different components is lost. The order of shingles by frequency comes from a sketch of fixed size; any
+order gives the same result.
 
 Rows: null or empty texts, and texts without words, have empty sets and link with nothing. Rows with a null id
 have a set but take no part in links; their component is null. Rows come back one for one; those that share an id
@@ -39,8 +40,12 @@ SKETCH_BITS = 20
 _BLOCK_BITS = 14
 #: Pairs of sets a worker holds at once.
 VERIFY_ROWS = 128
-#: Leaders a list may name in round 1, and links a member may have to them.
-LEADERS, LINKS = 8, 4
+#: How far apart in a list the pairs of round 1 lie.
+STEPS = (1, 2, 3, 4, 6, *(2 * 3**i for i in range(2, 16)))
+#: Bits of a set's parity bitmap.
+BITMAP = 1024
+#: Entries of lists a worker takes at once; a longer list comes whole.
+LIST_ROWS = 200_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,57 +198,71 @@ def _shared(percent: int):
     return run
 
 
-def _leaders(percent: int):
-    """Round 1: links of each list's members to at most a few leaders of the list."""
+def _entries(batches, names, most):
+    """Lists with their bitmaps as rows of 64-bit words."""
+    for *columns, bits in _lists(batches, [*names, "bits"], most):
+        yield *columns, np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
+
+def _near(n, bits, i, j, percent):
+    """Bitmap filter: differing parity bits are at most as many as differing shingles."""
+    return np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= n[i] + n[j] - 2 * needed(n[i], n[j], percent)
+
+
+def _pairs(found: list[np.ndarray]):
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def _sorted_pairs(a, b):
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+
+def _neighbours(percent: int):
+    """Round 1: pairs of entries that lie STEPS apart in their list."""
 
     def run(batches):
-        for t, doc, n, pos in _lists(batches, ["token", "doc", "n", "pos"]):
-            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            ends = np.r_[starts[1:], len(t)]
-            first, second = [], []
-            lead = starts.copy()
-            for _ in range(LEADERS):
-                live = lead < ends
-                starts_l, ends_l = lead[live], ends[live]
-                if not len(starts_l):
-                    break
-                length = ends_l - starts_l - 1
-                i = np.repeat(starts_l, length)
-                j = i + 1 + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                fits = (100 * n[i] >= percent * n[j]) & _passes(n, pos, i, j, percent)
-                first.append(doc[i[fits]])
-                second.append(doc[j[fits]])
-                lead = np.where(live, lead + np.maximum(1, (ends - starts) // LEADERS), lead)
-            a, b = np.concatenate(first), np.concatenate(second)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
-            begin = np.r_[True, pairs[1:, 1] != pairs[:-1, 1]] if len(pairs) else np.zeros(0, bool)
-            rank = np.arange(len(pairs)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] if len(pairs) else begin
-            pairs = pairs[rank < LINKS]  # a member's first links are enough here
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        for t, doc, n, pos, bits in _entries(batches, ["token", "doc", "n", "pos"], LIST_ROWS):
+            ends, found = np.searchsorted(t, t, "right"), []
+            for step in STEPS:
+                i = np.flatnonzero(np.arange(len(t)) + step < ends)
+                i = i[(100 * n[i] >= percent * n[i + step]) & _passes(n, pos, i, i + step, percent)]
+                i = i[_near(n, bits, i, i + step, percent)]
+                found.append(_sorted_pairs(doc[i], doc[i + step]))
+            yield _pairs(found)
 
     return run
 
 
 def _across(percent: int):
-    """Round 2: all pairs of a list whose components differ and that size and position let pass."""
+    """Round 2: all pairs of a list whose components differ and that size, position and bitmap let pass."""
 
     def run(batches):
-        for t, doc, n, pos, comp in _lists(batches, ["token", "doc", "n", "pos", "comp"], 500_000):
-            found = []
+        for t, doc, n, pos, comp, bits in _entries(batches, ["token", "doc", "n", "pos", "comp"], LIST_ROWS):
+            found = [np.zeros((0, 2), np.int64)]
             for i, j in _walk(t, n, pos, percent):
                 apart = comp[i] != comp[j]
-                a, b = doc[i[apart]], doc[j[apart]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                i, j = i[apart], j[apart]
+                good = _near(n, bits, i, j, percent)
+                found.append(_sorted_pairs(doc[i[good]], doc[j[good]]))
                 if sum(map(len, found)) > 2_000_000:
                     found = [np.unique(np.concatenate(found), axis=0)]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            yield _pairs(found)
 
     return run
 
 
+def _bitmaps(batches):
+    """The parity of the shingles that fall on each of BITMAP bits."""
+    for b in batches:
+        rows = []
+        for raw in b.column("items"):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+            rows.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(rows, pa.binary())], ["doc", "bits"])
+
+
 def _set_rows(k: int, marks):
     """Sets of the rows whose id is marked; a few others pass too and are never asked for."""
 
@@ -309,11 +328,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         with batch_rows(spark, VERIFY_ROWS):
             return cut(both.mapInArrow(_verify(percent), "u long, v long"))
 
-    walked = entries.repartition("token").sortWithinPartitions("token", "n", "doc")
-    tried = cut(walked.mapInArrow(_leaders(percent), "u long, v long").distinct())
+    with batch_rows(spark, 1000):
+        lists = cut(entries.join(sets.mapInArrow(_bitmaps, "doc long, bits binary"), "doc"))
+    tried = cut(lists.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_neighbours(percent), "u long, v long").distinct())
     edges = links(tried)
     known = components(edges)
-    labelled = entries.join(known, entries.doc == known.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
+    labelled = lists.join(known, lists.doc == known.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"), "bits")
     rest = labelled.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_across(percent), "u long, v long").distinct()
     more = links(cut(rest.join(tried, ["u", "v"], "left_anti")))
     final = components(edges.union(more))
