@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import ann_search, chat, jaccard_join, lm_scoring, mixing, packing, quality_rules, suffix_dedup, tokenfile
+from lexarium.llm import ann_search, chat, jaccard_join, lm_scoring, mixing, packing, quality_classifier, quality_rules, suffix_dedup, tokenfile
 from lexarium.llm.tokenizing import public_path
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "spaces")
 
@@ -56,7 +60,7 @@ MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op4_token_output, op5_lm_scoring, op6_best_fit_packing, op7_quality_rules, op8_ann_search, op9_chat_formatting, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_classifier, op4_token_output, op5_lm_scoring, op6_best_fit_packing, op7_quality_rules, op8_ann_search, op9_chat_formatting, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
