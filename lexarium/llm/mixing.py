@@ -96,11 +96,11 @@ s4 AS (SELECT source, 1 + floor(e)::BIGINT AS a, row_number() OVER (ORDER BY flo
 sh AS (SELECT source, a + (r <= {quantum} - (SELECT sum(a) FROM s4))::BIGINT AS a FROM s4),
 l AS (SELECT list(source ORDER BY source) AS ss, list(a ORDER BY source) AS aa FROM sh),
 e(t, n, pick, k) AS (
-  SELECT -1::BIGINT, list_transform(aa, x -> 0::BIGINT), 0::BIGINT, -1::BIGINT FROM l
+  SELECT -1::BIGINT, list_transform(aa, lambda x: 0::BIGINT), 0::BIGINT, -1::BIGINT FROM l
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(n) + 1), i -> n[i] + (i = p)::BIGINT), p, n[p]
-  FROM (SELECT t, n, list_sort(list_transform(list_filter(range(1, len(n) + 1), i -> n[i] < aa[i] AND n[i] * {quantum} // aa[i] <= t + 1),
-               i -> {{'d': ((n[i] + 1) * {quantum} + aa[i] - 1) // aa[i], 'i': i}}))[1].i AS p FROM e, l WHERE t < {quantum} - 1)),
+  SELECT t + 1, list_transform(range(1, len(n) + 1), lambda i: n[i] + (i = p)::BIGINT), p, n[p]
+  FROM (SELECT t, n, list_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] < aa[i] AND n[i] * {quantum} // aa[i] <= t + 1),
+               lambda i: {{'d': ((n[i] + 1) * {quantum} + aa[i] - 1) // aa[i], 'i': i}}))[1].i AS p FROM e, l WHERE t < {quantum} - 1)),
 tab AS (SELECT ss[pick] AS source, k, t AS s FROM e, l WHERE t >= 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY b, doc_id) - 1 AS source_rank FROM d)
 SELECT doc_id, r.source, source_rank, source_rank // {block} AS block, (source_rank // {block}) * {quantum} // a AS release_slot,

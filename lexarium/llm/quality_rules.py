@@ -104,8 +104,8 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 l AS (SELECT rid, host, unnest(ls) AS raw, generate_subscripts(ls, 1) AS k FROM d),
 n AS (SELECT rid, host, k, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM l),
@@ -113,7 +113,7 @@ freq AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS c FROM n GROUP BY ALL)
   JOIN (SELECT host, count(*) AS hd FROM d GROUP BY host) USING (host) WHERE c > 20 AND c > hd * 0.05),
 gone AS (
-  SELECT rid, sum(len(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), x -> x <> ''))) AS removed_words
+  SELECT rid, sum(len(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS removed_words
   FROM n SEMI JOIN freq USING (host, line) GROUP BY rid),
 g AS (SELECT rid, i, w[i:i+7] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
