@@ -38,6 +38,8 @@ from lexarium.session import cut
 #: Counters of the frequency sketch: 4 MB, whatever the input.
 SKETCH_BITS = 20
 _BLOCK_BITS = 14
+#: Sets are compared pair by pair on 48 bits of each hash: with n shingles each, n * n / 2**48 wrong matches are expected.
+_CUT = np.uint64(16)
 #: Pairs of sets a worker holds at once.
 VERIFY_ROWS = 128
 #: How far apart in a list the pairs of round 1 lie.
@@ -257,7 +259,7 @@ def _bitmaps(batches):
     for b in batches:
         rows = []
         for raw in b.column("items"):
-            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            s = tk.unpack_keys(raw.as_buffer())
             odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
             rows.append(np.packbits(odd.astype(np.uint8)).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(rows, pa.binary())], ["doc", "bits"])
@@ -271,7 +273,7 @@ def _set_rows(k: int, marks):
         for b in batches:
             b = b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
             sets = [s for _, s in _sets(b.column(1), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tk.pack_keys(s >> _CUT) for s in sets], pa.binary())], ["doc", "items"])
 
     return run
 
@@ -291,7 +293,7 @@ def _verify(percent: int):
             left, right = b.column("left"), b.column("right")
             good = []
             for i in range(len(b)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = tk.unpack_keys(left[i].as_buffer()), tk.unpack_keys(right[i].as_buffer())
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows
+from lexarium.llm.textkernel import pack_keys, unpack_keys
 from lexarium.session import cut
 
 #: Size of the filter, 32 MB, and bit probes of an entry.
@@ -44,17 +45,6 @@ _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _CUTOFFS = sorted({int(2**k * f) for k in range(1, 34) for f in (1, 1.5)})
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys, as differences by byte plane."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
 def pack_counts(counts: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
