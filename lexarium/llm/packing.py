@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lexarium.llm.tokenizing import encoder
 from lexarium.session import cut
 
+#: Chunks an idle worker goes on to hold in the encoder's cache.
+CACHE = 500_000
 _PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long, pid int, place long"
 
 
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 20
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for key, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder(tokenizer, chunks).encode_many(b.column(2).to_pylist()), strict=True):
+            for key, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder(tokenizer, chunks, CACHE).encode_many(b.column(2).to_pylist()), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]

@@ -116,13 +116,13 @@ class Encoder:
                 known.pop(p, None)
 
 
-def encoder(path: str, chunks: str) -> Encoder:
-    """The worker's encoder of a vocabulary file; opened once a process."""
+def encoder(path: str, chunks: str, cache: int = 1_200_000) -> Encoder:
+    """The worker's encoder of a vocabulary file; opened once a process. An entry of its cache takes about 200 bytes."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, chunks) not in _open:
-        _open[path, chunks] = Encoder(path, chunks)
+        _open[path, chunks] = Encoder(path, chunks, cache)
     return _open[path, chunks]
 
 
