@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexarium.operators import tokens as T
+from lexarium.session import cut
 
 
 class Index:
@@ -130,12 +131,14 @@ def random_walk(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Da
     n = nodes.count()
     flow = edges.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("w"))
     sources = edges.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
-    base = nodes.join(sources, "node", "left")
+    base = cut(nodes.join(sources, "node", "left"))
+    flow = cut(flow)
     rank = base.withColumn("score", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
         got = flow.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
-        rank = base.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+        new = base.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+        rank = cut(new)  # used twice in the next round
     return rank.select("node", "score")
 
 

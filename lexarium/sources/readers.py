@@ -64,7 +64,7 @@ def tagged(spark: SparkSession, path: str, first: str = ".I") -> DataFrame:
     """(id, fields map) of records whose lines '.X' name the field of the lines behind; '.I id' starts one."""
     records = spark.read.text(path, lineSep=f"\n{first} ").select(F.regexp_replace("value", rf"^\{first} ", "").alias("r")).where("trim(r) <> ''")
     split = F.split("r", r"\n(?=\.[A-Z]\b)")
-    pairs = F.transform(F.slice(split, F.lit(2), F.size(split)), lambda x: F.struct(F.substring(x, 2, 1), F.trim(F.substring(x, F.lit(3), F.length(x)))))
+    pairs = F.transform(F.slice(split, F.lit(2), F.size(split)), lambda x: F.struct(F.substring(x, 2, 1), F.trim(F.substring(x, F.lit(3), F.length(x)), F.lit(" \n\t"))))
     return records.select(F.trim(F.get(split, 0)).alias("id"), F.map_from_entries(pairs).alias("fields"))
 
 
