@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), "words")
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), "words", cache=100_000, keep=False)
 
 
 STAGES = [("quality_rules", rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("pfair_mixing", mixture), ("best_fit_packing", packed)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.llm import textkernel as tk
-from lexarium.llm.batches import batch_rows
+from lexarium.llm.batches import batch_rows, trimmed
 from lexarium.llm.graph import components
 from lexarium.llm.marks import marked, places, unpacked
 from lexarium.session import cut
@@ -307,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """doc_id, n_shingles and component_id (smallest id reachable by links of at least ``percent``) of each row."""
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    both = cut(texts.mapInArrow(_profiles(k), "doc_id long, n long, f1 long, f2 long, block int, counts binary"))
+    both = cut(texts.mapInArrow(trimmed(_profiles(k)), "doc_id long, n long, f1 long, f2 long, block int, counts binary"))
     profiles = both.where("block is null").select("doc_id", "n", "f1", "f2")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32).reshape(-1, 1 << _BLOCK_BITS)
     for block, raw in both.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_sketches, "block int, counts binary").collect():  # 4 MB
@@ -315,11 +315,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     order = spark.sparkContext.broadcast(sketch.reshape(-1))
     classes = cut(profiles.where("doc_id is not null and n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc")))
 
-    lists = texts.where("doc_id is not null").select("text").mapInArrow(_postings(k, percent, order), "token long, f1 long, f2 long, n long, pos int")
-    shared = lists.repartition("token").sortWithinPartitions("token", "n", "f1", "f2").mapInArrow(_shared(percent), "token long, f1 long, f2 long, n long, pos int")
+    lists = texts.where("doc_id is not null").select("text").mapInArrow(trimmed(_postings(k, percent, order)), "token long, f1 long, f2 long, n long, pos int")
+    shared = lists.repartition("token").sortWithinPartitions("token", "n", "f1", "f2").mapInArrow(trimmed(_shared(percent)), "token long, f1 long, f2 long, n long, pos int")
     entries = cut(shared.join(classes, ["f1", "f2", "n"]).select("token", "doc", "n", "pos"))
     marks = marked(entries.select("doc"))
-    sets = cut(texts.where("doc_id is not null").mapInArrow(_set_rows(k, marks), "doc long, items binary"))
+    sets = cut(texts.where("doc_id is not null").mapInArrow(trimmed(_set_rows(k, marks)), "doc long, items binary"))
 
     def side(pairs: DataFrame, key: str, items: str) -> DataFrame:
         """The sets of one side's documents; most others are left out before the shuffle."""
@@ -328,15 +328,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(pairs, "u", "left"), "u").join(side(pairs, "v", "right"), "v")
         with batch_rows(spark, VERIFY_ROWS):
-            return cut(both.mapInArrow(_verify(percent), "u long, v long"))
+            return cut(both.mapInArrow(trimmed(_verify(percent)), "u long, v long"))
 
     with batch_rows(spark, 1000):
         lists = cut(entries.join(sets.mapInArrow(_bitmaps, "doc long, bits binary"), "doc"))
-    tried = cut(lists.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_neighbours(percent), "u long, v long").distinct())
+    tried = cut(lists.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(trimmed(_neighbours(percent)), "u long, v long").distinct())
     edges = links(tried)
     known = components(edges)
     labelled = lists.join(known, lists.doc == known.node, "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"), "bits")
-    rest = labelled.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(_across(percent), "u long, v long").distinct()
+    rest = labelled.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(trimmed(_across(percent)), "u long, v long").distinct()
     more = links(cut(rest.join(tried, ["u", "v"], "left_anti")))
     final = components(edges.union(more))
     named = classes.join(final, classes.doc == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "doc").alias("component"))

@@ -19,11 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.llm.batches import trimmed
 from lexarium.llm.tokenizing import encoder
 from lexarium.session import cut
 
-#: Chunks an idle worker goes on to hold in the encoder's cache.
-CACHE = 500_000
 _PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long, pid int, place long"
 
 
@@ -84,15 +83,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return sorted(rows)
 
 
-def pieces(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts, add the end id, and cut those above the capacity; one row a piece."""
+def pieces(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: int = 1_200_000, keep: bool = True) -> DataFrame:
+    """Encode whole texts, add the end id, and cut those above the capacity; one row a piece.
+
+    Workers cache the ids of ``cache`` chunks (about 200 bytes each) and keep them between tasks unless told not to.
+    """
 
     def cut_up(batches):
         seen, pid = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for key, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder(tokenizer, chunks, CACHE).encode_many(b.column(2).to_pylist()), strict=True):
+            for key, doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder(tokenizer, chunks, cache).encode_many(b.column(2).to_pylist()), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -103,7 +105,12 @@ def pieces(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 20
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["row_key", "doc_id", "piece", "start", "length", "ids_crc32", "pid", "place"])
 
     rows = docs.select(docs[id_col].cast("string").alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(cut_up, _PIECES)
+    def lean(batches):
+        yield from cut_up(batches)
+        if not keep:
+            encoder(tokenizer, chunks, cache).known.clear()
+
+    return rows.mapInArrow(trimmed(lean), _PIECES)
 
 
 def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -132,6 +139,6 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(place, "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").drop("row_key")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0, **cache) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(cut(pieces(docs, tokenizer, chunks, capacity, end_id)), capacity)
+    return pack(cut(pieces(docs, tokenizer, chunks, capacity, end_id, **cache)), capacity)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.llm import textkernel as tk
-from lexarium.llm.batches import batch_rows
+from lexarium.llm.batches import batch_rows, trimmed
 from lexarium.llm.jaccard_join import _lists
 from lexarium.llm.marks import marked, places, unpacked
 from lexarium.session import cut
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     gram = max(8, length // 4)
     texts = _keyed(docs.select(docs[text_col].alias("text")), "text").where(F.octet_length("text") >= length).select(F.col("_ka").alias("ka"), F.col("_kb").alias("kb"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(_anchor_rows(length, gram), f"{_RUN}, run long")
+    rows = texts.mapInArrow(trimmed(_anchor_rows(length, gram)), f"{_RUN}, run long")
     found = cut(rows.repartitionByRange(parts, "gram", "run").sortWithinPartitions("gram", "run").mapInArrow(_neighbours, f"{_RUN}, whole boolean"))
     open_ = found.where("not whole").groupBy("ka", "kb").agg(F.collect_list(F.struct("s0", "s1", "anchor", "gram")).alias("runs"))
     marks = marked(found.where("not whole").select("ka"))
@@ -260,8 +260,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
 
     near = texts.mapInArrow(only_marked, "ka long, kb long, text string")
     with batch_rows(docs.sparkSession, 1000):
-        contents = near.join(open_, ["ka", "kb"]).mapInArrow(_contents(length), "gram long, ka long, kb long, s0 int, phase int, bytes binary")
-        partly = cut(contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "ka long, kb long, start int, end int"))
+        contents = near.join(open_, ["ka", "kb"]).mapInArrow(trimmed(_contents(length)), "gram long, ka long, kb long, s0 int, phase int, bytes binary")
+        partly = cut(contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_compare(length)), "ka long, kb long, start int, end int"))
     whole = found.where("whole").select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
     return cut(whole.union(partly).groupBy("ka", "kb").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
@@ -283,7 +283,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str, work, schema:
     joined = side(True).join(spans.select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), F.col("spans").alias("_spans")), ["_ka", "_kb"], "left")
     plain = side(False).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
     order = [*docs.columns, "_spans"]
-    return joined.select(*order).union(plain.select(*order)).mapInArrow(work, schema)
+    return joined.select(*order).union(plain.select(*order)).mapInArrow(trimmed(work), schema)
 
 
 def repeat_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
