@@ -79,7 +79,10 @@ def mixed_order(docs: DataFrame, weights: dict[str, float], block: int = 64, qua
 
 def mixed(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int = 1000) -> DataFrame:
     """All rows and columns, range-partitioned and sorted by slot, so that files written from it are in mixed order."""
-    return mix(docs, weights, block, quantum).repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_slot", "_rank").sortWithinPartitions("_slot", "_rank").select(*docs.columns)
+    slim = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").cast("string").alias("text"))
+    ordered = mix(slim, weights, block, quantum).select("row", "_slot", "_rank")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered.repartitionByRange(parts, "_slot", "_rank").sortWithinPartitions("_slot", "_rank").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def oracle(weights: dict[str, float], block: int, quantum: int) -> str:

@@ -93,12 +93,13 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     return judged(slim, **own).select("doc_id", *(F.col(f"_{n}").alias(n) for n in COUNTS))
 
 
-def clean(docs: DataFrame, **limits) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The kept documents with all their columns; frequent lines are gone from their texts."""
-    rows = judged(docs, **limits).where("_kept")
-    text = limits.get("text_col", "text")
+    slim = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[host_col].alias("source"))
+    rows = judged(slim, **limits).where("_kept")
     kept = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_removed", _line_hash(x))), "\n")
-    return rows.withColumn(text, F.when(F.size("_removed") == 0, F.col(text)).otherwise(kept)).select(*docs.columns)
+    text = F.when(F.size("_removed") == 0, F.col("text")).otherwise(kept)
+    return rows.select("row", text.alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

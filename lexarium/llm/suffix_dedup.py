@@ -310,11 +310,13 @@ def repeat_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """All rows and columns with the repeated bytes gone from the text; characters cut in two go whole."""
+    others = F.struct(F.lit(0).alias("0"), *[docs[c].alias(str(i + 1)) for i, c in enumerate(docs.columns) if c != text_col])
+    slim = docs.select(others.alias("row"), docs[text_col].cast("string").alias("text"))
 
     def work(batches):
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 if spans:
                     raw, at, kept = text.encode(), 0, []
                     for a, z in _merge(spans):
@@ -322,8 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
                         at = z
                     text = "".join(kept) + raw[at:].decode(errors="ignore")
                 texts.append(text)
-            columns = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name != "_spans"}
-            columns[text_col] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return _with_spans(docs, repeated_spans(docs, length, text_col), text_col, work, docs.schema)
+    out = _with_spans(slim, repeated_spans(slim, length), "text", work, slim.schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[str(i + 1)].alias(c) for i, c in enumerate(docs.columns)])

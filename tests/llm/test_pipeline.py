@@ -58,3 +58,19 @@ def test_stages_against_brute_force(spark, tmp_path):
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 1200)
     assert [n for n, _ in p.STAGES] == ["quality_rules", "ngram_jaccard_join", "suffix_array_dedup", "pfair_mixing", "best_fit_packing"]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    extra = {c: 1 for c in ("_text", "_ka", "row", "_slot", "_spans", "u", "component_id", "kept", "0")}
+    rows = [(1, "words " * 30, "s"), (1, "words " * 30, "s"), (None, " ".join(f"n{i}" for i in range(40)), None), (2, None, "s"), (3, "", ""), (4, " ".join(f"long{i}" for i in range(30000)), "s")]
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` int" for c in extra)
+    docs = spark.createDataFrame([(*r, None, *extra.values()) for r in rows], schema)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = sorted(str(r.doc_id) for r in out.collect())
+        assert got == (["4", "None"] if name == "quality_rules" else sorted(str(r[0]) for r in rows)), name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert {r.doc_id for r in p.packed(spark, docs, "").collect()} == {1, 2, 3, 4, None}
