@@ -161,3 +161,45 @@ def proximity(tokens: DataFrame, model: DataFrame, doc: str = "doc_id") -> DataF
     w = Window.partitionBy("qid", doc).orderBy("pos")
     near = tokens.join(model, "term").withColumns({"t2": F.lead("term").over(w), "d": F.lead("pos").over(w) - F.col("pos")})
     return near.where("t2 is not null and t2 <> term").groupBy("qid", doc).agg((1 / (1 + F.avg("d"))).alias("score"))
+
+
+def collections_model(indexes: list[Index], model: DataFrame, docs: int = 5, words: int = 25, mu: float = 2000.0) -> DataFrame:
+    """Expansion model from several collections: their relevance models, weighted by the mean score of their best documents."""
+    parts = None
+    for i, index in enumerate(indexes):
+        ranked = cut(best(divergence(index, model, mu), docs, index.doc))
+        weight = ranked.groupBy("qid").agg(F.avg("score").alias("w"))
+        part = relevance_model(index, ranked, docs, words, mu).join(weight, "qid").withColumn("coll", F.lit(i))
+        parts = part if parts is None else parts.unionByName(part)
+    parts = cut(parts)
+    total = parts.select("qid", "coll", "w").distinct().groupBy("qid").agg(F.sum("w").alias("t"))
+    return parts.join(total, "qid").groupBy("qid", "term").agg(F.sum(F.col("p") * F.col("w") / F.col("t")).alias("p"))
+
+
+def cluster_likelihood(index: Index, model: DataFrame, clusters: DataFrame, lam: float = 0.7, mu: float = 2000.0) -> DataFrame:
+    """Query likelihood of documents smoothed by their cluster (doc, cluster), and that by the collection."""
+    member = index.post.join(clusters, index.doc)
+    size = member.groupBy("cluster").agg(F.sum("tf").alias("cl"))
+    own = member.groupBy("cluster", "term").agg(F.sum("tf").alias("ctf")).join(size, "cluster")
+    base = model.join(index.terms, "term").crossJoin(F.broadcast(index.total)).withColumn("pc", F.col("cf") / F.col("n_tokens"))
+    grounds = base.join(own, "term", "left").withColumn("pg", lam * F.coalesce(F.col("ctf") / F.col("cl"), F.lit(0.0)) + (1 - lam) * F.col("pc"))
+    hits = index.post.join(clusters, index.doc).join(grounds.select("qid", "term", "cluster", "p", "pg"), ["term", "cluster"]).join(index.docs, index.doc)
+    return hits.groupBy("qid", index.doc).agg(F.sum(F.col("p") * F.ln(1 + F.col("tf") / (mu * F.col("pg")))).alias("score"))
+
+
+def background_mass(docs: DataFrame, rounds: int = 20) -> float:
+    """Concentration of a Dirichlet compound model from document lengths and vocabularies (dl, dvl).
+
+    The expected vocabulary of a length-n document under concentration b is b (digamma(b + n) - digamma(b)); the fixed
+    point that gives the observed total is found on one-row aggregates by length, so a round is a small job.
+    """
+    lengths = cut(docs.groupBy("dl").agg(F.count("*").alias("n"), F.sum("dvl").alias("v")))
+    b = 100.0
+    for _ in range(rounds):
+        # digamma(b + n) - digamma(b) is nearly ln((b + n - 1/2) / (b - 1/2)) for b above 1
+        gain = F.ln((F.lit(b) + F.col("dl") - 0.5) / (b - 0.5))
+        s = lengths.agg(F.sum("v").alias("v"), F.sum(F.col("n") * gain).alias("g")).first()
+        if not s.g:
+            return b
+        b = max(1.0, s.v / s.g)
+    return b

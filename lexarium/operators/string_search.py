@@ -68,3 +68,23 @@ def identify(queries: DataFrame, names: DataFrame, q: int = 2, tau: int = 2) ->
     score = 1 - F.col("distance") / F.greatest(F.length("q"), F.length("s"), F.lit(1))
     best = hits.groupBy("qid", "entity").agg(F.max(score).alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "entity")))
+
+
+def merge_entities(base: DataFrame, extra: DataFrame, key: str = "name") -> DataFrame:
+    """Entities (name, variants) of two sources, met on the name without parenthesised parts; variants are united."""
+    from lexarium.functions.strings import strip_parens
+
+    a = base.select(strip_parens(F.col(key)).alias("name"), F.col("variants").alias("va"))
+    b = extra.select(strip_parens(F.col(key)).alias("name"), F.col("variants").alias("vb"))
+    empty = F.array().cast("array<string>")
+    return a.join(b, "name", "full_outer").select("name", F.array_sort(F.array_union(F.coalesce("va", empty), F.coalesce("vb", empty))).alias("variants"))
+
+
+def identification_scores(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Precision, recall and F1 at each k of ranked entities (qid, entity, rank) against (qid, entity)."""
+    hits = found.join(truth.withColumn("_t", F.lit(1)), ["qid", "entity"], "left")
+    n = truth.agg(F.count("*").alias("n"))
+    k = found.sparkSession.createDataFrame([(x,) for x in ks], "k int")
+    sums = k.crossJoin(hits).where("rank <= k").groupBy("k").agg(F.count("*").alias("given"), F.sum(F.coalesce("_t", F.lit(0))).alias("good")).crossJoin(n)
+    p, r = F.col("good") / F.col("given"), F.col("good") / F.col("n")
+    return sums.select("k", p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))

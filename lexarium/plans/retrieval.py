@@ -185,3 +185,22 @@ def proximity_score(t):
 def query_expansion(t):
     tr = t.spark.createDataFrame([("the", "a", 0.5), ("the", "an", 0.5), ("of", "from", 1.0)], "term string, other string, weight double")
     return R.expand(_model(t), tr).withColumn("p", F.round("p", 6))
+
+
+@query()
+def multi_collection_feedback(t):
+    indexes = [R.Index(t.documents.where(F.col("lang") == c)) for c in ("en", "fr", "de", "es")]
+    return R.collections_model(indexes, _model(t)).withColumn("p", F.round("p", 6))
+
+
+@query(f"""WITH {POST}, {QM.split(', ma AS')[0]}, cl AS (SELECT doc_id, lang AS cluster FROM documents), me AS (SELECT post.*, cluster FROM post JOIN cl USING (doc_id)), cs AS (SELECT cluster, sum(tf) AS cl FROM me GROUP BY 1),
+ow AS (SELECT cluster, term, sum(tf) AS ctf FROM me GROUP BY ALL), gr AS (SELECT qid, qm.term, ow.cluster, p, 0.7 * ctf / cl + 0.3 * cf / n_tokens AS pg FROM qm JOIN ts USING (term) JOIN ow USING (term) JOIN cs USING (cluster), tot),
+s AS (SELECT qid, me.doc_id, sum(p * ln(1 + tf / (2000 * pg))) AS score FROM me JOIN gr USING (term, cluster) GROUP BY ALL) {TOP}""")
+def retrieval_cluster_smoothing(t):
+    return _top(R.cluster_likelihood(_index(t), _model(t), t.documents.select("doc_id", F.col("lang").alias("cluster"))))
+
+
+@query()
+def dirichlet_background_mass(t):
+    b = R.background_mass(T.doc_stats(T.postings(t.documents)))
+    return t.spark.range(1).select(F.round(F.lit(b), 4).alias("b0"))

@@ -140,3 +140,18 @@ def entity_identification(t):
     names = t.part.select(F.col("p_partkey").alias("entity"), F.col("p_partkey").alias("sid"), F.col("p_name").alias("s"))
     queries = t.part.select(F.col("p_name").alias("q")).distinct().withColumn("qid", F.col("q"))
     return P.identify(queries, names, 2, 1).where("rank <= 5").select(F.col("qid").alias("q"), "entity", F.round("score", 6).alias("score"))
+
+
+@query("WITH a AS (SELECT p_name AS name, list(DISTINCT p_brand) AS v FROM part WHERE p_size < 25 GROUP BY 1), b AS (SELECT p_name AS name, list(DISTINCT p_type) AS v FROM part WHERE p_size >= 20 GROUP BY 1) SELECT name, list_sort(list_distinct(list_concat(coalesce(a.v, []), coalesce(b.v, [])))) AS variants FROM a FULL JOIN b USING (name)")
+def entity_merge(t):
+    a = t.part.where("p_size < 25").groupBy(F.col("p_name").alias("name")).agg(F.collect_set("p_brand").alias("variants"))
+    b = t.part.where("p_size >= 20").groupBy(F.concat("p_name", F.lit(" (old)")).alias("name")).agg(F.collect_set("p_type").alias("variants"))
+    return P.merge_entities(a, b)
+
+
+@query("SELECT k, round(1.0 * sum(hit) / count(*), 6) AS precision, round(1.0 * sum(hit) / (SELECT count(DISTINCT p_name) FROM part), 6) AS recall FROM (SELECT a.p_name AS q, b.p_name = a.p_name AS same, row_number() OVER (PARTITION BY a.p_name ORDER BY 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) DESC, b.p_name) AS rank, (b.p_name = a.p_name)::INT AS hit FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE levenshtein(a.p_name, b.p_name) <= 3) x, (VALUES (1), (5), (10)) v(k) WHERE rank <= k GROUP BY k")
+def identification_scores(t):
+    n = t.part.select(F.col("p_name").alias("s")).distinct()
+    names = n.select(F.col("s").alias("entity"), F.col("s").alias("sid"), "s")
+    found = P.identify(n.select(F.col("s").alias("qid"), F.col("s").alias("q")), names, 2, 3)
+    return P.identification_scores(found, n.select(F.col("s").alias("qid"), F.col("s").alias("entity"))).select("k", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))

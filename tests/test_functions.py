@@ -108,6 +108,13 @@ def test_random_walk_sums_to_one(spark):
     assert math.isclose(sum(got.values()), 1) and got["c"] > got["b"] > got["a"]
 
 
+def test_mixed_collections_are_a_distribution(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta {'gamma' if i % 2 else 'delta'} w{i}", i % 2) for i in range(12)], "doc_id long, text string, c int")
+    model = R.query_model(spark.createDataFrame([(1, "alpha gamma"), (2, "delta")], "qid long, text string"))
+    got = R.collections_model([R.Index(docs.where("c = 0")), R.Index(docs.where("c = 1"))], model, 3, 5).groupBy("qid").agg(F.sum("p").alias("s")).collect()
+    assert {r.qid for r in got} == {1, 2} and all(math.isclose(r.s, 1) for r in got)
+
+
 def test_learners_fit_their_data(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("v"))
     for f in (L.svm, L.network):
