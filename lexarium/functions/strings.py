@@ -86,7 +86,7 @@ def compose_hangul(lead: Column, vowel: Column, tail: Column) -> Column:
 def decompose_hangul(c: Column) -> Column:
     """(lead, vowel, tail) numbers of a syllable; null for anything else."""
     code = F.ascii(c) - 0xAC00
-    return F.when(code.between(0, 11171), F.struct(F.floor(code / 588).alias("lead"), (F.floor(code / 28) % 21).alias("vowel"), (code % 28).alias("tail")))
+    return F.when(code.between(0, 11171), F.struct(F.floor(code / 588).alias("lead"), (F.floor(code / 28) % 21).alias("vowel"), (code % 28).cast("long").alias("tail")))
 
 
 def strip_parens(c: Column) -> Column:

@@ -82,7 +82,7 @@ def clamp(counter: DataFrame, low: float | None = None, high: float | None = Non
 def totals(counter: DataFrame, *keys: str) -> DataFrame:
     """Totals of every prefix of the keys at once; missing keys are null, ``depth`` tells how many are set."""
     gid = F.grouping_id()
-    return counter.rollup(*keys).agg(F.sum("cnt").alias("cnt"), (F.lit(len(keys)) - F.bit_count(gid.cast("long"))).alias("depth"))
+    return counter.rollup(*keys).agg(F.sum("cnt").alias("cnt"), (F.lit(len(keys)) - F.bit_count(gid.cast("long"))).cast("int").alias("depth"))
 
 
 def group_list(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -59,7 +59,7 @@ def counter_top(t):
     return C.top(C.count(T.tokens(t.documents), "term"), 50, "term")
 
 
-@query(f"WITH {EV2}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, event_type) AS rank FROM ev) SELECT * FROM r")
+@query(f"WITH {EV2}, r AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, event_type))::INT AS rank FROM ev) SELECT * FROM r")
 def counter_rank(t):
     return C.ranked(_ev2(t), "event_type", within=("user_id",))
 
@@ -115,12 +115,12 @@ def countermap_discount(t):
     return _r(C.discount(_ev2(t), 0.5, "user_id"))
 
 
-@query(f"WITH {EV2} SELECT user_id, event_type, sum(cnt) AS cnt, 2 - (grouping(user_id) + grouping(event_type)) AS depth FROM ev GROUP BY ROLLUP(user_id, event_type)")
+@query(f"WITH {EV2} SELECT user_id, event_type, sum(cnt) AS cnt, (2 - (grouping(user_id) + grouping(event_type)))::INT AS depth FROM ev GROUP BY ROLLUP(user_id, event_type)")
 def countermap_totals(t):
     return C.totals(_ev2(t), "user_id", "event_type")
 
 
-@query("WITH d AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::DOUBLE AS cnt FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, l_linenumber, sum(cnt) AS cnt, 3 - (grouping(l_returnflag) + grouping(l_linestatus) + grouping(l_linenumber)) AS depth FROM d GROUP BY ROLLUP(l_returnflag, l_linestatus, l_linenumber)")
+@query("WITH d AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::DOUBLE AS cnt FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, l_linenumber, sum(cnt) AS cnt, (3 - (grouping(l_returnflag) + grouping(l_linestatus) + grouping(l_linenumber)))::INT AS depth FROM d GROUP BY ROLLUP(l_returnflag, l_linestatus, l_linenumber)")
 def deep_counter_totals(t):
     return C.totals(C.count(t.lineitem, "l_returnflag", "l_linestatus", "l_linenumber"), "l_returnflag", "l_linestatus", "l_linenumber")
 
@@ -183,13 +183,13 @@ def cooccurrence_hal(t):
     return C.cooccurrences(t.events, 3, weighted=True, doc="user_id", pos="event_id", term="event_type")
 
 
-@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_extendedprice) AS rank FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_extendedprice))::INT AS rank FROM lineitem")
 def cumulate_and_rank(t):
     w = Window.partitionBy("l_orderkey")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w.orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.row_number().over(w.orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_extendedprice")).alias("rank"))
 
 
-@query("SELECT p_partkey, p_name, length(p_name) AS n FROM part ORDER BY n, p_name, p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_name, length(p_name)::INT AS n FROM part ORDER BY n, p_name, p_partkey LIMIT 100")
 def length_sort(t):
     return t.part.select("p_partkey", "p_name", F.length("p_name").alias("n")).orderBy("n", "p_name", "p_partkey").limit(100)
 
@@ -254,6 +254,6 @@ def split_folds(t):
     return f.agg(F.sum("count").alias("n"), F.count("*").cast("int").alias("folds"))
 
 
-@query("SELECT lang, list(source ORDER BY source) AS sources, sum(n) AS docs FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+@query("SELECT lang, list(source ORDER BY source) AS sources, sum(n)::BIGINT AS docs FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
 def category_map(t):
-    return t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.sum("n").cast("decimal(38,0)").alias("docs"))
+    return t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.sum("n").alias("docs"))

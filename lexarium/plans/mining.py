@@ -96,7 +96,7 @@ def paired_t_test(t):
     return E.paired_t(*m, "precision").withColumn("t", F.round("t", 5))
 
 
-@query(f"WITH {CMP} SELECT qid, doc, r.rank - r2.rank AS move, CASE WHEN r.rank > r2.rank THEN 'POS' WHEN r.rank < r2.rank THEN 'NEG' ELSE 'SAME' END AS kind FROM r JOIN r2 USING (qid, doc) JOIN g USING (qid, doc) WHERE rel > 0 AND abs(r.rank - r2.rank) > 100")
+@query(f"WITH {CMP} SELECT qid, doc, (r.rank - r2.rank)::INT AS move, CASE WHEN r.rank > r2.rank THEN 'POS' WHEN r.rank < r2.rank THEN 'NEG' ELSE 'SAME' END AS kind FROM r JOIN r2 USING (qid, doc) JOIN g USING (qid, doc) WHERE rel > 0 AND abs(r.rank - r2.rank) > 100")
 def rank_changes(t):
     return E.rank_changes(_run(t), _run(t, "l_discount"), _qrels(t)).where("abs(move) > 100")
 

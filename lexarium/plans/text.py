@@ -65,7 +65,7 @@ def even_segments(t):
     return t.part.select("p_partkey", S.segments(F.col("p_name"), 2).alias("parts"))
 
 
-@query("SELECT i, i // 588 AS lead, (i // 28) % 21 AS vowel, i % 28 AS tail, chr((44032 + i)::INT) AS syllable FROM range(11172) r(i)")
+@query("SELECT i, i // 588 AS lead, (i // 28) % 21 AS vowel, (i % 28) AS tail, chr((44032 + i)::INT) AS syllable FROM range(11172) r(i)")
 def hangul_syllables(t):
     i = t.spark.range(11172).withColumnRenamed("id", "i")
     parts = i.select("i", S.compose_hangul(F.expr("i div 588"), F.expr("(i div 28) % 21"), F.expr("i % 28")).alias("syllable"))
