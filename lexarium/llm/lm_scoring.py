@@ -3,11 +3,12 @@
 Bigram counts of the training texts are quantised to powers of two; an n-gram of level q is entered in a Bloom
 filter with each of the numbers 1 to q, so probing upwards until a miss gives its count back to within a factor.
 The same filter holds each history's retained mass, and P(w | h) = (c(h, w) + mu * P(w)) / (m(h) + mu), with the
-exact add-one unigram P(w) below. The filter has a fixed size and is broadcast; bigrams seen once are left out,
-and the count from which bigrams enter rises just so far that the filter keeps eight bits an entry or more.
+exact add-one unigram P(w) below. The filter is cut into shards by the hash of the history, and each shard has
+eight bits an entry or more, so it grows with the bigrams of the corpus and no count keeps one from entering unless
+the caller asks for a least count. A shard is built and probed where its bigrams are added up; none is broadcast.
 
-Exact unigram counts stay distributed. Texts are cut into chunks of some MB; each chunk sends its distinct words
-with their training counts to the buckets of their hashes, which add them up and answer each chunk.
+Texts are cut into chunks of some MB; each chunk sends its distinct words and bigrams with their training counts to
+the buckets and shards of their hashes, which add them up and answer each chunk.
 
 Tokens are lower-cased words (see textkernel) and one end of text each. Rows: null texts count as empty and have
 the end alone; rows with a null id are training rows; repeated rows count each. Words are told apart by 64-bit
@@ -18,12 +19,10 @@ from __future__ import annotations
 
 import struct
 import uuid
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +31,16 @@ from lexarium.llm.batches import batch_rows
 from lexarium.llm.textkernel import pack_keys, unpack_keys
 from lexarium.session import cut
 
-#: Size of the filter, 32 MB, and bit probes of an entry.
-FILTER_BITS, PROBES = 28, 5
-#: A bit more than PROBES / ln 2: the filter is at most half full.
+#: Bit probes of an entry.
+PROBES = 5
+#: A bit more than PROBES / ln 2: a shard is at most half full.
 BITS_PER_ENTRY = 8
-_BUILD = 8  # log2 of the parts the filter is built in
-_SEGMENTS = 11  # log2 of the parts bigrams are counted in
+_LEAST_WIDTH = 17  # log2 of the bits of the smallest shard
+_SHARDS = 11  # log2 of the shards, or more with many partitions
 #: Text bytes of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
 MU = 4.0
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_CUTOFFS = sorted({int(2**k * f) for k in range(1, 34) for f in (1, 1.5)})
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -95,23 +93,32 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def _bits(keys: np.ndarray, number: int, probe: int) -> np.ndarray:
-    """Bit places of entries (key, number); all of a key's lie in the part of the filter its high bits name."""
-    part = keys >> np.uint64(64 - _BUILD) << np.uint64(FILTER_BITS - _BUILD)
+def _bits(keys: np.ndarray, number: int, probe: int, width: int) -> np.ndarray:
+    """Bit places of entries (key, number) in a shard of 2**width bits."""
     salt = np.uint64((number * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) % 2**64)
-    return (part | (tk.mix(keys + salt) >> np.uint64(64 - FILTER_BITS + _BUILD))).astype(np.int64)
+    return (tk.mix(keys + salt) >> np.uint64(64 - width)).astype(np.int64)
 
 
-def probe_levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Levels of keys by repeated membership probes of the packed filter."""
+def build_shard(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """A shard with each key entered under the numbers 1 to its level, and log2 of its bits."""
+    width = max(_LEAST_WIDTH, (BITS_PER_ENTRY * int(levels.sum()) - 1).bit_length())
+    bits, mixed = np.zeros(1 << width, bool), tk.mix(keys ^ np.uint64(0x6A09E667F3BCC909))
+    for number in range(1, int(levels.max(initial=0)) + 1):
+        live = mixed[levels >= number]
+        for probe in range(PROBES):
+            bits[_bits(live, number, probe, width)] = True
+    return bits, width
+
+
+def probe_levels(bits: np.ndarray, width: int, keys: np.ndarray) -> np.ndarray:
+    """Levels of keys by repeated membership probes of a shard."""
     out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
     mixed = tk.mix(keys ^ np.uint64(0x6A09E667F3BCC909))
     number = 0
     while len(live):
         number += 1
         for probe in range(PROBES):
-            at = _bits(mixed[live], number, probe)
-            live = live[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            live = live[bits[_bits(mixed[live], number, probe, width)]]
         out[live] = number
         if number > 60:
             break
@@ -126,8 +133,8 @@ def _chunks(batches, columns):
             yield [b.column(c).slice(i, j - i) for c in columns], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def _unigrams(buckets: int):
-    """A row with the texts of each chunk as places in its sorted words, and rows of these words by bucket."""
+def _count(buckets: int, shards: int):
+    """A row with the texts of each chunk as places in its sorted words, rows of these words by bucket, and of its bigrams by shard."""
 
     def run(batches):
         for (ids, held), data, offsets in _chunks(batches, ("doc_id", "held_out")):
@@ -139,7 +146,11 @@ def _unigrams(buckets: int):
             known = np.array([i.is_valid for i in ids], np.uint8)
             payload = struct.pack("<qq", len(ids), len(words)) + ids.fill_null(0).to_numpy().astype("<i8").tobytes() + known.tobytes() + held.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + at.astype("<i8").tobytes() + np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             edges = np.searchsorted(own, (np.arange(1, buckets, dtype=np.float64) * 2.0**64 / buckets).astype(np.uint64))
-            parts = [p for p in zip(np.split(own, edges), np.split(count, edges), range(buckets), strict=True) if len(p[0])]
+            pairs, of_pair = np.unique(bigram_keys(words, at), return_inverse=True)
+            found = np.bincount(of_pair[learn], minlength=len(pairs))
+            cuts = np.searchsorted(pairs, np.arange(1, 1 << shards, dtype=np.uint64) << np.uint64(64 - shards))
+            parts = [*zip(np.split(own, edges), np.split(count, edges), range(buckets), strict=True), *zip(np.split(pairs, cuts), np.split(found, cuts), range(buckets, buckets + (1 << shards)), strict=True)]
+            parts = [p for p in parts if len(p[0])]
             rows = [(name, -1, zstandard.compress(payload, 1), None)] + [(name, b, pack_keys(k), pack_counts(c)) for k, c, b in parts]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "body", "counts"])
 
@@ -160,24 +171,6 @@ def _by_first(batches, columns):
         yield key, rows
 
 
-def _answer(batches):
-    """Add up each bucket's words and answer every chunk; with chunk null, the bucket's N and V."""
-    for bucket, rows in _by_first(batches, ("bucket", "chunk", "body", "counts")):
-        keys, counts = [unpack_keys(r[2]) for r in rows], [unpack_counts(r[3]) for r in rows]
-        own, total = totals(keys, counts)
-        stats = struct.pack("<qq", int(total.sum()), int((total > 0).sum()))
-        out = [(None, bucket, stats)] + [(r[1], bucket, pack_counts(total[np.searchsorted(own, k)])) for r, k in zip(rows, keys, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "body"])
-
-
-def _bigrams(batches):
-    for _, data, offsets in _chunks(batches, ()):
-        keys, counts = np.unique(bigram_keys(*tokens(data, offsets)), return_counts=True)
-        edges = np.searchsorted(keys, np.arange(1, 1 << _SEGMENTS, dtype=np.uint64) << np.uint64(64 - _SEGMENTS))
-        rows = [(b, pack_keys(k), pack_counts(c)) for b, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["segment", "body", "counts"])
-
-
 def _entries(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Filter entries of bigrams of at least that count, and of the mass of their histories."""
     k, c = keys[counts >= least], counts[counts >= least]
@@ -186,75 +179,34 @@ def _entries(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarr
     return np.concatenate([k, own]), np.concatenate([c, mass])
 
 
-def _count_bigrams(batches):
-    """Bigrams found twice or more by segment, and how many filter entries each cutoff would need."""
-    for segment, rows in _by_first(batches, ("segment", "body", "counts")):
-        keys, counts = totals([unpack_keys(r[1]) for r in rows], [unpack_counts(r[2]) for r in rows])
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        need = []
-        for least in _CUTOFFS:
-            own = _entries(keys, counts, least)[1]
-            need.append(int(level(own).sum()))
-            if not len(own):
-                break
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack_counts(counts)], pa.binary()), pa.array([need], pa.list_(pa.int64()))], ["segment", "body", "counts", "need"])
+def shard_levels(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Levels of a shard's sorted bigrams and of their histories' masses, as its filter tells them: two rows of bytes."""
+    entered, c = _entries(keys, counts, least)
+    bits, width = build_shard(entered, level(c))
+    history, of = np.unique(keys & np.uint64(0xFFFFFFFF00000000), return_inverse=True)
+    return np.stack([probe_levels(bits, width, keys), probe_levels(bits, width, history)[of]]).astype(np.uint8)
+
 
+def _answer(buckets: int, least: int):
+    """Add up each bucket's words and each shard's bigrams and answer every chunk; with chunk null, a bucket's N and V."""
 
-def _deal_entries(least: int):
     def run(batches):
-        for b in batches:
-            for body, counts in zip(b.column("body").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                keys, counts = _entries(unpack_keys(body), unpack_counts(counts), least)
-                mixed = tk.mix(keys ^ np.uint64(0x6A09E667F3BCC909))
-                order = np.argsort(mixed)
-                mixed, levels = mixed[order], level(counts[order])
-                edges = np.searchsorted(mixed, np.arange(1, 1 << _BUILD, dtype=np.uint64) << np.uint64(64 - _BUILD))
-                rows = [(p, k.tobytes(), q.astype(np.uint8).tobytes()) for p, (k, q) in enumerate(zip(np.split(mixed, edges), np.split(levels, edges), strict=True)) if len(k)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "levels"])
+        for bucket, rows in _by_first(batches, ("bucket", "chunk", "body", "counts")):
+            keys, counts = [unpack_keys(r[2]) for r in rows], [unpack_counts(r[3]) for r in rows]
+            own, total = totals(keys, counts)
+            places = (np.searchsorted(own, k) for k in keys)
+            if bucket < buckets:
+                stats = struct.pack("<qq", int(total.sum()), int((total > 0).sum()))
+                out = [(None, bucket, stats)] + [(r[1], bucket, pack_counts(total[p])) for r, p in zip(rows, places, strict=True)]
+            else:
+                levels = shard_levels(own, total, least)
+                out = [(r[1], bucket, zstandard.compress(levels[:, p].tobytes(), 1)) for r, p in zip(rows, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "body"])
 
     return run
 
 
-def _build(batches):
-    size = 1 << (FILTER_BITS - _BUILD)
-    for part, rows in _by_first(batches, ("part", "keys", "levels")):
-        bits = np.zeros(size, np.uint8)
-        for _, keys, levels in rows:
-            k, q = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)
-            for number in range(1, int(q.max(initial=0)) + 1):
-                live = k[q >= number]
-                for probe in range(PROBES):
-                    bits[_bits(live, number, probe) & (size - 1)] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-
-@dataclass
-class Model:
-    """Training totals and the broadcast filter (packed bits, lowest first)."""
-
-    tokens: int
-    words: int
-    cutoff: int
-    bits: Broadcast
-
-
-def _filter(learn: DataFrame) -> tuple[int, np.ndarray]:
-    spark = learn.sparkSession
-    with batch_rows(spark, 512):
-        rows = learn.select("text").mapInArrow(_bigrams, "segment int, body binary, counts binary")
-        counted = cut(rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_count_bigrams, "segment int, body binary, counts binary, need array<long>"))
-        need = dict(counted.select(F.posexplode("need").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect())
-        cutoff = next(c for k, c in enumerate(_CUTOFFS) if need.get(k, 0) * BITS_PER_ENTRY <= 1 << FILTER_BITS)
-        dealt = counted.select("body", "counts").mapInArrow(_deal_entries(cutoff), "part int, keys binary, levels binary")
-        parts = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_build, "part int, bits binary")
-        bits = np.zeros((1 << _BUILD, 1 << (FILTER_BITS - _BUILD - 3)), np.uint8)
-        for part, raw in parts.collect():  # 32 MB in all
-            bits[part] = np.frombuffer(raw, np.uint8)
-    return cutoff, bits.reshape(-1)
-
-
-def _score(n: int, v: int, bits: Broadcast):
+def _score(n: int, v: int, buckets: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
@@ -265,16 +217,13 @@ def _score(n: int, v: int, bits: Broadcast):
             ids, known, held = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, np.uint8, docs, 16 + 8 * docs), np.frombuffer(raw, np.uint8, docs, 16 + 9 * docs)
             at = np.frombuffer(raw, "<i8", docs + 1, 16 + 10 * docs)
             place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, 24 + 18 * docs).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-            own = np.concatenate([unpack_keys(r[2]) for r in rows[1::2]])  # each bucket's words, then its answer
-            count = np.concatenate([unpack_counts(r[2]) for r in rows[2::2]])
+            held_words = [r for r in rows[1:] if r[1] < buckets]  # each bucket's words, then its answer
+            own = np.concatenate([unpack_keys(r[2]) for r in held_words[::2]])
+            count = np.concatenate([unpack_counts(r[2]) for r in held_words[1::2]])
+            levels = np.concatenate([np.frombuffer(zstandard.decompress(r[2]), np.uint8).reshape(2, -1) for r in rows[1:] if r[1] >= buckets], axis=1)
             base = (count + 1.0) / (n + v + 1.0)
-            mass = middle(probe_levels(bits.value, history_keys(np.append(own, _BEGIN))))
-            words = own[place]
-            pair = middle(probe_levels(bits.value, bigram_keys(words, at)))
-            before = np.empty_like(place)
-            before[1:] = place[:-1]
-            before[at[:-1]] = len(own)
-            m = mass[before]
+            _, of_pair = np.unique(bigram_keys(own[place], at), return_inverse=True)
+            pair, m = (middle(x.astype(np.int64))[of_pair] for x in levels)
             p = (np.minimum(pair, m) + MU * base[place]) / (m + MU)
             sums = [np.add.reduceat(x, at[:-1]) for x in (np.log10(base)[place], np.log10(p), (count > 0)[place].astype(np.int64))]
             out = [pa.array(ids, pa.int64(), mask=known == 0), pa.array(held.astype(bool)), np.diff(at), sums[2], np.full(docs, n), sums[0], sums[1]]
@@ -283,20 +232,22 @@ def _score(n: int, v: int, bits: Broadcast):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, least: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    Bigrams found fewer than ``least`` times in the training texts are left out; 1 keeps all.
+    """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(docs[id_col].cast("string")) % folds == held_fold, F.lit(False))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = cut(rows.mapInArrow(_unigrams(buckets), "chunk string, bucket int, body binary, counts binary"))
+    shards = max(_SHARDS, (8 * buckets - 1).bit_length())
+    chunks = cut(rows.mapInArrow(_count(buckets, shards), "chunk string, bucket int, body binary, counts binary"))
     with batch_rows(spark, 64):
         asked = chunks.where("bucket >= 0")
-        answers = cut(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk string, bucket int, body binary"))
+        answers = cut(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(buckets, least), "chunk string, bucket int, body binary"))
         stats = [struct.unpack("<qq", r.body) for r in answers.where("chunk is null").select("body").collect()]  # a row a bucket
     n, v = sum(s[0] for s in stats), sum(s[1] for s in stats)
-    cutoff, bits = _filter(rows.where("not held_out"))
-    model = Model(n, v, cutoff, spark.sparkContext.broadcast(bits))
-    with batch_rows(spark, 16):
-        both = chunks.select("chunk", "bucket", "body", F.lit(0).alias("side")).union(answers.where("chunk is not null").select("chunk", "bucket", "body", F.lit(1)))
-        return cut(both.repartition("chunk").sortWithinPartitions("chunk", "bucket", "side").mapInArrow(_score(model.tokens, model.words, model.bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    with batch_rows(spark, 512):
+        both = chunks.where(F.col("bucket") < buckets).select("chunk", "bucket", "body", F.lit(0).alias("side")).union(answers.where("chunk is not null").select("chunk", "bucket", "body", F.lit(1)))
+        return cut(both.repartition("chunk").sortWithinPartitions("chunk", "bucket", "side").mapInArrow(_score(n, v, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

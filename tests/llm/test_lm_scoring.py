@@ -81,3 +81,26 @@ def test_scores(spark):
     assert sum(g[6] for g in own) > 0.9 * sum(g[5] for g in own) and sum(g[6] for g in own) > sum(g[5] for g in own)
     assert lm.score(df.limit(0)).count() == 0
     assert {r.train_tokens for r in lm.score(df.where("doc_id = 400")).collect()} == {1}
+
+
+def test_a_shard_keeps_all_bigrams_however_many():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**64, 200_000, dtype=np.uint64))
+    counts = np.ones(len(keys), np.int64)
+    pairs, mass = lm.shard_levels(keys, counts, 1)
+    assert pairs.min() >= 1 and mass.min() >= 1  # none is lost
+    bits, width = lm.build_shard(keys, lm.level(counts))
+    assert len(bits) >= lm.BITS_PER_ENTRY * len(keys) and (lm.probe_levels(bits, width, rng.integers(0, 2**64, 50_000, dtype=np.uint64)) > 0).mean() < 0.04
+
+
+def test_bigrams_seen_once_count_where_asked(spark):
+    rows = [(0, "a b c"), (2, "c b a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows)
+    n, v = 8, 4
+    for r in lm.score(df, least=1).collect():  # counts 2 of each word and of the end
+        base = 3 / (n + v + 1)
+        mass = {"<s>": 2, "a": 2, "b": 2, "c": 2}
+        q = {1: 1.0, 2: 2.5}
+        want = sum(math.log10((q[1] + lm.MU * base) / (q[m] + lm.MU)) for m in mass.values())
+        assert math.isclose(r.score, want, rel_tol=1e-9)
