@@ -3,8 +3,11 @@
 Each source is cut into blocks of documents. Block j of a source with weight w is released at slot floor(j / w)
 and due by slot ceil((j + 1) / w); earliest-deadline-first gives every slot to one released block, and as the
 weights sum to one, no deadline is missed: while all sources last, each has been given its share of any prefix of
-the slots to within less than one block. Weights are multiples of 1 / quantum, so the schedule repeats after
-``quantum`` slots, and only that table, whose size does not depend on the data, is worked out on the driver.
+the slots to within less than one block. Weights are exact rationals, so the schedule repeats after the least common
+multiple of their denominators, and that table is worked out on the driver; where it would be longer than MOST_SLOTS,
+the blocks that are there (rows / ``block``) are scheduled instead. Sources of weight 0 follow behind all others.
+``quantum`` asks for weights in multiples of 1 / quantum with one share at least for each source, as op10's SQL has
+them; with more sources than that, exact weights hold.
 
 All rows stay: a source that ends early leaves its later slots empty. Null sources are the source "". Null ids
 come first. Repeated rows each take a place. Ties go by id, then text hash. An empty table gives an empty result.
@@ -12,13 +15,18 @@ come first. Repeated rows each take a place. Ties go by id, then text hash. An e
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Row numbers within a source are counted in so many buckets, so that a hot source spreads over many tasks.
 BUCKETS = 1024
+#: Longest period that is worked out whole.
+MOST_SLOTS = 100_000
 
 
 def quanta(sources: list[str], weights: dict[str, float], quantum: int) -> dict[str, int]:
@@ -37,6 +45,53 @@ def quanta(sources: list[str], weights: dict[str, float], quantum: int) -> dict[
     return given
 
 
+def exact_shares(sources: list[str], weights: dict[str, float]) -> dict[str, int]:
+    """The true weights as whole shares of their sum, without the sources of weight 0; those without a weight share the rest alike."""
+    want = {s: Fraction(str(weights[s])).limit_denominator(10**9) for s in sources if s in weights}
+    rest = Fraction(max(0, 1 - sum(want.values()))) / max(1, len(sources) - len(want))
+    want = {s: want.get(s, rest) for s in sources}
+    if not any(want.values()):
+        want = dict.fromkeys(sources, Fraction(1))
+    total = sum(want.values())
+    part = {s: x / total for s, x in want.items() if x}
+    period = math.lcm(*(x.denominator for x in part.values()))
+    return {s: int(x * period) for s, x in part.items()}
+
+
+def block_slots(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of so many blocks of each source, as ``schedule`` chooses, idle slots jumped over."""
+    period, slot, out, ready = sum(shares.values()), 0, [], []
+    waiting = [(0, s, 0) for s in shares if blocks[s]]
+    heapq.heapify(waiting)
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), s, j))
+        _, s, j = heapq.heappop(ready)
+        out.append((s, j, slot))
+        slot += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
+    return out
+
+
+def slot_table(counts: dict[str, int], weights: dict[str, float], block: int, quantum: int | None) -> list[dict]:
+    """A row for each source and block of a period: place _s, shares _a of the period _p, first slot _f."""
+    sources = sorted(counts)
+    if not sources:
+        return []
+    shares = quanta(sources, weights, quantum) if quantum and len(sources) <= quantum else exact_shares(sources, weights)
+    period = sum(shares.values())
+    blocks = {s: -(-counts[s] // block) for s in sources}
+    found = block_slots(shares, shares if period <= MOST_SLOTS else blocks)
+    ends = {s: -(-blocks[s] // a) * period for s, a in shares.items()}
+    rows = [{"_source": s, "_k": k, "_s": t, "_a": shares[s], "_p": period, "_f": 0} for s, k, t in found]
+    behind = [s for s in sources if s not in shares]
+    return rows + [{"_source": s, "_k": 0, "_s": i, "_a": 1, "_p": len(behind), "_f": max(ends.values())} for i, s in enumerate(behind)]
+
+
 def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block, slot) over one period; ties of deadlines go by source name."""
     period, done, out = sum(shares.values()), dict.fromkeys(shares, 0), []
@@ -48,36 +103,36 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` beside _source, _rank, _block, _release, _deadline and _slot."""
     spark = docs.sparkSession
     rows = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bucket": F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(BUCKETS)).cast("int"), "_tie": F.xxhash64(text_col)})
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    sources = sorted(r[0] for r in counts.select("_source").distinct().limit(quantum + 1).collect())
-    shares = quanta(sources, weights, quantum) if sources else {}
+    slots = slot_table(dict(counts.groupBy("_source").agg(F.sum("_n")).collect()), weights, block, quantum)  # a row a source
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"_source": s, "_k": k, "_s": t, "_a": shares[s]} for s, k, t in schedule(shares)])), "array<struct<_source:string,_k:bigint,_s:bigint,_a:bigint>>")).alias("x")).select("x.*")
-    share = table.select("_source", "_a").distinct()
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(slots)), "array<struct<_source:string,_k:bigint,_s:bigint,_a:bigint,_p:bigint,_f:bigint>>")).alias("x")).select("x.*")
+    share = table.select("_source", "_a", "_p", "_f").distinct()
+    small = F.broadcast if len(slots) <= MOST_SLOTS else lambda x: x
     ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(F.col(id_col).asc_nulls_first(), "_tie")))
     ranked = ranked.join(counts, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-    ranked = ranked.join(F.broadcast(share), "_source").withColumn("_block", F.expr(f"_rank div {block}")).withColumn("_k", F.expr("_block % _a"))
-    out = ranked.join(F.broadcast(table.drop("_a")), ["_source", "_k"])  # quantum rows
+    ranked = ranked.join(small(share), "_source").withColumn("_block", F.expr(f"_rank div {block}")).withColumn("_k", F.expr("_block % _a"))
+    out = ranked.join(small(table.drop("_a", "_p", "_f")), ["_source", "_k"])
     return out.withColumns({
-        "_release": F.expr(f"_block * {quantum} div _a"),
-        "_deadline": F.expr(f"((_block + 1) * {quantum} + _a - 1) div _a"),
-        "_slot": F.expr(f"(_block div _a) * {quantum} + _s"),
+        "_release": F.expr("_f + _block * _p div _a"),
+        "_deadline": F.expr("_f + ((_block + 1) * _p + _a - 1) div _a"),
+        "_slot": F.expr("_f + (_block div _a) * _p + _s"),
     }).select(*docs.columns, "_source", "_rank", "_block", "_release", "_deadline", "_slot")
 
 
-def mixed_order(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int = 1000) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = 1000) -> DataFrame:
     """doc_id, source and the place of every document in the mixture."""
     slim = docs.select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"))
     rows = mix(slim, weights, block, quantum)
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_rank").alias("source_rank"), F.col("_block").alias("block"), F.col("_release").alias("release_slot"), F.col("_deadline").alias("deadline_slot"), F.col("_slot").alias("slot"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int = 1000) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = None) -> DataFrame:
     """All rows and columns, range-partitioned and sorted by slot, so that files written from it are in mixed order."""
     slim = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").cast("string").alias("text"))
     ordered = mix(slim, weights, block, quantum).select("row", "_slot", "_rank")

@@ -131,3 +131,23 @@ def test_conversations(spark):
     r = chat.format_conversations(one).first()
     assert (r.turns_sha256, r.loss_sha256) == (hashlib.sha256(("user\na\nassistant\n" + "<|im_end|>é" * 999 + "\nuser\n\nassistant\nok\n").encode()).hexdigest(), hashlib.sha256(("<|im_end|>é" * 999 + "ok").encode()).hexdigest())
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_true_weights_of_many_sources():
+    for n in (20, 500, 1500):
+        rows = mixing.slot_table({f"src{i}": 64 * 1000 for i in range(n)}, {"src0": 0.2, "src1": 0.1}, 64, None)
+        assert {(r["_a"] / r["_p"]) for r in rows if r["_source"] == "src0"} == {0.2} and {(r["_a"] / r["_p"]) for r in rows if r["_source"] == "src1"} == {0.1}
+        assert sorted(r["_s"] for r in rows) == list(range(rows[0]["_p"]))
+        done = 0
+        for r in sorted(rows, key=lambda r: r["_s"]):
+            done += r["_source"] == "src0"
+            assert abs(done - 0.2 * (r["_s"] + 1)) < 1
+    odd = mixing.slot_table({"a": 6400, "b": 640, "c": 640}, {"a": 0.123456789, "b": 0.0}, 64, None)
+    assert len(odd) == 100 + 10 + 1 and all(r["_k"] * r["_p"] // r["_a"] <= r["_s"] < -(-(r["_k"] + 1) * r["_p"] // r["_a"]) for r in odd)
+    assert all(r["_f"] >= max(x["_s"] for x in odd if x["_source"] != "b") for r in odd if r["_source"] == "b")
+
+
+def test_more_sources_than_the_quantum(spark):
+    df = spark.createDataFrame([(i, f"t{i}", f"s{i}") for i in range(1100)], "doc_id long, text string, source string")
+    out = mixing.mixed_order(df, {"s0": 0.2}).collect()
+    assert len({r.slot for r in out}) == 1100 and all(r.release_slot <= r.slot < r.deadline_slot for r in out)
