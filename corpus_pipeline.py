@@ -7,7 +7,7 @@ stage's docs. All but the last return the columns of documents.
 2. One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) stays.
 3. Strings of 200 bytes or more that occur twice go from the texts: a passage of 50 words is longer than that.
 4. The documents are put in the order of a mixture of their sources with the target weights; none is dropped.
-5. They are tokenised and packed into sequences of 2048 tokens.
+5. They are tokenised and packed into sequences of 2048 tokens, which follow the order of the mixture.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), "words", cache=100_000, keep=False)
+    return packing.pack_mixed(docs, MIX_WEIGHTS, public_path("word_bpe_49k.json"), "words", cache=100_000, keep=False)
 
 
 STAGES = [("quality_rules", rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("pfair_mixing", mixture), ("best_fit_packing", packed)]

@@ -7,11 +7,15 @@ first, into the tightest remaining gap. All decisions are made on the histogram
 
 Rows: null texts count as empty and hold the end id alone. Repeated ids are packed each on its own. An empty
 table gives no rows. Ties (equal lengths) go by partition and row order. Other columns are not read.
+
+``pack_mixed`` packs in the order of a mixture of sources: every window of consecutive slots is packed on its own, and
+sequences are numbered by window and, in a window, by the first document that they hold.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.llm import mixing
 from lexarium.llm.batches import trimmed
 from lexarium.llm.tokenizing import encoder
 from lexarium.session import cut
 
+#: Slots of the mixture that are packed together.
+WINDOW = 16
 _PIECES = "row_key string, doc_id long, piece int, start long, length long, ids_crc32 long, pid int, place long"
 
 
@@ -142,3 +149,70 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0, **cache) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     return pack(cut(pieces(docs, tokenizer, chunks, capacity, end_id, **cache)), capacity)
+
+
+def _pack_window(rows: list[tuple], capacity: int) -> list[np.ndarray]:
+    """doc_id, piece, start, length, ids_crc32, sequence and offset of a window's (doc_id, length, crcs) in their order."""
+    count = np.array([len(r[2]) for r in rows])
+    doc, total = np.repeat(np.arange(len(rows)), count), np.array([r[1] for r in rows])
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    start = piece * capacity
+    n = np.minimum(capacity, total[doc] - start)
+    order = np.argsort(n, kind="stable")
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+    t = np.array(plan(Counter(n.tolist()), capacity), np.int64)
+    row = t[np.searchsorted((t[:, 0] << 48) | t[:, 1], (n << 48) | rank, "right") - 1]
+    k = rank - row[:, 1]
+    _, first, sequence = np.unique(row[:, 3] + k // row[:, 4], return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    return [doc, piece, start, n, np.concatenate([r[2] for r in rows]), number[sequence], row[:, 5] + k % row[:, 4] * n]
+
+
+def pack_mixed(docs: DataFrame, weights: dict[str, float], tokenizer: str, chunks: str = "", capacity: int = 2048, end_id: int = 0, cache: int = 1_200_000, keep: bool = True, window: int = WINDOW) -> DataFrame:
+    """Rows as of ``pack_documents``, in sequences that follow the mixture of ``mixing.mixed``."""
+    spark = docs.sparkSession
+
+    def encode(batches):
+        end = np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            ids = [raw + end for raw in encoder(tokenizer, chunks, cache).encode_many(b.column("body").to_pylist())]
+            crcs = [[zlib.crc32(raw[at : at + 4 * capacity]) for at in range(0, len(raw), 4 * capacity)] for raw in ids]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "text")), pa.array([len(raw) // 4 for raw in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "source", "text", "length", "crcs"])
+        if not keep:
+            encoder(tokenizer, chunks, cache).known.clear()
+
+    def place(batches):
+        def packed(key, rows):
+            doc, piece, *rest = _pack_window(rows, capacity)
+            ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(doc))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), key)), ids, pa.array(piece.astype(np.int32)), *map(pa.array, rest)], ["window", "doc_id", "piece", "start", "length", "ids_crc32", "sequence", "offset"])
+
+        key, rows = None, []
+        for b in batches:
+            for w, *r in zip(*(b.column(c).to_pylist() for c in ("window", "doc_id", "length", "crcs")), strict=True):
+                if rows and w != key:
+                    yield packed(key, rows)
+                    rows = []
+                key = w
+                rows.append(r)
+        if rows:
+            yield packed(key, rows)
+
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).cast("string").alias("text"), docs["text"].alias("body"))
+    encoded = cut(slim.mapInArrow(trimmed(encode), "doc_id long, source string, text string, length long, crcs array<long>"))
+    slots = mixing.mix(encoded, weights, quantum=None).select(F.expr(f"_slot div {window}").alias("window"), "_slot", "_rank", "doc_id", "length", "crcs")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = cut(slots.repartition(parts, "window").sortWithinPartitions("window", "_slot", "_rank").mapInArrow(place, "window long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence long, offset long"))
+    sizes = sorted((r[0], r[1] + 1) for r in own.groupBy("window").agg(F.max("sequence")).collect())  # a row a window
+    windows = np.array([w for w, _ in sizes], np.int64)
+    held = spark.sparkContext.broadcast((windows, np.cumsum([0, *(n for _, n in sizes)])))
+
+    def number(batches):
+        windows, first = held.value
+        for b in batches:
+            where = first[np.searchsorted(windows, b.column("window").to_numpy())] + b.column("sequence").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(where), b.column("offset")], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return own.mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

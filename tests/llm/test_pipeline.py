@@ -74,3 +74,23 @@ def test_stages_with_odd_rows_and_clashing_columns(spark):
         assert got == (["4", "None"] if name == "quality_rules" else sorted(str(r[0]) for r in rows)), name
         assert stage(spark, docs.limit(0), "").count() == 0
     assert {r.doc_id for r in p.packed(spark, docs, "").collect()} == {1, 2, 3, 4, None}
+
+
+def test_packed_sequences_follow_the_mixture(spark):
+    import corpus_pipeline as p
+    from lexarium.llm import packing
+
+    share = {"src0": 0.2, "src1": 0.1, "src2": 0.35, "src3": 0.35}
+    rng = random.Random(8)
+    rows = [(s, 10 * k + rng.randint(3, 9)) for k, (s, w) in enumerate(share.items()) for _ in range(int(w * 6400))]  # lengths tell the source
+    docs = spark.createDataFrame([(i, "word " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    out = sorted(p.packed(spark, docs, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert sorted(r.doc_id for r in out) == list(range(6400)) and {r.sequence_id for r in out} == set(range(out[-1].sequence_id + 1))
+    ends, done = {}, dict.fromkeys(share, 0)
+    for k, r in enumerate(out, 1):
+        assert r.offset == ends.get(r.sequence_id, 0) and r.offset + r.length <= 2048
+        ends[r.sequence_id] = r.offset + r.length
+        done[rows[r.doc_id][0]] += 1
+        assert all(abs(done[s] - w * k) < 64 * packing.WINDOW for s, w in share.items())
+        if k % (64 * packing.WINDOW) == 0:  # a window is whole
+            assert all(abs(done[s] - w * k) < 64 for s, w in share.items())
