@@ -21,7 +21,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexarium.session import shared_dir
@@ -166,11 +166,25 @@ def read_back(table: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def as_events(turns: DataFrame, delta_chars: int = 2000) -> tuple[DataFrame, list[str]]:
-    """The log that finished turns (conv_id, turn, role, text) would have left: an open and streamed deltas each."""
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("message", F.monotonically_increasing_id())
-    pieces = F.when(F.length(F.coalesce("text", F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {delta_chars}")), lambda i: F.substring("text", i * delta_chars + 1, F.lit(delta_chars))))
-    events = rows.withColumn("_p", pieces).select("conv_id", "turn", "role", "message", F.hash("text").alias("tie"), F.posexplode(F.concat(F.array(F.lit("")), "_p")).alias("step", "text"))
-    return events.withColumn("kind", F.when(F.col("step") == 0, "open").otherwise("delta")), ["turn", "role", "tie", "message", "step"]
+    """The log that finished turns (conv_id, turn, role, text) would have left, and the columns that order it.
+
+    Messages go by turn, role and text. An assistant's message opens, streams a draft, is regenerated and streams on in
+    deltas; any other message opens, is edited and goes on in deltas. Texts are split in one pass.
+    """
+    slim = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = slim.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")))
+    rows = rows.withColumn("_p", F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % delta_chars), F.lit(0)))
+    first, draft = F.coalesce(F.get("_p", F.lit(0)), F.lit("")), F.substring("text", 1, 20)
+    rest = F.transform(F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda x: _event("delta", x))
+    again = F.array(_event("open", F.lit("")), _event("delta", draft), _event("regenerate", first))
+    edited = F.array(_event("open", draft), _event("edit", first))
+    log = F.concat(F.when(F.col("role") == "assistant", again).otherwise(edited), rest)
+    events = rows.select("conv_id", "message", "role", F.posexplode(log).alias("step", "event"))
+    return events.select("conv_id", "message", "role", "step", "event.kind", "event.text"), ["message", "step"]
+
+
+def _event(kind: str, text) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ weights sum to one, no deadline is missed: while all sources last, each has been
 the slots to within less than one block. Weights are exact rationals, so the schedule repeats after the least common
 multiple of their denominators, and that table is worked out on the driver; where it would be longer than MOST_SLOTS,
 the blocks that are there (rows / ``block``) are scheduled instead. Sources of weight 0 follow behind all others.
-``quantum`` asks for weights in multiples of 1 / quantum with one share at least for each source, as op10's SQL has
-them; with more sources than that, exact weights hold.
 
-All rows stay: a source that ends early leaves its later slots empty. Null sources are the source "". Null ids
-come first. Repeated rows each take a place. Ties go by id, then text hash. An empty table gives an empty result.
+All rows stay: a source that ends early leaves its later slots empty. Null sources are the source "". Within a source,
+documents are ranked by a hash of the id (of the text where the id is null), then by id and text hash, so ids of any
+pattern spread over all tasks and any prefix is a fair draw. Repeated rows each take a place. Columns named like those
+that ``mix`` adds are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,28 +23,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Row numbers within a source are counted in so many buckets, so that a hot source spreads over many tasks.
-BUCKETS = 1024
 #: Longest period that is worked out whole.
 MOST_SLOTS = 100_000
 
 
-def quanta(sources: list[str], weights: dict[str, float], quantum: int) -> dict[str, int]:
-    """Whole shares of ``quantum``, one at least for each source; sources without a weight share the rest alike."""
-    if len(sources) > quantum:
-        raise ValueError(f"{len(sources)} sources cannot share {quantum} slots; raise quantum")
-    known = {s: weights[s] for s in sources if s in weights}
-    rest = max(0.0, 1 - sum(known.values())) / max(1, len(sources) - len(known))
-    want = {s: known.get(s, rest) for s in sources}
-    total = sum(want.values()) or 1
-    spare = quantum - len(sources)
-    exact = {s: spare * (want[s] / total if sum(want.values()) else 1 / len(sources)) for s in sources}
-    given = {s: 1 + int(exact[s]) for s in sources}
-    for s in sorted(sources, key=lambda s: (int(exact[s]) - exact[s], s))[: quantum - sum(given.values())]:
-        given[s] += 1
-    return given
-
-
 def exact_shares(sources: list[str], weights: dict[str, float]) -> dict[str, int]:
     """The true weights as whole shares of their sum, without the sources of weight 0; those without a weight share the rest alike."""
     want = {s: Fraction(str(weights[s])).limit_denominator(10**9) for s in sources if s in weights}
@@ -59,7 +41,7 @@ def exact_shares(sources: list[str], weights: dict[str, float]) -> dict[str, int
 
 
 def block_slots(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of so many blocks of each source, as ``schedule`` chooses, idle slots jumped over."""
+    """(source, block, slot) of so many blocks of each source, earliest deadline first (ties by source name), idle slots jumped over."""
     period, slot, out, ready = sum(shares.values()), 0, [], []
     waiting = [(0, s, 0) for s in shares if blocks[s]]
     heapq.heapify(waiting)
@@ -77,12 +59,12 @@ def block_slots(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[st
     return out
 
 
-def slot_table(counts: dict[str, int], weights: dict[str, float], block: int, quantum: int | None) -> list[dict]:
+def slot_table(counts: dict[str, int], weights: dict[str, float], block: int) -> list[dict]:
     """A row for each source and block of a period: place _s, shares _a of the period _p, first slot _f."""
     sources = sorted(counts)
     if not sources:
         return []
-    shares = quanta(sources, weights, quantum) if quantum and len(sources) <= quantum else exact_shares(sources, weights)
+    shares = exact_shares(sources, weights)
     period = sum(shares.values())
     blocks = {s: -(-counts[s] // block) for s in sources}
     found = block_slots(shares, shares if period <= MOST_SLOTS else blocks)
@@ -92,23 +74,13 @@ def slot_table(counts: dict[str, int], weights: dict[str, float], block: int, qu
     return rows + [{"_source": s, "_k": 0, "_s": i, "_a": 1, "_p": len(behind), "_f": max(ends.values())} for i, s in enumerate(behind)]
 
 
-def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) over one period; ties of deadlines go by source name."""
-    period, done, out = sum(shares.values()), dict.fromkeys(shares, 0), []
-    for slot in range(period):
-        ready = [(-(-(done[s] + 1) * period // a), s) for s, a in shares.items() if done[s] < a and done[s] * period // a <= slot]
-        s = min(ready)[1]
-        out.append((s, done[s], slot))
-        done[s] += 1
-    return out
-
-
-def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` beside _source, _rank, _block, _release, _deadline and _slot."""
     spark = docs.sparkSession
-    rows = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bucket": F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(BUCKETS)).cast("int"), "_tie": F.xxhash64(text_col)})
+    # rows are counted within 4096 buckets a source, so that a hot source spreads over many tasks
+    rows = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bucket": F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int"), "_tie": F.xxhash64(text_col)})
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    slots = slot_table(dict(counts.groupBy("_source").agg(F.sum("_n")).collect()), weights, block, quantum)  # a row a source
+    slots = slot_table(dict(counts.groupBy("_source").agg(F.sum("_n")).collect()), weights, block)  # a row a source
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(slots)), "array<struct<_source:string,_k:bigint,_s:bigint,_a:bigint,_p:bigint,_f:bigint>>")).alias("x")).select("x.*")
@@ -125,43 +97,44 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: in
     }).select(*docs.columns, "_source", "_rank", "_block", "_release", "_deadline", "_slot")
 
 
-def mixed_order(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = 1000) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: dict[str, float], block: int = 64) -> DataFrame:
     """doc_id, source and the place of every document in the mixture."""
     slim = docs.select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"))
-    rows = mix(slim, weights, block, quantum)
+    rows = mix(slim, weights, block)
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_rank").alias("source_rank"), F.col("_block").alias("block"), F.col("_release").alias("release_slot"), F.col("_deadline").alias("deadline_slot"), F.col("_slot").alias("slot"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block: int = 64, quantum: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block: int = 64) -> DataFrame:
     """All rows and columns, range-partitioned and sorted by slot, so that files written from it are in mixed order."""
     slim = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").cast("string").alias("text"))
-    ordered = mix(slim, weights, block, quantum).select("row", "_slot", "_rank")
+    ordered = mix(slim, weights, block).select("row", "_slot", "_rank")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return ordered.repartitionByRange(parts, "_slot", "_rank").sortWithinPartitions("_slot", "_rank").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def oracle(weights: dict[str, float], block: int, quantum: int) -> str:
-    """DuckDB SQL of ``mixed_order``; the schedule comes from a recursive query."""
-    values = ", ".join(f"('{s}', {w}::DOUBLE)" for s, w in weights.items())
+def oracle(weights: dict[str, float], block: int) -> str:
+    """DuckDB SQL of ``mixed_order``; the schedule comes from a recursive query over one period of the exact weights."""
+    parts = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in parts.values()))
+    values = ", ".join(f"('{s}', {int(x * whole)}::BIGINT)" for s, x in parts.items())
+    digit = "strpos('0123456789abcdef', substr(h, {}, 1)) - 1".format
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, ((coalesce(doc_id, -1) % {BUCKETS}) + {BUCKETS}) % {BUCKETS} AS b FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 given(source, w) AS (VALUES {values}),
-s0 AS (SELECT DISTINCT source FROM d),
-s1 AS (SELECT source, w FROM s0 LEFT JOIN given USING (source)),
-s2 AS (SELECT source, coalesce(w, greatest(0.0, 1 - (SELECT coalesce(sum(w), 0) FROM s1)) / greatest(1, (SELECT count(*) FROM s1 WHERE w IS NULL))) AS w FROM s1),
-s3 AS (SELECT source, ({quantum} - (SELECT count(*) FROM s2)) * (w / (SELECT sum(w) FROM s2)) AS e FROM s2),
-s4 AS (SELECT source, 1 + floor(e)::BIGINT AS a, row_number() OVER (ORDER BY floor(e) - e, source) AS r FROM s3),
-sh AS (SELECT source, a + (r <= {quantum} - (SELECT sum(a) FROM s4))::BIGINT AS a FROM s4),
-l AS (SELECT list(source ORDER BY source) AS ss, list(a ORDER BY source) AS aa FROM sh),
+s1 AS (SELECT source, w FROM (SELECT DISTINCT source FROM d) LEFT JOIN given USING (source)),
+s2 AS (SELECT source, CASE WHEN w IS NULL THEN {whole} - coalesce(sum(w) OVER (), 0) ELSE w * greatest(1, count(*) FILTER (w IS NULL) OVER ()) END::BIGINT AS w FROM s1),
+g AS (SELECT list_reduce(list(w), lambda x, y: gcd(x, y)) AS g, (sum(w) // list_reduce(list(w), lambda x, y: gcd(x, y)))::BIGINT AS p FROM s2),
+sh AS (SELECT source, w // g AS a, p FROM s2, g),
+l AS (SELECT list(source ORDER BY source) AS ss, list(a ORDER BY source) AS aa, any_value(p) AS p FROM sh),
 e(t, n, pick, k) AS (
   SELECT -1::BIGINT, list_transform(aa, lambda x: 0::BIGINT), 0::BIGINT, -1::BIGINT FROM l
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(n) + 1), lambda i: n[i] + (i = p)::BIGINT), p, n[p]
-  FROM (SELECT t, n, list_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] < aa[i] AND n[i] * {quantum} // aa[i] <= t + 1),
-               lambda i: {{'d': ((n[i] + 1) * {quantum} + aa[i] - 1) // aa[i], 'i': i}}))[1].i AS p FROM e, l WHERE t < {quantum} - 1)),
+  SELECT t + 1, list_transform(range(1, len(n) + 1), lambda i: n[i] + (i = j)::BIGINT), j, n[j]
+  FROM (SELECT t, n, list_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] < aa[i] AND n[i] * p // aa[i] <= t + 1),
+               lambda i: {{'d': ((n[i] + 1) * p + aa[i] - 1) // aa[i], 'i': i}}))[1].i AS j FROM e, l WHERE t < p - 1)),
 tab AS (SELECT ss[pick] AS source, k, t AS s FROM e, l WHERE t >= 0),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY b, doc_id) - 1 AS source_rank FROM d)
-SELECT doc_id, r.source, source_rank, source_rank // {block} AS block, (source_rank // {block}) * {quantum} // a AS release_slot,
-       ((source_rank // {block} + 1) * {quantum} + a - 1) // a AS deadline_slot, ((source_rank // {block}) // a) * {quantum} + s AS slot
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY 256 * ({digit(1)}) + 16 * ({digit(2)}) + {digit(3)}, doc_id) - 1 AS source_rank FROM d)
+SELECT doc_id, r.source, source_rank, source_rank // {block} AS block, (source_rank // {block}) * p // a AS release_slot,
+       ((source_rank // {block} + 1) * p + a - 1) // a AS deadline_slot, ((source_rank // {block}) // a) * p + s AS slot
 FROM r JOIN sh ON r.source = sh.source JOIN tab ON tab.source = r.source AND tab.k = (source_rank // {block}) % a
 """

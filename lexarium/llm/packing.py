@@ -202,7 +202,7 @@ def pack_mixed(docs: DataFrame, weights: dict[str, float], tokenizer: str, chunk
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).cast("string").alias("text"), docs["text"].alias("body"))
     encoded = cut(slim.mapInArrow(trimmed(encode), "doc_id long, source string, text string, length long, crcs array<long>"))
-    slots = mixing.mix(encoded, weights, quantum=None).select(F.expr(f"_slot div {window}").alias("window"), "_slot", "_rank", "doc_id", "length", "crcs")
+    slots = mixing.mix(encoded, weights).select(F.expr(f"_slot div {window}").alias("window"), "_slot", "_rank", "doc_id", "length", "crcs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = cut(slots.repartition(parts, "window").sortWithinPartitions("window", "_slot", "_rank").mapInArrow(place, "window long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence long, offset long"))
     sizes = sorted((r[0], r[1] + 1) for r in own.groupBy("window").agg(F.max("sequence")).collect())  # a row a window

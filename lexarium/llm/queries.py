@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_pfair_mixing": mixing.oracle(MIX_WEIGHTS, 64, 1000)}
+    return {"op7_quality_rules": quality_rules.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_pfair_mixing": mixing.oracle(MIX_WEIGHTS, 64)}

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm.tokenizing import encoder
+from lexarium.llm.tokenizing import encoder, id_bytes
 from lexarium.session import cut, shared_dir
 
 MAGIC = 0x184D2A5D  # of a skippable frame
@@ -71,7 +71,10 @@ class ShardWriter:
         keys = np.array([0 if i is None else i for i, _ in self.held], "<i8")
         known = np.array([i is not None for i, _ in self.held], "u1")
         lengths = np.array([len(x) for _, x in self.held], "<u4")
-        body = np.concatenate([x for _, x in self.held]).astype(f"<u{self.width}")
+        body = np.concatenate([x for _, x in self.held])
+        if len(body) and int(body.max()) >> 8 * self.width:
+            raise ValueError(f"an id does not fit in {self.width} bytes")
+        body = body.astype(f"<u{self.width}")
         raw = struct.pack("<I", len(keys)) + keys.tobytes() + known.tobytes() + lengths.tobytes() + body.tobytes()
         data = self.zip.compress(raw)
         ids = keys[known == 1]
@@ -200,7 +203,7 @@ def _read(manifest: DataFrame, full: bool) -> DataFrame:
 def token_digests(docs: DataFrame, tokenizer: str, chunks: str, path: str | None = None) -> DataFrame:
     """Write all rows to shards in the shared folder and read each document's digest back from the files."""
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return _read(write_shards(docs, path, tokenizer, chunks, width=2), False)
+    return _read(write_shards(docs, path, tokenizer, chunks, width=id_bytes(tokenizer)), False)
 
 
 def open_manifest(spark: SparkSession, rows: list[tuple]) -> DataFrame:

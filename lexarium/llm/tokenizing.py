@@ -2,11 +2,14 @@
 
 Both supported pre-tokenizers never join across a white-space boundary between two visible characters, so a
 text's ids are the concatenated ids of its chunks, and a chunk seen before need not be encoded again. Texts with
-white space beyond the six ASCII characters are encoded whole.
+white space beyond the six ASCII characters, or with one of the tokenizer's added tokens, are encoded whole. Added
+tokens (such as an end-of-text mark) inside a text get their own ids, as the library gives them; ``protect`` has them
+encoded as plain text instead.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
@@ -39,11 +42,15 @@ class Encoder:
     bounded by ``cache`` entries of at most 64 characters.
     """
 
-    def __init__(self, path: str, chunks: str, cache: int = 1_200_000):
+    def __init__(self, path: str, chunks: str, cache: int = 1_200_000, protect: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = protect
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lead = os.path.commonprefix(added)  # every text that lacks it is free of added tokens
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.lead = "" if self.lead.lower() != self.lead.upper() else self.lead
         self.chunks, self.limit, self.known, self.lower = _CHUNKS.get(chunks), cache, {}, chunks == "words"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -100,7 +107,7 @@ class Encoder:
         if self.chunks is None:
             yield from self._ids(texts) if texts else ()
             return
-        whole = [bool((_CONTROL if t.isascii() else _ODD).search(t)) for t in texts]
+        whole = [bool((_CONTROL if t.isascii() else _ODD).search(t)) or self.lead in t and bool(self.added.search(t)) for t in texts]
         pieces = [[] if w else self.chunks.findall(t) for t, w in zip(texts, whole, strict=True)]
         distinct = set().union(*pieces)
         new = list(distinct.difference(self.known))
@@ -116,14 +123,20 @@ class Encoder:
                 known.pop(p, None)
 
 
-def encoder(path: str, chunks: str, cache: int = 1_200_000) -> Encoder:
+def encoder(path: str, chunks: str, cache: int = 1_200_000, protect: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary file; opened once a process. An entry of its cache takes about 200 bytes."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, chunks) not in _open:
-        _open[path, chunks] = Encoder(path, chunks, cache)
-    return _open[path, chunks]
+    key = (path, chunks, protect)
+    if key not in _open:
+        _open[key] = Encoder(path, chunks, cache, protect)
+    return _open[key]
+
+
+def id_bytes(path: str) -> int:
+    """Bytes that hold any id of a vocabulary file: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values(), default=0) < 1 << 16 else 4
 
 
 def public_path(name: str) -> str:

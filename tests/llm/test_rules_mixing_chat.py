@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from hypothesis import given
@@ -63,23 +64,32 @@ def test_quality_rules(spark, monkeypatch, most):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
-@given(st.dictionaries(st.text("abcdefg", min_size=1, max_size=3), st.floats(0.001, 1), min_size=1, max_size=12))
-def test_schedule_deviates_by_less_than_one_block(weights):
-    shares = mixing.quanta(sorted(weights), weights, 200)
-    assert sum(shares.values()) == 200
+@given(st.dictionaries(st.text("abcdefg", min_size=1, max_size=3), st.integers(1, 40), min_size=1, max_size=12))
+def test_schedule_deviates_by_less_than_one_block_from_the_target(weights):
+    total = sum(weights.values())
+    targets = {s: Fraction(w, total) for s, w in weights.items()}
+    shares = mixing.exact_shares(sorted(weights), {s: w / 1024 for s, w in weights.items()})
+    assert {s: Fraction(a, sum(shares.values())) for s, a in shares.items()} == targets
     done = Counter()
-    slots = sorted(mixing.schedule(shares), key=lambda x: x[2])
-    assert [x[2] for x in slots] == list(range(200))
+    slots = sorted(mixing.block_slots(shares, {s: 3 * a for s, a in shares.items()}), key=lambda x: x[2])
+    assert [x[2] for x in slots] == list(range(3 * sum(shares.values())))
     for s, k, t in slots:
         assert k == done[s]
         done[s] += 1
-        assert all(abs(done[x] - shares[x] * (t + 1) / 200) < 1 for x in shares)
+        assert all(abs(done[x] - targets[x] * (t + 1)) < 1 for x in targets)
+
+
+def test_twenty_sources_keep_their_targets_over_many_periods(spark):
+    df = spark.range(60_000).selectExpr("id * 1024 AS doc_id", "'' AS text", "'src' || IF(id % 3 = 0, 0, id % 20) AS source")
+    out = mixing.mixed_order(df, {"src0": 0.2, "src1": 0.1}, block=10).where("slot < 1011").groupBy("source").agg({"slot": "count"}).collect()
+    got = {s: n / 10 for s, n in out}
+    assert abs(got["src0"] - 0.2 * 1011) < 1 and abs(got["src1"] - 0.1 * 1011) < 1 and all(abs(n - 0.7 / 18 * 1011) < 1 for s, n in got.items() if s not in ("src0", "src1"))
 
 
 def test_mixing(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 7}") for i in range(3000)] + [(None, None, None), (5, "t5", "hot"), (5, "t5", "hot")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, slot int")
-    out = mixing.mixed_order(df, {"hot": 0.5}, block=10, quantum=100).collect()
+    out = mixing.mixed_order(df, {"hot": 0.5}, block=10).collect()
     assert sorted((str(r.doc_id), r.source) for r in out) == sorted((str(i), s or "") for i, _, s in rows)
     by = defaultdict(list)
     for r in out:
@@ -131,23 +141,25 @@ def test_conversations(spark):
     r = chat.format_conversations(one).first()
     assert (r.turns_sha256, r.loss_sha256) == (hashlib.sha256(("user\na\nassistant\n" + "<|im_end|>é" * 999 + "\nuser\n\nassistant\nok\n").encode()).hexdigest(), hashlib.sha256(("<|im_end|>é" * 999 + "ok").encode()).hexdigest())
     assert chat.format_conversations(df.limit(0)).count() == 0
+    ties = spark.createDataFrame([(1, 0, "user", x) for x in "cadb"], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(ties).first().turns_sha256 == hashlib.sha256(b"user\na\nuser\nb\nuser\nc\nuser\nd\n").hexdigest()
 
 
 def test_true_weights_of_many_sources():
     for n in (20, 500, 1500):
-        rows = mixing.slot_table({f"src{i}": 64 * 1000 for i in range(n)}, {"src0": 0.2, "src1": 0.1}, 64, None)
+        rows = mixing.slot_table({f"src{i}": 64 * 1000 for i in range(n)}, {"src0": 0.2, "src1": 0.1}, 64)
         assert {(r["_a"] / r["_p"]) for r in rows if r["_source"] == "src0"} == {0.2} and {(r["_a"] / r["_p"]) for r in rows if r["_source"] == "src1"} == {0.1}
         assert sorted(r["_s"] for r in rows) == list(range(rows[0]["_p"]))
         done = 0
         for r in sorted(rows, key=lambda r: r["_s"]):
             done += r["_source"] == "src0"
             assert abs(done - 0.2 * (r["_s"] + 1)) < 1
-    odd = mixing.slot_table({"a": 6400, "b": 640, "c": 640}, {"a": 0.123456789, "b": 0.0}, 64, None)
+    odd = mixing.slot_table({"a": 6400, "b": 640, "c": 640}, {"a": 0.123456789, "b": 0.0}, 64)
     assert len(odd) == 100 + 10 + 1 and all(r["_k"] * r["_p"] // r["_a"] <= r["_s"] < -(-(r["_k"] + 1) * r["_p"] // r["_a"]) for r in odd)
     assert all(r["_f"] >= max(x["_s"] for x in odd if x["_source"] != "b") for r in odd if r["_source"] == "b")
 
 
-def test_more_sources_than_the_quantum(spark):
+def test_more_than_a_thousand_sources(spark):
     df = spark.createDataFrame([(i, f"t{i}", f"s{i}") for i in range(1100)], "doc_id long, text string, source string")
     out = mixing.mixed_order(df, {"s0": 0.2}).collect()
     assert len({r.slot for r in out}) == 1100 and all(r.release_slot <= r.slot < r.deadline_slot for r in out)

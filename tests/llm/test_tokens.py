@@ -1,23 +1,29 @@
 import io
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lexarium.llm import packing, tokenfile
-from lexarium.llm.tokenizing import Encoder, public_path
+from lexarium.llm.tokenizing import Encoder, id_bytes, public_path
 
-TEXTS = ["a  b\n\n c\t d", " x", "x ", "\n\nfoo \n bar", "", "'s it's   x", "Ünï  çödé'll ΣΑΣ, 12345 !!??", "é ́x", "a\x0bb\x0cc\r\nd  \r\n  e", "　a b   c", "\x1ca \x1f", "<|endoftext|> hi", "x" * 3000]
+TEXTS = ["a  b\n\n c\t d", " x", "x ", "\n\nfoo \n bar", "", "'s it's   x", "Ünï  çödé'll ΣΑΣ, 12345 !!??", "é ́x", "a\x0bb\x0cc\r\nd  \r\n  e", "　a b   c", "\x1ca \x1f", "<|endoftext|> hi", "a <|endoftext|>b  <|EndOfText|> <|startoftext|> c<|",  "x" * 3000]
 
 
 @pytest.mark.parametrize(("name", "chunks"), [("byte_bpe_50k.json", "spaces"), ("word_bpe_49k.json", "words")])
 def test_cached_encoding_equals_whole_texts(name, chunks):
-    e = Encoder(public_path(name), chunks, cache=5)
+    e, plain = Encoder(public_path(name), chunks, cache=5), Tokenizer.from_file(public_path(name))
     for text in TEXTS + TEXTS:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    kept = Encoder(public_path(name), chunks, protect=True)
+    plain.encode_special_tokens = True
+    for text in TEXTS:
+        assert np.frombuffer(kept.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @settings(deadline=None, max_examples=200)
@@ -26,7 +32,20 @@ def test_cached_encoding_of_any_text(text, which):
     from lexarium.llm.tokenizing import encoder
 
     e = encoder(public_path(which[0]), which[1])
-    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == fresh(which[0]).encode(text, add_special_tokens=False).ids
+
+
+@cache
+def fresh(name):
+    return Tokenizer.from_file(public_path(name))
+
+
+def test_wide_ids_are_not_cut():
+    w = tokenfile.ShardWriter(io.BytesIO(), 2)
+    w.add(1, np.array([70_000], "<u4"))
+    with pytest.raises(ValueError, match="does not fit"):
+        w.close()
+    assert id_bytes(public_path("byte_bpe_50k.json")) == 2
 
 
 def test_shard_round_trip_and_random_access():
