@@ -33,7 +33,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), 400)
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), 400, 200)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

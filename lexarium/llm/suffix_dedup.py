@@ -4,15 +4,18 @@ Sorting every suffix of a corpus would move hundreds of bytes for each byte of t
 ``length`` bytes hold the same smallest-hashed gram at the same place, though, so only one suffix in about 150, the
 one that starts with such an anchor gram, needs to be a row; it stands for the run of starts around it.
 
-1. Sampled splitters range-partition the anchor suffixes by their leading tokens (the anchor gram, then the bytes
-   of the whole run), so equal keys share a bucket and a common gram still spreads over several. Sorted buckets are
-   compared with the neighbour; the groups at a bucket's ends count as continued across the boundary.
-2. Runs equal as a whole are repeated as a whole. Runs that only share the gram are read from their texts, and all
-   suffixes in them are sorted by multikey quicksort on successive tokens: ties of one token, and only those, are
-   ordered by the next. What is tied to the last token is repeated.
+1. Splitters, sampled from the suffixes of a hashed share of the texts, range-partition the anchor suffixes by their
+   leading tokens (the anchor gram, then the whole run, then the text), so even one string that a third of all
+   documents hold spreads over many buckets. Each bucket sorts its suffixes by multikey quicksort, and what lies at
+   its ends is compared with the ends of the others. Runs found twice are repeated as a whole.
+2. Runs that only share the gram are cut into blocks of neighbouring starts. All strings that start in a block share
+   its core, so blocks are range-partitioned, sorted and compared likewise by their cores, and in blocks of equal cores
+   the strings are told apart by the few bytes on both sides that the core leaves out. Strings of a core that goes on
+   across buckets are counted over all of them.
 3. The repeated spans of a text are joined to it and cut out.
 
 Texts are keyed by 128 bits of hash, so equal texts share their spans. Tokens are compared by 64-bit hashes each.
+Longer repeats lie inside shorter ones, so spans of a second, greater length are searched in the first one's only.
 
 Rows: null texts count as empty and stay so; texts shorter than ``length`` bytes come back whole. Repeated rows
 repeat each other, so they are removed where long enough. Ids may be null or repeated. Other columns are not
@@ -30,17 +33,23 @@ from pyspark.sql import functions as F
 
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows, trimmed
-from lexarium.llm.jaccard_join import _lists
 from lexarium.llm.marks import marked, places, unpacked
 from lexarium.session import cut
 
 _PLACE = np.uint64(24)
 #: Starts worked on at once in a long text; places within fit in 24 bits.
 _STRETCH = 1 << 22
-_TOKENS = 4
-#: Suffixes sorted at once; the groups of one gram that hold more are sorted by phases.
-SUFFIXES = 300_000
-_RUN = "ka long, kb long, s0 int, s1 int, anchor int, gram long"
+#: Most neighbouring starts of a block.
+BLOCK = 64
+#: Sampled keys for each bucket, and one text in how many gives samples.
+PER_BUCKET, ONE_IN = 40, 32
+#: Suffixes of a bucket, about: with more, there are more buckets than shuffle partitions.
+BUCKET_ROWS = 1_000_000
+_RUN = "gram long, run long, ka long, kb long, base int, s0 int, s1 int, anchor int"
+_BLOCK = "core long, ka long, kb long, at int, lo int, hi int, fringe binary"
+_SPAN = "ka long, kb long, start int, end int"
+#: What a row found in a bucket is: surely repeated, surely to be compared on, either if the bucket's end goes on elsewhere, an end itself.
+WHOLE, OPEN, IF_WHOLE, IF_OPEN, END = range(5)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -81,153 +90,253 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 def _anchor_rows(length: int, gram: int):
+    """The anchor suffixes of (ka, kb, base, body): ``base`` is where the body lies in its text."""
+
     def run(batches):
         for b in batches:
-            data, offsets = tk.buffers(b.column("text"))
+            data, offsets = tk.buffers(b.column("body"))
             text, s0, s1, k, grams, runs = anchors(data, offsets, length, gram)
             if len(text):
-                ka, kb = b.column("ka").to_numpy()[text], b.column("kb").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(ka), pa.array(kb), *(pa.array(x.astype(np.int32)) for x in (s0, s1, k)), pa.array(grams.view(np.int64)), pa.array(runs.view(np.int64))], ["ka", "kb", "s0", "s1", "anchor", "gram", "run"])
+                base = b.column("base").to_numpy()[text]
+                whole = [b.column("ka").to_numpy()[text], b.column("kb").to_numpy()[text], base, *((x + base).astype(np.int32) for x in (s0, s1, k))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams.view(np.int64), runs.view(np.int64), *whole)], ["gram", "run", "ka", "kb", "base", "s0", "s1", "anchor"])
 
     return run
 
 
-def _neighbours(batches):
-    """From rows sorted by gram and run: rows of runs found twice (whole), and one row of each run of grams with several.
+def multikey(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of rows by several tokens, and how many leading tokens each shares with the row before it.
 
-    Holds one batch and the rows that the next one is compared with. The first and the last gram of a bucket are
-    taken to go on beyond it.
+    Multikey quicksort over arrays: sort by one token, then order only the groups of ties by the next.
     """
-    names = ["gram", "run", "ka", "kb", "s0", "s1", "anchor"]
-
-    def emit(cols, pick, whole):
-        return pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in cols[2:]] + [pa.array(cols[0][pick]), pa.array(np.full(int(pick.sum()) if pick.dtype == bool else len(pick), whole))], ["ka", "kb", "s0", "s1", "anchor", "gram", "whole"])
-
-    carry = None  # the last row so far, with whether its run was met before and its gram's first row was sent
-    first_gram, head, sent, again = None, None, False, False
-    for b in batches:
-        if not len(b):
-            continue
-        new = [b.column(c).to_numpy() for c in names]
-        cols = [np.concatenate([x[None] if np.ndim(x) == 0 else x, y]) for x, y in zip(carry, new, strict=True)] if carry is not None else new
-        gram, run = cols[0], cols[1]
-        if first_gram is None:
-            first_gram = gram[0]
-        same_gram = gram[1:] == gram[:-1]
-        same_run = same_gram & (run[1:] == run[:-1])
-        twice = np.zeros(len(gram), bool)
-        twice[1:] |= same_run
-        twice[:-1] |= same_run
-        if carry is not None and again:
-            twice[0] = False  # sent already
-        whole = twice.copy()
-        fresh = np.r_[carry is None, ~same_run]  # first row of a run
-        inner = np.r_[False, same_gram] & fresh  # a further run of a gram
-        start = np.maximum.accumulate(np.where(np.r_[True, ~same_gram], np.arange(len(gram)), 0))
-        edge = fresh & (gram == first_gram)
-        heads = np.unique(start[inner])
-        if carry is not None and len(heads) and heads[0] == 0:
-            heads = heads[1:]  # the head of a gram that began earlier is kept apart
-            if not sent and head is not None:
-                yield emit([np.array([x]) for x in head], np.array([True]), False)
-            sent = True
-        pick = inner | edge
-        pick[heads] = True
-        if pick.any():
-            yield emit(cols, pick, False)
-        last_start = start[-1]
-        if carry is None or last_start > 0:
-            head, sent = [c[last_start] for c in cols], bool(pick[last_start])
-        if len(gram) > 1:
-            again = bool(twice[-1])
-        if whole.any():
-            yield emit(cols, whole, True)
-        carry = [c[-1] for c in cols]
-    if head is not None and not sent:
-        yield emit([np.array([x]) for x in head], np.array([True]), False)
-
-
-def _contents(length: int):
-    def run(batches):
+    n = len(keys[0])
+    order, shared = np.argsort(keys[0], kind="stable"), np.zeros(n, np.int64)
+    if n < 2:
+        return order, shared
+    at, group = np.arange(n), np.zeros(n, np.int64)
+    for depth, key in enumerate(keys):
+        if depth:
+            order[at] = order[at[np.lexsort((key[order[at]], group))]]
+        k = key[order[at]]
+        same = (k[1:] == k[:-1]) & (group[1:] == group[:-1])
+        shared[at[1:][same]] = depth + 1
+        tied = np.r_[same, False] | np.r_[False, same]
+        at, group = at[tied], np.cumsum(np.r_[0, ~same])[tied]
+        if not len(at):
+            break
+    return order, shared
+
+
+def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
+    """How many splitters, sorted by all tokens, come before each row."""
+    low = np.searchsorted(splitters[0], keys[0], "left")
+    if len(keys) > 1 and len(low):
+        high = np.searchsorted(splitters[0], keys[0], "right")
+        tied = np.flatnonzero(high > low)
+        start = low[tied]
+        for a in np.unique(start):
+            which = tied[start == a]
+            z = int(high[which[0]])
+            low[which] = a + bucket_of([k[which] for k in keys[1:]], [s[a:z] for s in splitters[1:]])
+    return low
+
+
+def _dealt(rows: DataFrame, sample: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` on the columns of each bucket of ``rows`` under splitters sampled from ``sample``; cut.
+
+    ``sample`` holds one row in ONE_IN, about. The driver gets PER_BUCKET keys a bucket of it.
+    """
+    spark = rows.sparkSession
+    sample = cut(sample.select(*keys))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sample.count() * ONE_IN // BUCKET_ROWS))
+    drawn = np.array([tuple(r) for r in sample.orderBy(F.xxhash64(*keys)).limit(PER_BUCKET * parts).collect()], np.int64).reshape(-1, len(keys))
+    drawn = drawn[np.lexsort(drawn.T[::-1])]
+    splitters = spark.sparkContext.broadcast(drawn[np.unique(np.linspace(0, len(drawn), parts + 1)[1:-1].astype(np.int64))] if len(drawn) else drawn)
+
+    def deal(batches):
+        split = list(splitters.value.T)
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for ka, kb, text, runs in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                raw = text.encode()
-                for r in runs:
-                    for column, value in zip(out, (r["gram"], ka, kb, r["s0"], r["anchor"] - r["s0"], raw[r["s0"] : r["s1"] + length]), strict=True):
-                        column.append(value)
-                if len(out[0]) > 20_000:
-                    yield _content_batch(out)
-                    out = [[] for _ in range(6)]
-            if out[0]:
-                yield _content_batch(out)
+            own = bucket_of([b.column(k).to_numpy() for k in keys], split)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], [*b.schema.names, "bucket"])
 
-    return run
+    def each(batches):
+        held, bucket = [], None
+        for b in batches:
+            own = b.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if z > a:
+                    if held and own[a] != bucket:
+                        yield from work(pa.Table.from_batches(held), bucket)
+                        held = []
+                    bucket = int(own[a])
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from work(pa.Table.from_batches(held), bucket)
 
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return cut(rows.mapInArrow(trimmed(deal), f"{kinds}, bucket int").repartitionById(parts, "bucket").mapInArrow(trimmed(each), schema))
 
-def _content_batch(out):
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["gram", "ka", "kb", "s0", "phase", "bytes"])
 
+def _array(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
 
-def multikey_ties(lead: np.ndarray, token, tokens: int) -> np.ndarray:
-    """Which of the suffixes are tied with another one in all tokens; ``token(k, which)`` gives a token of some.
 
-    Multikey quicksort over arrays: sort by one token, then go on with each group of ties at the next.
+def _sliced(columns: list, names: list[str], most: int = 100_000):
+    for i in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most]) for c in columns], names)
+
+
+def _same_runs(table: pa.Table, bucket: int):
+    """Rows of runs found twice (WHOLE), one row of each run of grams with several (OPEN), and what the ends may add.
+
+    The two rows of END hold the first and the last gram and run of the bucket.
     """
-    out = np.zeros(len(lead), bool)
-    which, group = np.arange(len(lead)), lead
-    for k in range(tokens + 1):
-        if not len(which):
-            return out
-        order = np.argsort(group, kind="stable")
-        which, group = which[order], group[order]
-        same = group[1:] == group[:-1]
-        tied = np.r_[False, same] | np.r_[same, False]
-        which, group = which[tied], group[tied]
-        if k == tokens:
-            break
-        rank = np.cumsum(np.r_[True, group[1:] != group[:-1]]).astype(np.uint64)
-        group = tk.mix(token(k, which) ^ tk.mix(rank))
-    out[which] = True
-    return out
+    names = ["gram", "run", "ka", "kb", "base", "s0", "s1", "anchor"]
+    columns = [_array(table.column(n)) for n in names]
+    order, shared = multikey(columns[:2])
+    columns = [c[order] for c in columns]
+    run_id, gram_id, first = np.cumsum(shared < 2) - 1, np.cumsum(shared < 1) - 1, shared < 2
+    run_id[0] = gram_id[0] = 0
+    twice, several = (np.bincount(run_id) > 1)[run_id], (np.bincount(gram_id[first]) > 1)[gram_id]
+    code = np.full(len(order), -1, np.int8)
+    code[(run_id == 0) | (run_id == run_id[-1])] = IF_WHOLE
+    code[twice] = WHOLE
+    other = np.full(len(order), -1, np.int8)
+    other[first & ((gram_id == 0) | (gram_id == gram_id[-1]))] = IF_OPEN
+    other[first & several] = OPEN
+    for c in (code, other):
+        pick = np.flatnonzero(c >= 0)
+        yield from _sliced([c[pick], *(x[pick] for x in columns), np.full(len(pick), bucket, np.int32)], ["code", *names, "bucket"])
+    ends = [0, len(order) - 1]
+    yield from _sliced([np.full(2, END, np.int8), *(x[ends] for x in columns), np.full(2, bucket, np.int32)], ["code", *names, "bucket"])
+
+
+def _block_rows(length: int, width: int):
+    """The blocks of starts of each text's open runs, with the bytes of their strings that the core leaves out."""
+
+    def run(batches):
+        last = None
+        for b in batches:
+            keys = list(zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("base").to_pylist(), strict=True))
+            new = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]  # equal texts lie together
+            last = keys[-1] if keys else last
+            b = b.take(pa.array(new, pa.int64()))
+            data, offsets = tk.buffers(b.column("body"))
+            lists = b.column("runs")
+            many = np.diff(lists.offsets.to_numpy())
+            runs = lists.flatten()
+            if not len(runs):
+                continue
+            row = np.repeat(np.arange(len(b)), many)
+            s0, s1, anchor, gram = (runs.field(n).to_numpy() for n in ("s0", "s1", "anchor", "gram"))
+            low, high = (anchor - s1).astype(np.int64), (anchor - s0).astype(np.int64)  # distances of the starts from the anchor
+            count = high // width - low // width + 1
+            of = np.repeat(np.arange(len(row)), count)
+            block = low[of] // width + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            lo, hi = np.maximum(low[of] - block * width, 0), np.minimum(high[of] - block * width, width - 1)
+            at = anchor[of] - block * width  # where the core begins in the text
+            place = at - b.column("base").to_numpy()[row[of]] + offsets[row[of]]  # and in the batch
+            core_size = length - width + 1
+            prefix = tk.prefix_hash(data, tk.EXACT)
+            core = tk.range_hash(prefix, place, place + core_size) ^ tk.mix(tk.mix(gram[of].view(np.uint64)) + block.astype(np.uint64))
+            steps = np.arange(width - 1)
+            for i in range(0, len(of), 20_000):
+                p, l, h = (x[i : i + 20_000, None] for x in (place, lo, hi))
+                left, right = p - width + 1 + steps, p + core_size + steps
+                kept = np.concatenate([steps >= width - 1 - h, steps < width - 1 - l], axis=1)
+                where = np.concatenate([left, right], axis=1)
+                body = np.where(kept, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+                fringe = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, body.size + 1, 2 * width - 2, dtype=np.int32) if width > 1 else np.zeros(len(body) + 1, np.int32)), pa.py_buffer(body.tobytes())])
+                r = row[of[i : i + 20_000]]
+                ints = [x[i : i + 20_000].astype(np.int32) for x in (at, lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(core[i : i + 20_000].view(np.int64)), b.column("ka").take(pa.array(r)), b.column("kb").take(pa.array(r)), *map(pa.array, ints), fringe], ["core", "ka", "kb", "at", "lo", "hi", "fringe"])
+
+    return run
+
 
+def _strings(table, width: int):
+    """For each start of a block: which blocks have a string there, and the strings' hashes."""
+    lo, hi = (table.column(n).to_numpy() for n in ("lo", "hi"))
+    size = 2 * width - 2
+    prefix = tk.prefix_hash(np.frombuffer(b"".join(table.column("fringe").to_pylist()), np.uint8), tk.EXACT)
+    core = table.column("core").to_numpy().view(np.uint64)
+    for q in range(width):
+        which = np.flatnonzero((lo <= q) & (q <= hi))
+        begin = which * size + width - 1 - q
+        yield q, which, tk.range_hash(prefix, begin, begin + width - 1) ^ tk.mix(core[which] + np.uint64(q))
+
+
+def _spans(ka, kb, at, tied: np.ndarray, length: int):
+    """Rows of repeated spans from the tied starts of blocks: neighbouring starts make one."""
+    wide = np.pad(tied, ((0, 0), (1, 1))).astype(np.int8)
+    turn = np.diff(wide, axis=1)
+    row, first = np.nonzero(turn == 1)
+    _, after = np.nonzero(turn == -1)
+    yield from _sliced([ka[row], kb[row], (at[row] - after + 1).astype(np.int32), (at[row] - first + length).astype(np.int32)], ["ka", "kb", "start", "end"])
+
+
+def _same_strings(length: int, width: int):
+    """Repeated spans of a bucket's blocks; blocks whose core is at an end of the bucket come back too, with a fringe."""
+
+    def run(table: pa.Table, bucket: int):
+        order, shared = multikey([_array(table.column("core"))])
+        core_id = np.cumsum(shared < 1) - 1
+        ends = (core_id == 0) | (core_id == core_id[-1])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        names = ["ka", "kb", "start", "end", "core", "at", "lo", "hi", "fringe", "bucket"]
+
+        def filled(columns: dict, n: int):
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
+
+        outer = table.take(pa.array(order[ends])).combine_chunks()
+        for b in outer.select(["ka", "kb", "core", "at", "lo", "hi", "fringe"]).to_batches(20_000):
+            yield filled(dict(zip(b.schema.names, b.columns, strict=True)) | {"bucket": pa.array(np.full(len(b), bucket, np.int32))}, len(b))
+        cuts = np.flatnonzero(np.r_[True, core_id[1:] != core_id[:-1], True]) if len(core_id) else np.zeros(1, np.int64)
+        size = np.diff(cuts)
+        tied_core = np.repeat(size > 1, size)
+        own = table.take(pa.array(order[tied_core])).combine_chunks()
+        if not len(own):
+            return
+        tied = np.zeros((len(own), width), bool)
+        for q, which, key in _strings(own, width):
+            if len(which) > 1:
+                o, same = multikey([key])
+                tied[which[o[np.r_[same[1:] > 0, False] | (same > 0)]], q] = True
+        for b in _spans(*(own.column(n).to_numpy() for n in ("ka", "kb", "at")), tied, length):
+            yield filled(dict(zip(b.schema.names, b.columns, strict=True)), len(b))
+
+    return run
+
+
+def _string_rows(length: int, width: int):
+    """One row for each string of blocks whose core goes on across buckets."""
 
-def _compare(length: int):
     def run(batches):
-        names = ["gram", "ka", "kb", "s0", "phase", "bytes"]
-        step = -(-length // _TOKENS)
-        for gram, ka, kb, s0, phase, raw in _lists(batches, names, 4_000):
-            size = np.array([len(x) for x in raw], np.int64)
-            at = np.r_[0, np.cumsum(size)]
-            prefix = tk.prefix_hash(np.frombuffer(b"".join(raw), np.uint8), tk.EXACT)
-            count = size - length + 1
-            # suffixes tie within a phase (their distance from the anchor) only, so phases are taken some at a time
-            low = int((phase - count).min()) + 1
-            blocks = max(1, int(count.sum()) // SUFFIXES)
-            edges = np.linspace(low, int(phase.max()) + 1, blocks + 1).astype(np.int64)
-            for p0, p1 in zip(edges[:-1], edges[1:], strict=True):
-                begin = np.maximum(0, phase - p1 + 1)
-                own = np.maximum(0, np.minimum(count - 1, phase - p0) - begin + 1)
-                row = np.repeat(np.arange(len(size)), own)
-                j = begin[row] + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-                start = at[row] + j
-                lead = tk.mix(gram[row].view(np.uint64) ^ tk.mix((phase[row] - j).astype(np.uint64)))
-
-                def token(k, which, prefix=prefix, start=start):
-                    a = start[which] + min(k * step, length - step)
-                    return tk.range_hash(prefix, a, a + step)
-
-                tied = np.flatnonzero(multikey_ties(lead, token, _TOKENS))
-                if not len(tied):
-                    continue
-                cuts = np.flatnonzero((np.diff(tied) != 1) | (np.diff(row[tied]) != 0))
-                a, z = tied[np.r_[0, cuts + 1]], tied[np.r_[cuts, len(tied) - 1]]
-                r = row[a]
-                yield pa.RecordBatch.from_arrays([pa.array(ka[r]), pa.array(kb[r]), pa.array((s0[r] + j[a]).astype(np.int32)), pa.array((s0[r] + j[z] + length).astype(np.int32))], ["ka", "kb", "start", "end"])
+        for b in batches:
+            if len(b):
+                table = pa.Table.from_batches([b])
+                ka, kb, at = (table.column(n).to_numpy() for n in ("ka", "kb", "at"))
+                for q, which, key in _strings(table, width):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ka[which], kb[which], (at[which] - q).astype(np.int32), (at[which] - q + length).astype(np.int32))], ["key", "ka", "kb", "start", "end"])
 
     return run
 
 
+def _over_ends(found: DataFrame, ends: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """The WHOLE and OPEN rows, with those that the comparison of all buckets' ends (gram, run, bucket) adds."""
+    spark, runs, buckets = found.sparkSession, {}, {}
+    for gram, run, bucket in ends:
+        runs.setdefault(gram, set()).add(run)
+        buckets.setdefault((gram, run), set()).add(bucket)
+    again = spark.createDataFrame([k for k, v in buckets.items() if len(v) > 1], "gram long, run long")  # two a bucket at most
+    more = spark.createDataFrame([(g,) for g, v in runs.items() if len(v) > 1], "gram long")
+    whole = found.where(F.col("code") == IF_WHOLE).join(F.broadcast(again), ["gram", "run"], "left_semi")
+    open_ = found.where(F.col("code") == IF_OPEN).join(F.broadcast(more), ["gram"], "left_semi")
+    keep = ["ka", "kb", "base", "s0", "s1", "anchor", "gram"]
+    return found.where(F.col("code") == WHOLE).select(keep).union(whole.select(keep)), found.where(F.col("code") == OPEN).select(keep).union(open_.select(keep))
+
+
 def _merge(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, z in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -243,31 +352,74 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"_ka": F.xxhash64(text), "_kb": F.xxhash64(F.lit(7), text)})
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """ka, kb and spans (array of start, end in bytes, unmerged) of every text with a repeated byte."""
-    gram = max(8, length // 4)
-    texts = _keyed(docs.select(docs[text_col].alias("text")), "text").where(F.octet_length("text") >= length).select(F.col("_ka").alias("ka"), F.col("_kb").alias("kb"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(trimmed(_anchor_rows(length, gram)), f"{_RUN}, run long")
-    found = cut(rows.repartitionByRange(parts, "gram", "run").sortWithinPartitions("gram", "run").mapInArrow(_neighbours, f"{_RUN}, whole boolean"))
-    open_ = found.where("not whole").groupBy("ka", "kb").agg(F.collect_list(F.struct("s0", "s1", "anchor", "gram")).alias("runs"))
-    marks = marked(found.where("not whole").select("ka"))
+def _bodies(docs: DataFrame, length: int, text_col: str) -> DataFrame:
+    """(ka, kb, base, body) of the whole texts of ``length`` bytes or more."""
+    texts = _keyed(docs.select(docs[text_col].alias("text")), "text").where(F.octet_length("text") >= length)
+    return texts.select(F.col("_ka").alias("ka"), F.col("_kb").alias("kb"), F.lit(0).alias("base"), F.col("text").cast("binary").alias("body"))
+
+
+def _pieces(bodies: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """The parts of whole texts that lie in the merged ``spans`` and have ``length`` bytes or more; cut."""
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for ka, kb, body, found in zip(*(b.column(c).to_pylist() for c in ("ka", "kb", "body", "spans")), strict=True):
+                for a, z in _merge(found):
+                    if z - a >= length:
+                        for column, value in zip(out, (ka, kb, a, body[a:z]), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ka", "kb", "base", "body"])
+
+    return cut(_marked_only(bodies, spans).join(spans, ["ka", "kb"]).mapInArrow(trimmed(run), "ka long, kb long, base int, body binary"))
+
 
-    def only_marked(batches):
+def _marked_only(bodies: DataFrame, keys: DataFrame) -> DataFrame:
+    """The bodies whose ka is in ``keys``, and a few others, before they are shuffled."""
+    marks = marked(keys.select("ka"))
+
+    def run(batches):
         bits = unpacked(marks)
         for b in batches:
             yield b.filter(pa.array(bits[places(b.column("ka").to_numpy())], pa.bool_()))
 
-    near = texts.mapInArrow(only_marked, "ka long, kb long, text string")
-    with batch_rows(docs.sparkSession, 1000):
-        contents = near.join(open_, ["ka", "kb"]).mapInArrow(trimmed(_contents(length)), "gram long, ka long, kb long, s0 int, phase int, bytes binary")
-        partly = cut(contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_compare(length)), "ka long, kb long, start int, end int"))
-    whole = found.where("whole").select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
-    return cut(whole.union(partly).groupBy("ka", "kb").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    return bodies.mapInArrow(run, "ka long, kb long, base int, body binary")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", within: DataFrame | None = None) -> DataFrame:
+    """ka, kb and spans (array of start, end in bytes, unmerged) of every text with a repeated byte.
+
+    ``within`` are the spans of a smaller length, which hold all those sought.
+    """
+    gram, width = max(8, length // 4), max(1, min(BLOCK, length // 4))
+    spark, bodies = docs.sparkSession, _bodies(docs, length, text_col)
+    if within is not None:
+        bodies = _pieces(bodies, within, length)
+    sampled = F.pmod(F.xxhash64("ka"), F.lit(ONE_IN)) == 0
+    suffixes = lambda x: x.mapInArrow(trimmed(_anchor_rows(length, gram)), _RUN)
+    found = _dealt(suffixes(bodies), suffixes(bodies.where(sampled)), ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
+    ends = [tuple(r) for r in found.where(F.col("code") == END).select("gram", "run", "bucket").collect()]  # two a bucket
+    whole, open_ = _over_ends(found, ends)
+    runs = cut(open_.groupBy("ka", "kb", "base").agg(F.collect_set(F.struct("s0", "s1", "anchor", "gram")).alias("runs")))
+    near = _marked_only(bodies, runs)
+
+    def blocks(keep) -> DataFrame:
+        return near.where(keep).join(runs.where(keep), ["ka", "kb", "base"]).mapInArrow(trimmed(_block_rows(length, width)), _BLOCK)
+
+    with batch_rows(spark, 1000):
+        compared = _dealt(blocks(F.lit(True)), blocks(sampled), ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
+        outer = compared.where("core is not null")
+        going_on = outer.select("core", "bucket").distinct().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")  # two cores a bucket at most
+        strings = cut(outer.join(F.broadcast(going_on), "core", "left_semi").mapInArrow(trimmed(_string_rows(length, width)), f"key long, {_SPAN}"))
+    again = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    spans = whole.select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
+    for more in (compared.where("core is null"), strings.join(again, "key")):
+        spans = spans.union(more.select("ka", "kb", "start", "end"))
+    return cut(spans.groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str, work, schema: str) -> DataFrame:
-    """Apply ``work`` to all rows with their _spans; rows without any are not shuffled."""
+    """Apply ``work`` to all rows with their spans (columns besides ka and kb); rows without any are not shuffled."""
     rows = _keyed(docs, text_col)
     marks = marked(spans.select("ka"))
     names = [f.name for f in rows.schema]
@@ -280,15 +432,23 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str, work, schema:
 
         return rows.mapInArrow(run, rows.schema).select(*names)
 
-    joined = side(True).join(spans.select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), F.col("spans").alias("_spans")), ["_ka", "_kb"], "left")
-    plain = side(False).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    order = [*docs.columns, "_spans"]
+    found = [c for c in spans.columns if c not in ("ka", "kb")]
+    joined = side(True).join(spans.withColumnsRenamed({"ka": "_ka", "kb": "_kb"}), ["_ka", "_kb"], "left")
+    plain = side(False).withColumns({c: F.lit(None).cast("array<struct<start:int,end:int>>") for c in found})
+    order = [*docs.columns, *found]
     return joined.select(*order).union(plain.select(*order)).mapInArrow(trimmed(work), schema)
 
 
-def repeat_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def repeat_digests(docs: DataFrame, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    With ``passage``, a smaller length, also n_passage_bytes: the bytes covered by repeated strings of that length.
+    """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    short = repeated_spans(slim, passage) if passage else None
+    spans = repeated_spans(slim, length, within=short).withColumnRenamed("spans", "_spans")
+    if passage:
+        spans = short.withColumnRenamed("spans", "_short").join(spans, ["ka", "kb"], "left")
 
     def work(batches):
         for b in batches:
@@ -302,10 +462,15 @@ def repeat_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 digest.update(raw[at:])
                 rows.append((len(raw), sum(z - a for a, z in merged), len(merged), digest.hexdigest()))
             n, gone, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if passage:
+                out.append(pa.array([sum(z - a for a, z in _merge(x)) for x in b.column("_short").to_pylist()], pa.int64()))
+                names.append("n_passage_bytes")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     kind = dict(slim.dtypes)["doc_id"]
-    return _with_spans(slim, repeated_spans(slim, length), "text", work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(slim, spans, "text", work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', n_passage_bytes long' if passage else ''}")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
@@ -326,5 +491,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    out = _with_spans(slim, repeated_spans(slim, length), "text", work, slim.schema)
+    out = _with_spans(slim, repeated_spans(slim, length).withColumnRenamed("spans", "_spans"), "text", work, slim.schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[str(i + 1)].alias(c) for i, c in enumerate(docs.columns)])

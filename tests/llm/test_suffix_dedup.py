@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from lexarium.llm import suffix_dedup
 
@@ -40,34 +43,46 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_spans_equal_all_substrings(spark, seed, monkeypatch):
-    if seed == 2:  # workers are forked with it
-        monkeypatch.setattr(suffix_dedup, "SUFFIXES", 50)
+    if seed == 2:  # many buckets and samples, so that runs and cores go on across them
+        monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 20)
+        monkeypatch.setattr(suffix_dedup, "ONE_IN", 1)
     texts = corpus(seed)
     rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[0], 2, None), (3, None, 3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, gram int, ka string")
-    got = sorted((tuple(r) for r in suffix_dedup.repeat_digests(df, 40).collect()), key=str)
-    want = sorted(((r[0], *b) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows], 40), strict=True)), key=str)
+    raw = [(r[1] or "").encode() for r in rows]
+    short = [b[1] for b in brute(raw, 24)]
+    got = sorted((tuple(r) for r in suffix_dedup.repeat_digests(df, 40, 24).collect()), key=str)
+    want = sorted(((r[0], *b, p) for r, b, p in zip(rows, brute(raw, 40), short, strict=True)), key=str)
     assert got == want
     if seed == 1:
+        assert sorted((tuple(r) for r in suffix_dedup.repeat_digests(df, 40).collect()), key=str) == sorted((w[:-1] for w in want), key=str)
         out = suffix_dedup.remove_repeats(df, 40)
         assert out.columns == df.columns and out.count() == len(rows)
-        assert suffix_dedup.repeat_digests(df.limit(0), 40).count() == 0
+        assert suffix_dedup.repeat_digests(df.limit(0), 40, 24).count() == 0
 
 
-def test_neighbours_do_not_depend_on_batches():
-    import numpy as np
-    import pyarrow as pa
+def test_hot_passage_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 200)
+    monkeypatch.setattr(suffix_dedup, "ONE_IN", 2)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, base = make(130), make(400)
+    texts = [make(rng.randint(0, 90)) + passage + make(rng.randint(0, 90)) for _ in range(150)] + [base] * 120
+    texts += [base[:i] + "#" + base[i + 1 :] for i in range(0, 400, 4)] + [passage[rng.randint(0, 90) :] + make(50) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.repeat_digests(df, 48).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute([t.encode() for t in texts], 48))]
 
-    rng = np.random.default_rng(2)
-    gram, run = rng.integers(0, 40, 300), rng.integers(0, 3, 300)
-    order = np.lexsort((run, gram))
-    cols = [gram[order], run[order], np.arange(300), np.arange(300), *(np.zeros(300, np.int32) for _ in range(3))]
-    whole = {i for i in range(300) if sum((cols[0] == cols[0][i]) & (cols[1] == cols[1][i])) > 1}
-    grams = {g: len(set(run[gram == g])) for g in gram}
-    for size in (1, 2, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], ["gram", "run", "ka", "kb", "s0", "s1", "anchor"]) for i in range(0, 300, size)]
-        rows = [r for b in suffix_dedup._neighbours(iter(batches)) for r in b.to_pylist()]
-        assert sorted(r["ka"] for r in rows if r["whole"]) == sorted(whole)
-        got = Counter(r["gram"] for r in rows if not r["whole"])
-        edges = {cols[0][0], cols[0][-1]}
-        assert all(got[g] == n if n > 1 else got[g] <= (g in edges) for g, n in grams.items())
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 3)), max_size=60), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 3)), max_size=8))
+def test_multikey_order_and_buckets(rows, splitters):
+    splitters.sort()
+    columns = [np.array([r[i] for r in rows], np.int64) for i in range(3)]
+    order, shared = suffix_dedup.multikey(columns)
+    ordered = [rows[i] for i in order]
+    assert ordered == sorted(rows)
+    for i in range(1, len(ordered)):
+        a, b = ordered[i - 1 : i + 1]
+        assert shared[i] == next((d for d in range(3) if a[d] != b[d]), 3)
+    got = suffix_dedup.bucket_of(columns, [np.array([s[i] for s in splitters], np.int64) for i in range(3)])
+    assert got.tolist() == [sum(s < r for s in splitters) for r in rows]
