@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,16 @@ def test_few_and_none(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann_search.search(df, df.where("vec_id = 0")).collect()]
     assert sorted(got) == [(0, i, 7 - i) for i in range(1, 7)]
     assert ann_search.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_on_vectors_without_clusters(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal((50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet").repartition(8)
+    got = {}
+    for r in ann_search.search(df, df.where(F.col("vec_id") % 500 == 0)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(len(x)), x, [(i, x[i]) for i in range(0, len(x), 500)], 20)
+    hits = [len(got[i] & {w[0] for w in want[i]}) for i in want]
+    assert np.mean(hits) / 20 > 0.92
