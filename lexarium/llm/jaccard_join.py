@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows, trimmed
 from lexarium.llm.graph import components
-from lexarium.llm.marks import marked, places, unpacked
+from lexarium.llm.marks import has, marked
 from lexarium.session import cut
 
 #: Counters of the frequency sketch: 4 MB, whatever the input.
@@ -269,9 +269,8 @@ def _set_rows(k: int, marks):
     """Sets of the rows whose id is marked; a few others pass too and are never asked for."""
 
     def run(batches):
-        bits = unpacked(marks)
         for b in batches:
-            b = b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
+            b = b.filter(has(marks, b.column(0).to_numpy()))
             sets = [s for _, s in _sets(b.column(1), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tk.pack_keys(s >> _CUT) for s in sets], pa.binary())], ["doc", "items"])
 
@@ -280,7 +279,6 @@ def _set_rows(k: int, marks):
 
 def _only(marks):
     def run(batches):
-        bits = unpacked(marks)
         for b in batches:
             yield b.filter(pa.array(bits[places(b.column(0).to_numpy())], pa.bool_()))
 

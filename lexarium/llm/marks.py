@@ -45,5 +45,7 @@ def marked(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
 
-def unpacked(marks: Broadcast) -> np.ndarray:
-    return np.unpackbits(marks.value).view(bool)
+def has(marks: Broadcast, keys: np.ndarray) -> pa.Array:
+    """Which keys may be marked."""
+    at = places(keys)
+    return pa.array((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1, pa.bool_())

@@ -28,12 +28,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexarium.llm import ranges
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows, trimmed
-from lexarium.llm.marks import marked, places, unpacked
+from lexarium.llm.marks import has, marked
+from lexarium.llm.ranges import dealt, multikey, sliced, whole
 from lexarium.session import cut
 
 _PLACE = np.uint64(24)
@@ -41,10 +44,6 @@ _PLACE = np.uint64(24)
 _STRETCH = 1 << 22
 #: Most neighbouring starts of a block.
 BLOCK = 64
-#: Sampled keys for each bucket, and one text in how many gives samples.
-PER_BUCKET, ONE_IN = 40, 32
-#: Suffixes of a bucket, about: with more, there are more buckets than shuffle partitions.
-BUCKET_ROWS = 1_000_000
 _RUN = "gram long, run long, ka long, kb long, base int, s0 int, s1 int, anchor int"
 _BLOCK = "core long, ka long, kb long, at int, lo int, hi int, fringe binary"
 _SPAN = "ka long, kb long, start int, end int"
@@ -98,102 +97,19 @@ def _anchor_rows(length: int, gram: int):
             text, s0, s1, k, grams, runs = anchors(data, offsets, length, gram)
             if len(text):
                 base = b.column("base").to_numpy()[text]
-                whole = [b.column("ka").to_numpy()[text], b.column("kb").to_numpy()[text], base, *((x + base).astype(np.int32) for x in (s0, s1, k))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams.view(np.int64), runs.view(np.int64), *whole)], ["gram", "run", "ka", "kb", "base", "s0", "s1", "anchor"])
+                rest = [b.column("ka").to_numpy()[text], b.column("kb").to_numpy()[text], base, *((x + base).astype(np.int32) for x in (s0, s1, k))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams.view(np.int64), runs.view(np.int64), *rest)], ["gram", "run", "ka", "kb", "base", "s0", "s1", "anchor"])
 
     return run
 
 
-def multikey(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of rows by several tokens, and how many leading tokens each shares with the row before it.
-
-    Multikey quicksort over arrays: sort by one token, then order only the groups of ties by the next.
-    """
-    n = len(keys[0])
-    order, shared = np.argsort(keys[0], kind="stable"), np.zeros(n, np.int64)
-    if n < 2:
-        return order, shared
-    at, group = np.arange(n), np.zeros(n, np.int64)
-    for depth, key in enumerate(keys):
-        if depth:
-            order[at] = order[at[np.lexsort((key[order[at]], group))]]
-        k = key[order[at]]
-        same = (k[1:] == k[:-1]) & (group[1:] == group[:-1])
-        shared[at[1:][same]] = depth + 1
-        tied = np.r_[same, False] | np.r_[False, same]
-        at, group = at[tied], np.cumsum(np.r_[0, ~same])[tied]
-        if not len(at):
-            break
-    return order, shared
-
-
-def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
-    """How many splitters, sorted by all tokens, come before each row."""
-    low = np.searchsorted(splitters[0], keys[0], "left")
-    if len(keys) > 1 and len(low):
-        high = np.searchsorted(splitters[0], keys[0], "right")
-        tied = np.flatnonzero(high > low)
-        start = low[tied]
-        for a in np.unique(start):
-            which = tied[start == a]
-            z = int(high[which[0]])
-            low[which] = a + bucket_of([k[which] for k in keys[1:]], [s[a:z] for s in splitters[1:]])
-    return low
-
-
-def _dealt(rows: DataFrame, sample: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
-    """``work`` on the columns of each bucket of ``rows`` under splitters sampled from ``sample``; cut.
-
-    ``sample`` holds one row in ONE_IN, about. The driver gets PER_BUCKET keys a bucket of it.
-    """
-    spark = rows.sparkSession
-    sample = cut(sample.select(*keys))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sample.count() * ONE_IN // BUCKET_ROWS))
-    drawn = np.array([tuple(r) for r in sample.orderBy(F.xxhash64(*keys)).limit(PER_BUCKET * parts).collect()], np.int64).reshape(-1, len(keys))
-    drawn = drawn[np.lexsort(drawn.T[::-1])]
-    splitters = spark.sparkContext.broadcast(drawn[np.unique(np.linspace(0, len(drawn), parts + 1)[1:-1].astype(np.int64))] if len(drawn) else drawn)
-
-    def deal(batches):
-        split = list(splitters.value.T)
-        for b in batches:
-            own = bucket_of([b.column(k).to_numpy() for k in keys], split)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], [*b.schema.names, "bucket"])
-
-    def each(batches):
-        held, bucket = [], None
-        for b in batches:
-            own = b.column("bucket").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if z > a:
-                    if held and own[a] != bucket:
-                        yield from work(pa.Table.from_batches(held), bucket)
-                        held = []
-                    bucket = int(own[a])
-                    held.append(b.slice(a, z - a))
-        if held:
-            yield from work(pa.Table.from_batches(held), bucket)
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return cut(rows.mapInArrow(trimmed(deal), f"{kinds}, bucket int").repartitionById(parts, "bucket").mapInArrow(trimmed(each), schema))
-
-
-def _array(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy()
-
-
-def _sliced(columns: list, names: list[str], most: int = 100_000):
-    for i in range(0, len(columns[0]), most):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most]) for c in columns], names)
-
-
 def _same_runs(table: pa.Table, bucket: int):
     """Rows of runs found twice (WHOLE), one row of each run of grams with several (OPEN), and what the ends may add.
 
     The two rows of END hold the first and the last gram and run of the bucket.
     """
     names = ["gram", "run", "ka", "kb", "base", "s0", "s1", "anchor"]
-    columns = [_array(table.column(n)) for n in names]
+    columns = [whole(table.column(n)) for n in names]
     order, shared = multikey(columns[:2])
     columns = [c[order] for c in columns]
     run_id, gram_id, first = np.cumsum(shared < 2) - 1, np.cumsum(shared < 1) - 1, shared < 2
@@ -207,9 +123,9 @@ def _same_runs(table: pa.Table, bucket: int):
     other[first & several] = OPEN
     for c in (code, other):
         pick = np.flatnonzero(c >= 0)
-        yield from _sliced([c[pick], *(x[pick] for x in columns), np.full(len(pick), bucket, np.int32)], ["code", *names, "bucket"])
+        yield from sliced([c[pick], *(x[pick] for x in columns), np.full(len(pick), bucket, np.int32)], ["code", *names, "bucket"])
     ends = [0, len(order) - 1]
-    yield from _sliced([np.full(2, END, np.int8), *(x[ends] for x in columns), np.full(2, bucket, np.int32)], ["code", *names, "bucket"])
+    yield from sliced([np.full(2, END, np.int8), *(x[ends] for x in columns), np.full(2, bucket, np.int32)], ["code", *names, "bucket"])
 
 
 def _block_rows(length: int, width: int):
@@ -255,16 +171,17 @@ def _block_rows(length: int, width: int):
     return run
 
 
-def _strings(table, width: int):
-    """For each start of a block: which blocks have a string there, and the strings' hashes."""
-    lo, hi = (table.column(n).to_numpy() for n in ("lo", "hi"))
-    size = 2 * width - 2
-    prefix = tk.prefix_hash(np.frombuffer(b"".join(table.column("fringe").to_pylist()), np.uint8), tk.EXACT)
-    core = table.column("core").to_numpy().view(np.uint64)
-    for q in range(width):
-        which = np.flatnonzero((lo <= q) & (q <= hi))
-        begin = which * size + width - 1 - q
-        yield q, which, tk.range_hash(prefix, begin, begin + width - 1) ^ tk.mix(core[which] + np.uint64(q))
+def _strings(table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the strings at each start of the blocks, and which blocks have one there."""
+    lo, hi = (table.column(n).to_numpy()[:, None] for n in ("lo", "hi"))
+    starts = np.arange(width)
+    keys = np.empty((len(lo), width), np.uint64)
+    for i in range(0, len(lo), 5_000):
+        part = table.slice(i, 5_000)
+        prefix = tk.prefix_hash(np.frombuffer(b"".join(part.column("fringe").to_pylist()), np.uint8), tk.EXACT)
+        begin = np.arange(len(part))[:, None] * (2 * width - 2) + width - 1 - starts
+        keys[i : i + 5_000] = tk.range_hash(prefix, begin, begin + width - 1) ^ tk.mix(part.column("core").to_numpy().view(np.uint64)[:, None] + starts.astype(np.uint64))
+    return keys, (lo <= starts) & (starts <= hi)
 
 
 def _spans(ka, kb, at, tied: np.ndarray, length: int):
@@ -273,14 +190,14 @@ def _spans(ka, kb, at, tied: np.ndarray, length: int):
     turn = np.diff(wide, axis=1)
     row, first = np.nonzero(turn == 1)
     _, after = np.nonzero(turn == -1)
-    yield from _sliced([ka[row], kb[row], (at[row] - after + 1).astype(np.int32), (at[row] - first + length).astype(np.int32)], ["ka", "kb", "start", "end"])
+    yield from sliced([ka[row], kb[row], (at[row] - after + 1).astype(np.int32), (at[row] - first + length).astype(np.int32)], ["ka", "kb", "start", "end"])
 
 
 def _same_strings(length: int, width: int):
     """Repeated spans of a bucket's blocks; blocks whose core is at an end of the bucket come back too, with a fringe."""
 
     def run(table: pa.Table, bucket: int):
-        order, shared = multikey([_array(table.column("core"))])
+        order, shared = multikey([whole(table.column("core"))])
         core_id = np.cumsum(shared < 1) - 1
         ends = (core_id == 0) | (core_id == core_id[-1])
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
@@ -299,9 +216,11 @@ def _same_strings(length: int, width: int):
         if not len(own):
             return
         tied = np.zeros((len(own), width), bool)
-        for q, which, key in _strings(own, width):
+        keys, there = _strings(own, width)
+        for q in range(width):
+            which = np.flatnonzero(there[:, q])
             if len(which) > 1:
-                o, same = multikey([key])
+                o, same = multikey([keys[which, q]])
                 tied[which[o[np.r_[same[1:] > 0, False] | (same > 0)]], q] = True
         for b in _spans(*(own.column(n).to_numpy() for n in ("ka", "kb", "at")), tied, length):
             yield filled(dict(zip(b.schema.names, b.columns, strict=True)), len(b))
@@ -317,8 +236,10 @@ def _string_rows(length: int, width: int):
             if len(b):
                 table = pa.Table.from_batches([b])
                 ka, kb, at = (table.column(n).to_numpy() for n in ("ka", "kb", "at"))
-                for q, which, key in _strings(table, width):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ka[which], kb[which], (at[which] - q).astype(np.int32), (at[which] - q + length).astype(np.int32))], ["key", "ka", "kb", "start", "end"])
+                keys, there = _strings(table, width)
+                row, q = np.nonzero(there)
+                start = (at[row] - q).astype(np.int32)
+                yield from sliced([keys[row, q].view(np.int64), ka[row], kb[row], start, start + np.int32(length)], ["key", "ka", "kb", "start", "end"])
 
     return run
 
@@ -331,10 +252,10 @@ def _over_ends(found: DataFrame, ends: list[tuple[int, int, int]]) -> tuple[Data
         buckets.setdefault((gram, run), set()).add(bucket)
     again = spark.createDataFrame([k for k, v in buckets.items() if len(v) > 1], "gram long, run long")  # two a bucket at most
     more = spark.createDataFrame([(g,) for g, v in runs.items() if len(v) > 1], "gram long")
-    whole = found.where(F.col("code") == IF_WHOLE).join(F.broadcast(again), ["gram", "run"], "left_semi")
+    sure = found.where(F.col("code") == IF_WHOLE).join(F.broadcast(again), ["gram", "run"], "left_semi")
     open_ = found.where(F.col("code") == IF_OPEN).join(F.broadcast(more), ["gram"], "left_semi")
     keep = ["ka", "kb", "base", "s0", "s1", "anchor", "gram"]
-    return found.where(F.col("code") == WHOLE).select(keep).union(whole.select(keep)), found.where(F.col("code") == OPEN).select(keep).union(open_.select(keep))
+    return found.where(F.col("code") == WHOLE).select(keep).union(sure.select(keep)), found.where(F.col("code") == OPEN).select(keep).union(open_.select(keep))
 
 
 def _merge(spans) -> list[tuple[int, int]]:
@@ -379,9 +300,8 @@ def _marked_only(bodies: DataFrame, keys: DataFrame) -> DataFrame:
     marks = marked(keys.select("ka"))
 
     def run(batches):
-        bits = unpacked(marks)
         for b in batches:
-            yield b.filter(pa.array(bits[places(b.column("ka").to_numpy())], pa.bool_()))
+            yield b.filter(has(marks, b.column("ka").to_numpy()))
 
     return bodies.mapInArrow(run, "ka long, kb long, base int, body binary")
 
@@ -395,11 +315,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     spark, bodies = docs.sparkSession, _bodies(docs, length, text_col)
     if within is not None:
         bodies = _pieces(bodies, within, length)
-    sampled = F.pmod(F.xxhash64("ka"), F.lit(ONE_IN)) == 0
+    sampled = ranges.sampled("ka")
     suffixes = lambda x: x.mapInArrow(trimmed(_anchor_rows(length, gram)), _RUN)
-    found = _dealt(suffixes(bodies), suffixes(bodies.where(sampled)), ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
+    found = dealt(suffixes(bodies), suffixes(bodies.where(sampled)), ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
     ends = [tuple(r) for r in found.where(F.col("code") == END).select("gram", "run", "bucket").collect()]  # two a bucket
-    whole, open_ = _over_ends(found, ends)
+    sure, open_ = _over_ends(found, ends)
     runs = cut(open_.groupBy("ka", "kb", "base").agg(F.collect_set(F.struct("s0", "s1", "anchor", "gram")).alias("runs")))
     near = _marked_only(bodies, runs)
 
@@ -407,12 +327,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
         return near.where(keep).join(runs.where(keep), ["ka", "kb", "base"]).mapInArrow(trimmed(_block_rows(length, width)), _BLOCK)
 
     with batch_rows(spark, 1000):
-        compared = _dealt(blocks(F.lit(True)), blocks(sampled), ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
+        compared = dealt(blocks(F.lit(True)), blocks(sampled), ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
         outer = compared.where("core is not null")
         going_on = outer.select("core", "bucket").distinct().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")  # two cores a bucket at most
         strings = cut(outer.join(F.broadcast(going_on), "core", "left_semi").mapInArrow(trimmed(_string_rows(length, width)), f"key long, {_SPAN}"))
     again = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    spans = whole.select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
+    spans = sure.select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
     for more in (compared.where("core is null"), strings.join(again, "key")):
         spans = spans.union(more.select("ka", "kb", "start", "end"))
     return cut(spans.groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
@@ -426,9 +346,9 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str, work, schema:
 
     def side(keep: bool):
         def run(batches):
-            bits = unpacked(marks)
             for b in batches:
-                yield b.filter(pa.array(bits[places(b.column("_ka").to_numpy())] == keep, pa.bool_()))
+                marked_ = has(marks, b.column("_ka").to_numpy())
+                yield b.filter(marked_ if keep else pc.invert(marked_))
 
         return rows.mapInArrow(run, rows.schema).select(*names)
 
@@ -470,7 +390,8 @@ def repeat_digests(docs: DataFrame, length: int = 400, passage: int | None = Non
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = dict(slim.dtypes)["doc_id"]
-    return _with_spans(slim, spans, "text", work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', n_passage_bytes long' if passage else ''}")
+    with batch_rows(docs.sparkSession, 1000):
+        return cut(_with_spans(slim, spans, "text", work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', n_passage_bytes long' if passage else ''}"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:

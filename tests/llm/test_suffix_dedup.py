@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexarium.llm import suffix_dedup
+from lexarium.llm import ranges, suffix_dedup
 
 
 def brute(rows, length):
@@ -44,8 +44,8 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_spans_equal_all_substrings(spark, seed, monkeypatch):
     if seed == 2:  # many buckets and samples, so that runs and cores go on across them
-        monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 20)
-        monkeypatch.setattr(suffix_dedup, "ONE_IN", 1)
+        monkeypatch.setattr(ranges, "BUCKET_ROWS", 20)
+        monkeypatch.setattr(ranges, "ONE_IN", 1)
     texts = corpus(seed)
     rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[0], 2, None), (3, None, 3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, gram int, ka string")
@@ -62,8 +62,8 @@ def test_spans_equal_all_substrings(spark, seed, monkeypatch):
 
 
 def test_hot_passage_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 200)
-    monkeypatch.setattr(suffix_dedup, "ONE_IN", 2)
+    monkeypatch.setattr(ranges, "BUCKET_ROWS", 200)
+    monkeypatch.setattr(ranges, "ONE_IN", 2)
     rng = random.Random(9)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, base = make(130), make(400)
@@ -78,11 +78,11 @@ def test_hot_passage_and_copies(spark, monkeypatch):
 def test_multikey_order_and_buckets(rows, splitters):
     splitters.sort()
     columns = [np.array([r[i] for r in rows], np.int64) for i in range(3)]
-    order, shared = suffix_dedup.multikey(columns)
+    order, shared = ranges.multikey(columns)
     ordered = [rows[i] for i in order]
     assert ordered == sorted(rows)
     for i in range(1, len(ordered)):
         a, b = ordered[i - 1 : i + 1]
         assert shared[i] == next((d for d in range(3) if a[d] != b[d]), 3)
-    got = suffix_dedup.bucket_of(columns, [np.array([s[i] for s in splitters], np.int64) for i in range(3)])
+    got = ranges.bucket_of(columns, [np.array([s[i] for s in splitters], np.int64) for i in range(3)])
     assert got.tolist() == [sum(s < r for s in splitters) for r in rows]
