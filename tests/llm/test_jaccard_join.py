@@ -1,9 +1,9 @@
-import re
 import random
+import re
 
 import pytest
 
-from lexarium.llm import graph, jaccard_join
+from lexarium.llm import graph, jaccard_join, ranges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,8 +47,14 @@ def corpus(seed):
     return rows + [(None, texts[70]), (5000, None), (5001, "ab " * 30000)]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
-def test_components_equal_all_pairs(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "small"), [(3, 90, False), (5, 80, False), (1, 60, False), (5, 80, True), (2, 70, True)])
+def test_components_equal_all_pairs(spark, k, percent, small, monkeypatch):
+    if small:  # lists go on across buckets and are cut into chunks; the first round finds little
+        monkeypatch.setattr(ranges, "BUCKET_ROWS", 60)
+        monkeypatch.setattr(ranges, "ONE_IN", 1)
+        monkeypatch.setattr(jaccard_join, "LIST_ROWS", 7)
+        monkeypatch.setattr(jaccard_join, "PAIR_ROWS", 10)
+        monkeypatch.setattr(jaccard_join, "STEPS", (3,))
     rows = corpus(k)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n string, component long")
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(df, k, percent).collect()), key=str)
