@@ -393,8 +393,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     listed = texts.where("doc_id is not null").select("text")
     keys = "token long, n long, f1 long, f2 long, pos int"
-    postings = lambda x: x.mapInArrow(trimmed(_postings(k, percent, order)), keys)
-    shared = dealt(postings(listed), postings(listed.where(sampled("text"))), ["token", "n", "f1"], _shared(percent), keys)
+    shared = dealt(listed, listed.where(sampled("text")), _postings(k, percent, order), keys, ["token", "n", "f1"], _shared(percent), keys)
     entries = cut(shared.join(classes, ["f1", "f2", "n"]).select("token", "n", "doc", "pos"))
     marks = marked(entries.select("doc"))
     sets = cut(texts.where("doc_id is not null").mapInArrow(trimmed(_set_rows(k, marks)), "doc long, items binary"))
@@ -411,8 +410,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return found.select("u", "v", "shared", (100 * F.col("shared") >= percent * (F.col("nu") + F.col("nv") - F.col("shared"))).alias("linked"), (F.col("nu") - F.col("shared")).alias("extra"))
 
     with batch_rows(spark, 1000):
-        lists = cut(entries.join(sets.mapInArrow(_bitmaps, "doc long, bits binary"), "doc"))
-        tried = cut(dealt(lists, lists.where(sampled("doc")), ["token", "n", "doc"], _neighbours(percent), "u long, v long").distinct())
+        lists = cut(entries.join(sets.mapInArrow(_bitmaps, "doc long, bits binary"), "doc").select("token", "n", "doc", "pos", "bits"))
+        tried = cut(dealt(lists, lists.where(sampled("doc")), iter, "token long, n long, doc long, pos int, bits binary", ["token", "n", "doc"], _neighbours(percent), "u long, v long").distinct())
     first = overlaps(tried)
     edges = first.where("linked").select("u", "v")
     known = components(edges)

@@ -58,13 +58,14 @@ def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray
     return low
 
 
-def dealt(rows: DataFrame, sample: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
-    """``work`` on the columns of each bucket of ``rows`` under splitters sampled from ``sample``; cut.
+def dealt(source: DataFrame, sample: DataFrame, make, kinds: str, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` on each bucket of the rows (of ``kinds``) that ``make`` gives from batches of ``source``; cut.
 
-    ``sample`` holds one row in ONE_IN, about. The driver gets PER_BUCKET keys a bucket of it.
+    Splitters are sampled from what ``make`` gives from ``sample``, one part in ONE_IN of the source, about; the driver
+    gets PER_BUCKET keys a bucket of it. One worker a task makes rows and finds their buckets.
     """
-    spark = rows.sparkSession
-    sample = cut(sample.select(*keys))
+    spark = source.sparkSession
+    sample = cut(sample.mapInArrow(trimmed(make), kinds).select(*keys))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sample.count() * ONE_IN // BUCKET_ROWS))
     drawn = np.array([tuple(r) for r in sample.orderBy(F.xxhash64(*keys)).limit(PER_BUCKET * parts).collect()], np.int64).reshape(-1, len(keys))
     drawn = drawn[np.lexsort(drawn.T[::-1])]
@@ -72,7 +73,7 @@ def dealt(rows: DataFrame, sample: DataFrame, keys: list[str], work, schema: str
 
     def deal(batches):
         split = list(splitters.value.T)
-        for b in batches:
+        for b in make(batches):
             own = bucket_of([b.column(k).to_numpy() for k in keys], split)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], [*b.schema.names, "bucket"])
 
@@ -91,8 +92,7 @@ def dealt(rows: DataFrame, sample: DataFrame, keys: list[str], work, schema: str
         if held:
             yield from work(pa.Table.from_batches(held), bucket)
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return cut(rows.mapInArrow(trimmed(deal), f"{kinds}, bucket int").repartitionById(parts, "bucket").mapInArrow(trimmed(each), schema))
+    return cut(source.mapInArrow(trimmed(deal), f"{kinds}, bucket int").repartitionById(parts, "bucket").mapInArrow(trimmed(each), schema))
 
 
 def whole(column: pa.ChunkedArray) -> np.ndarray:

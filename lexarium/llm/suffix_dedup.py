@@ -25,6 +25,7 @@ read, except that ``remove_repeats`` returns all. An empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -131,42 +132,44 @@ def _same_runs(table: pa.Table, bucket: int):
 def _block_rows(length: int, width: int):
     """The blocks of starts of each text's open runs, with the bytes of their strings that the core leaves out."""
 
+    def blocks(b, data, offsets):
+        lists = b.column("runs")
+        runs = lists.flatten()
+        row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+        s0, s1, anchor, gram = (runs.field(n).to_numpy() for n in ("s0", "s1", "anchor", "gram"))
+        low, high = (anchor - s1).astype(np.int64), (anchor - s0).astype(np.int64)  # distances of the starts from the anchor
+        count = high // width - low // width + 1
+        of = np.repeat(np.arange(len(row)), count)
+        block = low[of] // width + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        lo, hi = np.maximum(low[of] - block * width, 0), np.minimum(high[of] - block * width, width - 1)
+        at = anchor[of] - block * width  # where the core begins in the text
+        place = at - b.column("base").to_numpy()[row[of]] + offsets[row[of]]  # and in the slice
+        core_size = length - width + 1
+        prefix = tk.prefix_hash(data, tk.EXACT)
+        core = tk.range_hash(prefix, place, place + core_size) ^ tk.mix(tk.mix(gram[of].view(np.uint64)) + block.astype(np.uint64))
+        steps = np.arange(width - 1)
+        gaps = np.concatenate([steps - width + 1, core_size + steps])
+        for i in range(0, len(of), 10_000):
+            p, l, h = (x[i : i + 10_000, None] for x in (place, lo, hi))
+            kept = np.concatenate([steps >= width - 1 - h, steps < width - 1 - l], axis=1)
+            body = np.where(kept, data[np.clip(p + gaps, 0, len(data) - 1)], 0).astype(np.uint8)
+            fringe = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(len(body) + 1, dtype=np.int32) * np.int32(2 * width - 2)), pa.py_buffer(body.tobytes())])
+            r = pa.array(row[of[i : i + 10_000]])
+            ints = [pa.array(x[i : i + 10_000].astype(np.int32)) for x in (at, lo, hi)]
+            yield pa.RecordBatch.from_arrays([pa.array(core[i : i + 10_000].view(np.int64)), b.column("ka").take(r), b.column("kb").take(r), *ints, fringe], ["core", "ka", "kb", "at", "lo", "hi", "fringe"])
+
     def run(batches):
         last = None
         for b in batches:
             keys = list(zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("base").to_pylist(), strict=True))
             new = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]  # equal texts lie together
             last = keys[-1] if keys else last
-            b = b.take(pa.array(new, pa.int64()))
             data, offsets = tk.buffers(b.column("body"))
-            lists = b.column("runs")
-            many = np.diff(lists.offsets.to_numpy())
-            runs = lists.flatten()
-            if not len(runs):
-                continue
-            row = np.repeat(np.arange(len(b)), many)
-            s0, s1, anchor, gram = (runs.field(n).to_numpy() for n in ("s0", "s1", "anchor", "gram"))
-            low, high = (anchor - s1).astype(np.int64), (anchor - s0).astype(np.int64)  # distances of the starts from the anchor
-            count = high // width - low // width + 1
-            of = np.repeat(np.arange(len(row)), count)
-            block = low[of] // width + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            lo, hi = np.maximum(low[of] - block * width, 0), np.minimum(high[of] - block * width, width - 1)
-            at = anchor[of] - block * width  # where the core begins in the text
-            place = at - b.column("base").to_numpy()[row[of]] + offsets[row[of]]  # and in the batch
-            core_size = length - width + 1
-            prefix = tk.prefix_hash(data, tk.EXACT)
-            core = tk.range_hash(prefix, place, place + core_size) ^ tk.mix(tk.mix(gram[of].view(np.uint64)) + block.astype(np.uint64))
-            steps = np.arange(width - 1)
-            for i in range(0, len(of), 20_000):
-                p, l, h = (x[i : i + 20_000, None] for x in (place, lo, hi))
-                left, right = p - width + 1 + steps, p + core_size + steps
-                kept = np.concatenate([steps >= width - 1 - h, steps < width - 1 - l], axis=1)
-                where = np.concatenate([left, right], axis=1)
-                body = np.where(kept, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
-                fringe = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, body.size + 1, 2 * width - 2, dtype=np.int32) if width > 1 else np.zeros(len(body) + 1, np.int32)), pa.py_buffer(body.tobytes())])
-                r = row[of[i : i + 20_000]]
-                ints = [x[i : i + 20_000].astype(np.int32) for x in (at, lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(core[i : i + 20_000].view(np.int64)), b.column("ka").take(pa.array(r)), b.column("kb").take(pa.array(r)), *map(pa.array, ints), fringe], ["core", "ka", "kb", "at", "lo", "hi", "fringe"])
+            for i, j in tk.slices(offsets):
+                rows = new[bisect_left(new, i) : bisect_left(new, j)]
+                if rows:
+                    at = offsets[rows] - offsets[i]
+                    yield from blocks(b.take(pa.array(rows, pa.int64())), data[offsets[i] : offsets[j]], at)
 
     return run
 
@@ -316,18 +319,15 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     if within is not None:
         bodies = _pieces(bodies, within, length)
     sampled = ranges.sampled("ka")
-    suffixes = lambda x: x.mapInArrow(trimmed(_anchor_rows(length, gram)), _RUN)
-    found = dealt(suffixes(bodies), suffixes(bodies.where(sampled)), ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
+    found = dealt(bodies, bodies.where(sampled), _anchor_rows(length, gram), _RUN, ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
     ends = [tuple(r) for r in found.where(F.col("code") == END).select("gram", "run", "bucket").collect()]  # two a bucket
     sure, open_ = _over_ends(found, ends)
     runs = cut(open_.groupBy("ka", "kb", "base").agg(F.collect_set(F.struct("s0", "s1", "anchor", "gram")).alias("runs")))
     near = _marked_only(bodies, runs)
 
-    def blocks(keep) -> DataFrame:
-        return near.where(keep).join(runs.where(keep), ["ka", "kb", "base"]).mapInArrow(trimmed(_block_rows(length, width)), _BLOCK)
-
     with batch_rows(spark, 1000):
-        compared = dealt(blocks(F.lit(True)), blocks(sampled), ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
+        keys = ["ka", "kb", "base"]
+        compared = dealt(near.join(runs, keys), near.where(sampled).join(runs.where(sampled), keys), _block_rows(length, width), _BLOCK, ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
         outer = compared.where("core is not null")
         going_on = outer.select("core", "bucket").distinct().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")  # two cores a bucket at most
         strings = cut(outer.join(F.broadcast(going_on), "core", "left_semi").mapInArrow(trimmed(_string_rows(length, width)), f"key long, {_SPAN}"))
@@ -343,20 +343,25 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str, work, schema:
     rows = _keyed(docs, text_col)
     marks = marked(spans.select("ka"))
     names = [f.name for f in rows.schema]
+    own, found = docs.columns, [c for c in spans.columns if c not in ("ka", "kb")]
+
+    def near(batches):
+        for b in batches:
+            yield b.filter(has(marks, b.column("_ka").to_numpy()))
+
+    def far(batches):
+        """The work on rows that have no spans."""
+        none = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def side(keep: bool):
-        def run(batches):
+        def bare():
             for b in batches:
-                marked_ = has(marks, b.column("_ka").to_numpy())
-                yield b.filter(marked_ if keep else pc.invert(marked_))
+                b = b.filter(pc.invert(has(marks, b.column("_ka").to_numpy())))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *[pa.nulls(len(b), none)] * len(found)], [*own, *found])
 
-        return rows.mapInArrow(run, rows.schema).select(*names)
+        yield from work(bare())
 
-    found = [c for c in spans.columns if c not in ("ka", "kb")]
-    joined = side(True).join(spans.withColumnsRenamed({"ka": "_ka", "kb": "_kb"}), ["_ka", "_kb"], "left")
-    plain = side(False).withColumns({c: F.lit(None).cast("array<struct<start:int,end:int>>") for c in found})
-    order = [*docs.columns, *found]
-    return joined.select(*order).union(plain.select(*order)).mapInArrow(trimmed(work), schema)
+    joined = rows.mapInArrow(near, rows.schema).select(*names).join(spans.withColumnsRenamed({"ka": "_ka", "kb": "_kb"}), ["_ka", "_kb"], "left")
+    return joined.select(*own, *found).mapInArrow(trimmed(work), schema).union(rows.mapInArrow(trimmed(far), schema))
 
 
 def repeat_digests(docs: DataFrame, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
