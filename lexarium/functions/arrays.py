@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,6 +137,14 @@ def log_gamma(x) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
+def digamma(x) -> Column:
+    """The derivative of ln Gamma for x > 0, by its asymptotic series after moving x up by eight."""
+    x = _c(x)
+    y = x + 8
+    down = reduce(lambda s, i: s + 1 / (x + i), range(1, 8), 1 / x)
+    return F.ln(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - down
+
+
 def beta(a, b) -> Column:
     return F.exp(log_gamma(a) + log_gamma(b) - log_gamma(_c(a) + _c(b)))
 

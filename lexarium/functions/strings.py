@@ -131,3 +131,8 @@ def organization_parts(c: Column) -> Column:
         text = F.trim(F.regexp_extract(c, f"(?i){pattern}", 1))
         found.append(F.when(text != "", F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.locate("\x01", F.concat(F.lit(""), F.replace(c, text, F.lit("\x01")))) - 1).alias("start"))))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def strip_chapter(c: Column) -> Column:
+    """Without the literal prefix of a chapter heading."""
+    return F.trim(F.regexp_replace(c, "^ICD-10 Chapter ", ""))

@@ -94,18 +94,28 @@ def group_set(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("items"))
 
 
+#: Ranges that keys are dealt to where ranks or running sums span all of them.
+RANGES = 256
+
+
+def _ranges(df: DataFrame, key: str) -> DataFrame:
+    """_b: the range of each row's key among RANGES of about equal numbers of rows, by approximate quantiles."""
+    edges = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_e"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(key)))).drop("_e")
+
+
 def encode(df: DataFrame, key: str, order: str) -> DataFrame:
     """Dense ids from 0 by first use (least ``order``): bucket counts give offsets, so no task ranks all keys.
 
-    Keys are dealt to 256 ranges of first use; ids are the rank in the range plus the sizes of those before.
+    Keys are dealt to ranges of first use of about equal size; ids are the rank in the range plus the sizes of those
+    before.
     """
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
-    span = first.agg(F.min("_first").alias("_lo"), F.max("_first").alias("_hi"))
-    cut = first.crossJoin(F.broadcast(span)).withColumn("_b", F.floor((F.col("_first") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 256)).drop("_lo", "_hi")
+    dealt = _ranges(first, "_first")
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = cut.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_o", before).drop("_n")  # 256 rows
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_o", before).drop("_n")  # RANGES rows
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_first", key)) - 1
-    return cut.withColumn("_r", rank).join(F.broadcast(sizes), "_b").select(key, (F.col("_r") + F.col("_o")).alias("id"))
+    return dealt.withColumn("_r", rank).join(F.broadcast(sizes), "_b").select(key, (F.col("_r") + F.col("_o")).alias("id"))
 
 
 def frequency_of_frequencies(counter: DataFrame) -> DataFrame:
@@ -113,9 +123,16 @@ def frequency_of_frequencies(counter: DataFrame) -> DataFrame:
 
 
 def sample(counter: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n draws with probability cnt / total: cumulative shares met by n seeded uniform numbers (n is small)."""
-    edges = Window.orderBy(key)
-    cdf = normalize(counter).withColumn("_hi", F.sum("cnt").over(edges)).withColumn("_lo", F.col("_hi") - F.col("cnt"))
+    """n draws with probability cnt / total: cumulative shares met by n seeded uniform numbers (n is small).
+
+    Shares are summed within buckets of keys, whose sums give offsets, so no task holds all keys.
+    """
+    dealt = normalize(counter).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(RANGES)))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sizes = dealt.groupBy("_b").agg(F.sum("cnt").alias("_s")).withColumn("_o", before).drop("_s")  # RANGES rows
+    edges = Window.partitionBy("_b").orderBy(key)
+    cdf = dealt.withColumn("_hi", F.sum("cnt").over(edges)).join(F.broadcast(sizes), "_b")
+    cdf = cdf.withColumn("_hi", F.col("_hi") + F.col("_o")).withColumn("_lo", F.col("_hi") - F.col("cnt"))
     draws = counter.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("_u"))
     return cdf.join(F.broadcast(draws), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", key)
 

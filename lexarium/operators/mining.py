@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.session import cut
+
 _PAREN = re.compile(r"\(([^()]{1,60})\)")
 
 
@@ -98,28 +101,50 @@ def common_ancestor(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.slice(a, F.lit(1), F.lit(0))).otherwise(F.slice(a, F.lit(1), n))
 
 
-def centroid_clusters(vectors: DataFrame, threshold: float, rounds: int = 10, vid: str = "id", vec: str = "v") -> DataFrame:
+def centroid_clusters(vectors: DataFrame, threshold: float, vid: str = "id", vec: str = "v") -> DataFrame:
     """Agglomerative clustering of unit vectors by mutual best pairs of centroids at or above a cosine.
 
-    Each round merges every pair of clusters that are each other's most similar; the number of clusters, not of
-    vectors, is crossed. Returns (id, cluster), a cluster being its smallest id.
+    Equal vectors are one weighted item from the start. Each round merges every pair of clusters that are each other's
+    most similar, until no pair is left; clusters, not vectors, meet, in blocks of BLOCK centroids. Returns (id,
+    cluster), a cluster being its smallest id.
     """
-    from lexarium.session import cut
-
-    own = vectors.select(F.col(vid).alias("id"), F.col(vec).alias("v"), F.col(vid).alias("cluster"))
-    for _ in range(rounds):
-        sums = own.select("cluster", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("c"))
+    rows = cut(vectors.select(F.col(vid).alias("id"), F.col(vec).alias("v"), F.min(vid).over(Window.partitionBy(F.xxhash64(vec), vec)).alias("cluster")))
+    own = cut(rows.groupBy("cluster").agg(F.first("v").alias("v"), F.count("*").alias("n")).withColumn("item", F.col("cluster")))
+    while True:
+        sums = own.select("cluster", "n", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("c"))
         norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-        unit = cut(sums.select("cluster", norm.alias("n"), "c").select("cluster", F.transform("c", lambda x: x / F.col("n")).alias("c")))
-        a, b = unit.toDF("a", "ca"), unit.toDF("b", "cb")
-        dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        near = a.join(b, F.col("a") != F.col("b")).select("a", "b", dot.alias("sim")).where(F.col("sim") >= threshold)
-        best = near.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("b").alias("b")))["b"].alias("b"))
+        unit = cut(sums.select("cluster", norm.alias("l"), "c").select("cluster", F.transform("c", lambda x: x / F.col("l")).alias("c")))
+        best = cut(_best_partners(unit, threshold))
         merge = cut(best.alias("x").join(best.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")) & (F.col("x.a") > F.col("x.b"))).select(F.col("x.a").alias("cluster"), F.col("x.b").alias("into")))
         if not merge.limit(1).count():
             break
-        own = cut(own.join(merge, "cluster", "left").select("id", "v", F.coalesce("into", "cluster").alias("cluster")))
-    return own.select("id", "cluster")
+        own = cut(own.join(merge, "cluster", "left").select("item", "v", "n", F.coalesce("into", "cluster").alias("cluster")))
+    return rows.select("id", F.col("cluster").alias("item")).join(own.select("item", "cluster"), "item").select("id", "cluster")
+
+
+#: Centroids of a block.
+BLOCK = 4_000
+
+
+def _best_partners(unit: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each cluster's most similar other one, ties to the smaller, by products of blocks of centroids."""
+    blocks = max(1, -(-unit.count() // BLOCK))
+    dealt = unit.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = left.select("cluster", "c", F.col("other").alias("block"), F.col("block").alias("other"))
+
+    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        b = b.sort_values("cluster")
+        s = np.round(np.stack(a["c"]) @ np.stack(b["c"]).T, 9)
+        s[a["cluster"].to_numpy()[:, None] == b["cluster"].to_numpy()] = -np.inf
+        k = s.argmax(1)  # the first, so the smallest of ties
+        best = s[np.arange(len(a)), k]
+        return pd.DataFrame({"a": a["cluster"].to_numpy(), "b": b["cluster"].to_numpy()[k], "sim": best})[best >= threshold]
+
+    near = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(meet, "a long, b long, sim double")
+    return near.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("b").alias("b")))["b"].alias("b"))
 
 
 def rank_within(df: DataFrame, key: str, order: str) -> DataFrame:

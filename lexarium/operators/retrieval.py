@@ -7,29 +7,55 @@ instead of crossing queries with documents.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexarium.functions.arrays import digamma
 from lexarium.operators import tokens as T
-from lexarium.session import cut
+from lexarium.session import cut, shared_dir, small
 
 
 class Index:
-    """Postings with term and document statistics of a collection."""
+    """Postings with term and document statistics of a collection, written once and read by every query.
 
-    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text"):
-        self.doc = doc
-        self.post = T.postings(docs, doc, text)
-        self.docs = T.doc_stats(self.post, doc)
-        self.terms = T.term_stats(self.post)
-        self.total = T.collection_stats(self.post, doc)
+    Postings lie in ranges of terms and carry their document's length (dl) and vocabulary (dvl), so a query scans its
+    terms' postings and joins nothing else. Without a path the tables go to the shared folder.
+    """
+
+    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", path: str | None = None):
+        path = path or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+        post = T.postings(docs, doc, text)
+        own = Window.partitionBy(doc)
+        full = post.withColumns({"dl": F.sum("tf").over(own), "dvl": F.count("*").over(own)})
+        full.repartitionByRange(F.col("term")).sortWithinPartitions("term", doc).write.parquet(f"{path}/postings")
+        self._open(docs.sparkSession, path, doc)
+        T.term_stats(self.post).write.parquet(f"{path}/terms")
+        self.post.select(doc, "dl", "dvl").distinct().write.parquet(f"{path}/docs")
+        self._open(docs.sparkSession, path, doc, whole=True)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, doc: str = "doc_id") -> Index:
+        """An index written earlier."""
+        index = cls.__new__(cls)
+        index._open(spark, path, doc, whole=True)
+        return index
+
+    def _open(self, spark: SparkSession, path: str, doc: str, whole: bool = False) -> None:
+        self.path, self.doc, self.post = path, doc, spark.read.parquet(f"{path}/postings")
+        if whole:
+            self.terms, self.docs = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/docs")
+            self.total = cut(self.docs.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.sum("dvl").alias("n_postings")))  # one row
+
+    def known(self, model: DataFrame) -> DataFrame:
+        """Query terms with their statistics; a small table is broadcast to the postings."""
+        return small(model.join(self.terms, "term").crossJoin(F.broadcast(self.total)))
 
     def matches(self, model: DataFrame) -> DataFrame:
         """Query terms with their postings and all statistics."""
-        known = model.join(self.terms, "term").crossJoin(F.broadcast(self.total))
-        return self.post.join(known, "term").join(self.docs, self.doc)
+        return self.post.join(self.known(model), "term")
 
 
 def query_model(queries: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -54,8 +80,8 @@ def likelihood(index: Index, model: DataFrame, mu: float = 2000.0) -> DataFrame:
 def divergence(index: Index, model: DataFrame, mu: float = 2000.0) -> DataFrame:
     """exp of minus the divergence of the query model from each matching document's smoothed model."""
     pc = F.col("cf") / F.col("n_tokens")
-    known = model.join(index.terms, "term").crossJoin(F.broadcast(index.total))
-    base = known.groupBy("qid").agg(F.sum(F.col("p") * F.ln(F.col("p") / (mu * pc))).alias("base"), F.sum("p").alias("mass"))
+    model = cut(model)
+    base = index.known(model).groupBy("qid").agg(F.sum(F.col("p") * F.ln(F.col("p") / (mu * pc))).alias("base"), F.sum("p").alias("mass"))
     own = index.matches(model).groupBy("qid", index.doc, "dl").agg(F.sum(F.col("p") * F.ln(1 + F.col("tf") / (mu * pc))).alias("m"))
     return own.join(base, "qid").select("qid", index.doc, F.exp(F.col("m") - F.col("base") - F.col("mass") * F.ln(F.col("dl") + mu)).alias("score"))
 
@@ -68,7 +94,7 @@ def bm25(index: Index, model: DataFrame, k1: float = 1.2, b: float = 0.75) -> Da
 
 def spud(index: Index, model: DataFrame, omega: float = 0.8, b0: float = 500.0) -> DataFrame:
     """Polya (Dirichlet compound) model: background by document frequency, document mass by its vocabulary."""
-    mu = b0 * omega / (1 - omega)
+    mu = b0 / (1 / omega - 1)
     pc = (F.col("df") + 1) / (F.col("n_postings") + 1)
     part = F.ln(1 + F.col("tf") * F.col("dvl") / (F.col("dl") * mu * pc))
     length = F.ln(mu / (F.first("dvl") + mu))
@@ -77,7 +103,7 @@ def spud(index: Index, model: DataFrame, omega: float = 0.8, b0: float = 500.0)
 
 def relevance_model(index: Index, ranked: DataFrame, docs: int = 5, words: int = 20, mu: float = 2000.0) -> DataFrame:
     """RM1: score-weighted smoothed word probabilities of the best documents; the best words, normalized."""
-    feed = ranked.where(F.col("rank") <= docs).join(index.post, index.doc).join(index.docs, index.doc).join(index.terms, "term").crossJoin(F.broadcast(index.total))
+    feed = index.post.join(small(ranked.where(F.col("rank") <= docs).select("qid", index.doc, "score")), index.doc).join(index.terms, "term").crossJoin(F.broadcast(index.total))
     p = (F.col("tf") + mu * F.col("cf") / F.col("n_tokens")) / (F.col("dl") + mu)
     model = feed.groupBy("qid", "term").agg(F.sum(F.col("score") * p).alias("w"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("w"), "term"))
@@ -183,7 +209,7 @@ def cluster_likelihood(index: Index, model: DataFrame, clusters: DataFrame, lam:
     own = member.groupBy("cluster", "term").agg(F.sum("tf").alias("ctf")).join(size, "cluster")
     base = model.join(index.terms, "term").crossJoin(F.broadcast(index.total)).withColumn("pc", F.col("cf") / F.col("n_tokens"))
     grounds = base.join(own, "term", "left").withColumn("pg", lam * F.coalesce(F.col("ctf") / F.col("cl"), F.lit(0.0)) + (1 - lam) * F.col("pc"))
-    hits = index.post.join(clusters, index.doc).join(grounds.select("qid", "term", "cluster", "p", "pg"), ["term", "cluster"]).join(index.docs, index.doc)
+    hits = member.join(grounds.select("qid", "term", "cluster", "p", "pg"), ["term", "cluster"])
     return hits.groupBy("qid", index.doc).agg(F.sum(F.col("p") * F.ln(1 + F.col("tf") / (mu * F.col("pg")))).alias("score"))
 
 
@@ -196,8 +222,7 @@ def background_mass(docs: DataFrame, rounds: int = 20) -> float:
     lengths = cut(docs.groupBy("dl").agg(F.count("*").alias("n"), F.sum("dvl").alias("v")))
     b = 100.0
     for _ in range(rounds):
-        # digamma(b + n) - digamma(b) is nearly ln((b + n - 1/2) / (b - 1/2)) for b above 1
-        gain = F.ln((F.lit(b) + F.col("dl") - 0.5) / (b - 0.5))
+        gain = digamma(F.lit(b) + F.col("dl")) - digamma(F.lit(b))
         s = lengths.agg(F.sum("v").alias("v"), F.sum(F.col("n") * gain).alias("g")).first()
         if not s.g:
             return b

@@ -168,9 +168,9 @@ def numeric_vocabulary(t):
     return types.groupBy("source", F.col("term").rlike("[0-9]").alias("numeric")).agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
 
 
-@query(f"WITH {TOK}, b AS (SELECT term AS first, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tok) SELECT first, second, count(*)::DOUBLE AS cnt FROM b WHERE second IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
+@query(f"WITH {TOK}, b AS (SELECT term AS first, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tok) SELECT first, second, count(*)::DOUBLE AS cnt FROM b WHERE second IS NOT NULL GROUP BY ALL")
 def bigram_counts(t):
-    return C.bigrams(T.tokens(t.documents)).where("cnt >= 3")
+    return C.bigrams(T.tokens(t.documents))
 
 
 @query("WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT a.event_type AS first, b.event_type AS second, count(*)::DOUBLE AS cnt FROM s a JOIN s b ON a.user_id = b.user_id AND b.p - a.p BETWEEN 1 AND 3 GROUP BY ALL")
@@ -189,9 +189,9 @@ def cumulate_and_rank(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w.orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.row_number().over(w.orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_extendedprice")).alias("rank"))
 
 
-@query("SELECT p_partkey, p_name, length(p_name)::INT AS n FROM part ORDER BY n, p_name, p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_name, length(p_name)::INT AS n FROM part ORDER BY n, p_name, p_partkey")
 def length_sort(t):
-    return t.part.select("p_partkey", "p_name", F.length("p_name").alias("n")).orderBy("n", "p_name", "p_partkey").limit(100)
+    return t.part.select("p_partkey", "p_name", F.length("p_name").alias("n")).orderBy("n", "p_name", "p_partkey")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -227,10 +227,11 @@ def sparse_dot(t):
     return a.join(b, "l_partkey").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("qa") * F.col("qb")), 2).alias("dot"))
 
 
-@query("SELECT a.doc_id, len(list_intersect(list_distinct(a.w), list_distinct(b.w)))::BIGINT AS common FROM (SELECT doc_id, WORDS AS w FROM documents) a, (SELECT WORDS AS w FROM benchmark WHERE item_id = 0) b".replace("WORDS", WORDS))
+@query(f"WITH {TOK}, d AS (SELECT DISTINCT doc_id, term FROM tok), q AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark) SELECT item_id, doc_id, count(*) AS common FROM d JOIN q USING (term) GROUP BY ALL")
 def key_set_intersection(t):
-    q = t.benchmark.where("item_id = 0").select(T.words(F.col("text")).alias("q"))
-    return t.documents.select("doc_id", T.words(F.col("text")).alias("w")).crossJoin(F.broadcast(q)).select("doc_id", F.size(F.array_intersect("w", "q")).cast("long").alias("common"))
+    """Sizes of all non-empty intersections of documents' and benchmark items' key sets."""
+    keys = lambda df, key: df.select(key, F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    return keys(t.documents, "doc_id").join(keys(t.benchmark, "item_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("common"))
 
 
 @query("SELECT r_name, n_name, r_regionkey = n_regionkey AS own FROM region, nation")

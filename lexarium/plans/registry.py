@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "retrieval_kld"
-_MODULES = ("counters", "text", "retrieval", "mining", "numeric", "io")
+_MODULES = ("counters", "text", "retrieval", "mining", "numeric", "io", "feedback", "more")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 

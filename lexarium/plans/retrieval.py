@@ -15,14 +15,26 @@ ts AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM post GROUP BY 1), tot AS
 st AS (SELECT * FROM post JOIN ds USING (doc_id) JOIN ts USING (term), tot)"""
 QM = f"""qt AS (SELECT item_id AS qid, term, count(*) AS tf FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL),
 qm AS (SELECT qid, term, tf / sum(tf) OVER (PARTITION BY qid) AS p FROM qt), ma AS (SELECT qm.qid, qm.p, st.* FROM qm JOIN st USING (term))"""
-TOP = "SELECT qid, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
+TOP = "SELECT qid, doc_id, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
 KLD = """kb AS (SELECT qid, sum(p * ln(p / (2000 * cf / n_tokens))) AS base, sum(p) AS mass FROM {qm} JOIN ts USING (term), tot GROUP BY 1),
 km AS (SELECT qid, doc_id, dl, sum(p * ln(1 + tf / (2000 * cf / n_tokens))) AS m FROM {ma} GROUP BY ALL),
 {s} AS (SELECT qid, doc_id, exp(m - base - mass * ln(dl + 2000)) AS score FROM km JOIN kb USING (qid))"""
 
 
+_indexes: dict[tuple[str, str], R.Index] = {}
+
+
 def _index(t):
-    return R.Index(t.documents)
+    """The index of a folder's documents, built once a session."""
+    key = (t.spark.sparkContext.applicationId, t.path)
+    if key not in _indexes:
+        _indexes[key] = R.Index(t.documents)
+    return _indexes[key]
+
+
+def _stats(t):
+    i = _index(t)
+    return i.post.join(i.terms, "term").crossJoin(F.broadcast(i.total))
 
 
 def _model(t):
@@ -37,9 +49,9 @@ def _sums(df, key="term"):
     return df.groupBy(key).agg(F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query(f"WITH {POST} SELECT doc_id, term, tf FROM post WHERE tf > 2")
+@query(f"WITH {POST} SELECT doc_id, term, tf FROM post")
 def inverted_index(t):
-    return T.postings(t.documents).where("tf > 2")
+    return T.postings(t.documents)
 
 
 @query(f"WITH {POST} SELECT term, cf::BIGINT AS cf, df FROM ts")
@@ -54,19 +66,19 @@ def collection_totals(t):
 
 @query(f"WITH {POST}, w AS (SELECT doc_id, term, (ln(tf) + 1) * ln((n_docs + 1) / df) AS w FROM st), n AS (SELECT doc_id, term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS w FROM w) SELECT term, round(sum(coalesce(w, 0)), 4) AS weight FROM n GROUP BY 1")
 def weight_tfidf(t):
-    return _sums(W.tfidf(W.with_stats(T.postings(t.documents))))
+    return _sums(W.tfidf(_stats(t)))
 
 
 @query(f"WITH {POST} SELECT term, round(sum(ln((n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (n_tokens / n_docs)))), 4) AS weight FROM st GROUP BY 1")
 def weight_bm25(t):
-    return _sums(W.bm25(W.with_stats(T.postings(t.documents))))
+    return _sums(W.bm25(_stats(t)))
 
 
 @query(f"""WITH {POST}, x AS (SELECT *, tf / dl AS prior, (tf + 1) / (dl + 1) AS po, n_tokens / cf AS inv FROM st),
 w AS (SELECT doc_id, term, tf * log2(po / prior) * (tf * (-log2(prior * inv)) + (tf + 1) * log2(po * inv) + 0.5 * log2(po / prior)) AS w FROM x),
 n AS (SELECT term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS w FROM w) SELECT term, round(sum(coalesce(w, 0)), 4) AS weight FROM n GROUP BY 1""")
 def weight_dfree(t):
-    return _sums(W.dfree(W.with_stats(T.postings(t.documents))))
+    return _sums(W.dfree(_stats(t)))
 
 
 @query(f"WITH {POST}, a AS (SELECT lang AS label, term, count(DISTINCT doc_id) AS a FROM tok GROUP BY ALL) SELECT label, term, round(log2(2 + a / greatest(1, sum(a) OVER (PARTITION BY term) - a)), 6) AS weight FROM a")
@@ -85,14 +97,14 @@ def chi_square(t):
 
 
 @query(f"""WITH {TOK}, b AS (SELECT term AS x, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM tok), c AS (SELECT x, y, count(*) AS n FROM b WHERE y IS NOT NULL GROUP BY ALL), e AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny FROM c)
-SELECT x, y, round(log2((n / t) / ((nx / t) * (ny / t))), 6) AS pmi, round(log2((n / t) / ((nx / t) * (ny / t))) / -log2(n / t), 6) AS npmi FROM e WHERE n > 5""")
+SELECT x, y, round(log2((n / t) / ((nx / t) * (ny / t))), 6) AS pmi, round(log2((n / t) / ((nx / t) * (ny / t))) / -log2(n / t), 6) AS npmi FROM e""")
 def bigram_pmi(t):
     from pyspark.sql import Window
 
     from lexarium.operators import counters as C
 
     c = C.bigrams(T.tokens(t.documents)).toDF("x", "y", "n")
-    e = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).withColumns({"nx": F.sum("n").over(Window.partitionBy("x")), "ny": F.sum("n").over(Window.partitionBy("y"))}).where("n > 5")
+    e = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).withColumns({"nx": F.sum("n").over(Window.partitionBy("x")), "ny": F.sum("n").over(Window.partitionBy("y"))})
     p = [F.col(x) / F.col("t") for x in ("n", "nx", "ny")]
     return e.select("x", "y", F.round(W.pmi(*p), 6).alias("pmi"), F.round(W.pmi(*p, normalized=True), 6).alias("npmi"))
 
@@ -144,10 +156,13 @@ def retrieval_feedback(t):
     return _top(R.feedback(_index(t), _model(t)))
 
 
-@query()
+EM = ", ".join(f"e{i} AS (SELECT doc_id, term, tf, pc, tf * 0.1 * p / (0.1 * p + 0.9 * pc) AS e FROM p{i}), p{i + 1} AS (SELECT doc_id, term, tf, pc, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM e{i})" for i in range(5))
+
+
+@query(f"WITH {POST}, p0 AS (SELECT doc_id, term, tf, cf / n_tokens AS pc, tf / dl AS p FROM st), {EM} SELECT doc_id, term, round(p, 6) AS p FROM p5")
 def parsimonious_model(t):
     i = _index(t)
-    return R.parsimonious(i.post, i.terms, i.total).where("p > 0.05")
+    return R.parsimonious(i.post, i.terms, i.total).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {POST}, l AS (SELECT doc_id, avg(ln((tf + 2000 * cf / n_tokens) / (dl + 2000))) AS l FROM st GROUP BY 1) SELECT doc_id, round(exp(l - (SELECT max(l) FROM l)) / (SELECT sum(exp(l - (SELECT max(l) FROM l))) FROM l), 8) AS prior FROM l")
@@ -156,18 +171,23 @@ def document_prior(t):
     return R.priors(i.post, i.terms, i.total).withColumn("prior", F.round("prior", 8))
 
 
-@query()
+WALK = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT no.node, 0.15 / nn.n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(score), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM fl)) / nn.n) AS score FROM no LEFT JOIN (SELECT dst AS node, sum(w * score) AS got FROM fl JOIN r{i} ON src = r{i}.node GROUP BY 1) g USING (node), nn)" for i in range(10))
+
+
+@query(f"""WITH {TOK}, b AS (SELECT term AS src, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS dst FROM tok), ed AS (SELECT src, dst, count(*)::DOUBLE AS w FROM b WHERE dst IS NOT NULL GROUP BY ALL),
+fl AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM ed), no AS MATERIALIZED (SELECT src AS node FROM ed UNION SELECT dst FROM ed), nn AS (SELECT count(*) AS n FROM no),
+r0 AS (SELECT node, 1.0::DOUBLE / n AS score FROM no, nn), {WALK} SELECT node, round(score, 9) AS score FROM r10""")
 def word_centrality(t):
     from lexarium.operators import counters as C
 
-    edges = C.bigrams(T.tokens(t.documents)).where("cnt >= 20").toDF("src", "dst", "w")
-    return R.random_walk(edges, 5)
+    edges = C.bigrams(T.tokens(t.documents)).toDF("src", "dst", "w")
+    return R.random_walk(edges).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {POST}, {QM}, w AS (SELECT doc_id, term, (ln(tf) + 1) * ln((n_docs + 1) / df) AS w FROM st), n AS (SELECT doc_id AS concept, term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS w FROM w),
 c AS (SELECT qid, concept, round(sum(p * coalesce(w, 0)), 9) AS weight FROM qm JOIN n USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, concept) AS r FROM c) SELECT qid, concept, round(weight, 6) AS weight FROM r WHERE r <= 10""")
 def concept_vectors(t):
-    weights = W.tfidf(W.with_stats(T.postings(t.documents))).select(F.col("doc_id").alias("concept"), "term", "weight")
+    weights = W.tfidf(_stats(t)).select(F.col("doc_id").alias("concept"), "term", "weight")
     return R.concept_vectors(_model(t), weights, 10).withColumn("weight", F.round("weight", 6))
 
 
@@ -200,7 +220,9 @@ def retrieval_cluster_smoothing(t):
     return _top(R.cluster_likelihood(_index(t), _model(t), t.documents.select("doc_id", F.col("lang").alias("cluster"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POST}, le AS (SELECT dl::BIGINT AS dl, count(*) AS n, sum(dvl) AS v FROM ds GROUP BY 1),
+it AS (SELECT 0 AS k, 100.0::DOUBLE AS b UNION ALL SELECT k + 1, (SELECT greatest(1, sum(v) / sum(n * list_sum(list_transform(range(dl), lambda i: 1 / (b + i))))) FROM le) FROM it WHERE k < 20)
+SELECT round(b, 4) AS b0 FROM it WHERE k = 20""")
 def dirichlet_background_mass(t):
-    b = R.background_mass(T.doc_stats(T.postings(t.documents)))
+    b = R.background_mass(_index(t).docs)
     return t.spark.range(1).select(F.round(F.lit(b), 4).alias("b0"))

@@ -142,10 +142,10 @@ def entity_identification(t):
     return P.identify(queries, names, 2, 1).where("rank <= 5").select(F.col("qid").alias("q"), "entity", F.round("score", 6).alias("score"))
 
 
-@query("WITH a AS (SELECT p_name AS name, list(DISTINCT p_brand) AS v FROM part WHERE p_size < 25 GROUP BY 1), b AS (SELECT p_name AS name, list(DISTINCT p_type) AS v FROM part WHERE p_size >= 20 GROUP BY 1) SELECT name, list_sort(list_distinct(list_concat(coalesce(a.v, []), coalesce(b.v, [])))) AS variants FROM a FULL JOIN b USING (name)")
+@query("WITH a AS (SELECT p_name AS name, list(DISTINCT p_brand) AS v FROM part GROUP BY 1), b AS (SELECT p_name AS name, list(DISTINCT p_type) AS v FROM part GROUP BY 1) SELECT name, list_sort(list_distinct(list_concat(coalesce(a.v, []), coalesce(b.v, [])))) AS variants FROM a FULL JOIN b USING (name)")
 def entity_merge(t):
-    a = t.part.where("p_size < 25").groupBy(F.col("p_name").alias("name")).agg(F.collect_set("p_brand").alias("variants"))
-    b = t.part.where("p_size >= 20").groupBy(F.concat("p_name", F.lit(" (old)")).alias("name")).agg(F.collect_set("p_type").alias("variants"))
+    a = t.part.groupBy(F.col("p_name").alias("name")).agg(F.collect_set("p_brand").alias("variants"))
+    b = t.part.groupBy(F.concat("p_name", F.lit(" (old)")).alias("name")).agg(F.collect_set("p_type").alias("variants"))
     return P.merge_entities(a, b)
 
 

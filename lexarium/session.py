@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,11 +25,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where it is unset (tests, one machine) is a temporary folder made and set.
+    Only where it is unset on a local master (tests, one machine) is a temporary folder made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = context.get() if context.isDefined() else f"file://{tempfile.mkdtemp(prefix='lexarium-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -39,3 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder (or at ``path``), which later scans can prune."""
+    path = path or f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` cut from its lineage, and marked for broadcast if it has at most so many rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df

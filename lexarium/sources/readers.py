@@ -6,7 +6,7 @@ columns, so a file of any size is split over tasks where its format allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarium.functions import strings as S
@@ -110,5 +110,14 @@ def crawl_dump(spark: SparkSession, path: str) -> DataFrame:
     return r.select(field("UID").alias("uid"), field("DATE").alias("date"), field("URL").alias("url"), S.strip_html(F.regexp_extract("value", r"(?s)#CONTENT:(.*)$", 1)).alias("content"))
 
 
+def outline(pages: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+    """(page, chapter, section, title) of nested lists: lines of one, two and three asterisks; chapter prefixes go."""
+    rows = pages.select(page, F.posexplode(F.split(text, "\n")).alias("line", "value")).withColumn("depth", F.length(F.regexp_extract("value", r"^(\*+)", 1)))
+    rows = rows.where("depth > 0").withColumn("name", S.strip_chapter(F.regexp_replace("value", r"^\*+\s*", "")))
+    w = Window.partitionBy(page).orderBy("line")
+    at = lambda d: F.last(F.when(F.col("depth") == d, F.col("name")), ignorenulls=True).over(w)
+    return rows.withColumns({"chapter": at(1), "section": at(2)}).where("depth = 3").select(page, "chapter", "section", F.col("name").alias("title"))
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
