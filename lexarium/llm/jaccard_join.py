@@ -55,7 +55,7 @@ BITMAP = 1024
 #: Entries of lists a worker takes at once, about; a list with more left for the second round is cut.
 LIST_ROWS = 4_000
 #: Pairs expanded at once.
-PAIR_ROWS = 2_000_000
+PAIR_ROWS = 300_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -279,6 +279,12 @@ def _sorted_pairs(a, b):
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
 
+def _first_of_each(rows: np.ndarray) -> np.ndarray:
+    """The rows, sorted, with each (first, second) column pair once."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])][: len(rows)]]
+
+
 def _words(bits) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
 
@@ -298,8 +304,8 @@ def _neighbours(percent: int):
             i = i[(100 * n[i] >= percent * n[i + step]) & _passes(n, pos, i, i + step, percent)]
             i = i[_near(n, bits, i, i + step, percent)]
             found.append(_sorted_pairs(doc[i], doc[i + step]))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield from sliced([pairs[:, 0], pairs[:, 1]], ["u", "v"])
+        pairs = _first_of_each(np.concatenate(found))
+        yield from sliced([np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])], ["u", "v"])
 
     return run
 
@@ -311,11 +317,14 @@ def _across(percent: int):
     """
     names = ["token", "n", "comp", "pos", "doc", "extra", "side"]
 
+    def flat(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in _first_of_each(np.concatenate(found)).T], ["u", "v", "cu", "cv", "least"])
+
     def run(batches):
         for *columns, bits in _lists(batches, [*names, "bits"], LIST_ROWS):
             t, n, comp, pos, doc, extra, side = columns
             pos, bits = pos.astype(np.int64), _words(bits)
-            found = [np.zeros((0, 5), np.int64)]
+            found: list[np.ndarray] = []
             for ranges in _blocks(t, n, comp, pos, percent):
                 for i, j in _expanded(*ranges):
                     apart = (side[i] < 0) | (side[i] != side[j])  # two chunks of one list: pairs of both only
@@ -327,8 +336,10 @@ def _across(percent: int):
                     least = needed(n[i], n[j], percent) - extra[i] - extra[j]
                     found.append(np.stack([doc[u], doc[v], comp[u], comp[v], least], 1))
                     if sum(map(len, found)) > PAIR_ROWS:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found), axis=0).T], ["u", "v", "cu", "cv", "least"])
+                        yield flat(found)
+                        found = []
+            if found:
+                yield flat(found)
 
     return run
 
@@ -418,7 +429,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     beyond = overlaps(known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))).select(F.col("u").alias("doc"), "extra")
     labelled = lists.join(known.withColumnRenamed("node", "doc"), "doc", "left").join(beyond, "doc", "left")
     labelled = labelled.select("token", "n", F.coalesce("component", "doc").alias("comp"), "pos", "doc", F.coalesce("extra", F.lit(0)).alias("extra"), "bits")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high").select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("chunks"))
+    mixed = cut(labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high").select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("chunks")))
     own = F.pmod(F.xxhash64("doc", F.lit(5)), F.col("chunks")).cast("int")
     cut_up = labelled.join(mixed, "token").withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # two chunks of a list meet in a list of their own; of a chunk with itself all pairs count
