@@ -38,7 +38,7 @@ from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows, trimmed
 from lexarium.llm.graph import components
 from lexarium.llm.marks import has, marked
-from lexarium.llm.ranges import dealt, sampled, sliced, whole
+from lexarium.llm.ranges import dealt, share, sliced, whole
 from lexarium.session import cut
 
 #: Counters of the frequency sketch: 4 MB, whatever the input.
@@ -404,7 +404,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     listed = texts.where("doc_id is not null").select("text")
     keys = "token long, n long, f1 long, f2 long, pos int"
-    shared = dealt(listed, listed.where(sampled("text")), _postings(k, percent, order), keys, ["token", "n", "f1"], _shared(percent), keys)
+    shared = dealt(listed, share(listed), _postings(k, percent, order), keys, ["token", "n", "f1"], _shared(percent), keys)
     entries = cut(shared.join(classes, ["f1", "f2", "n"]).select("token", "n", "doc", "pos"))
     marks = marked(entries.select("doc"))
     sets = cut(texts.where("doc_id is not null").mapInArrow(trimmed(_set_rows(k, marks)), "doc long, items binary"))
@@ -422,7 +422,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     with batch_rows(spark, 1000):
         lists = cut(entries.join(sets.mapInArrow(_bitmaps, "doc long, bits binary"), "doc").select("token", "n", "doc", "pos", "bits"))
-        tried = cut(dealt(lists, lists.where(sampled("doc")), iter, "token long, n long, doc long, pos int, bits binary", ["token", "n", "doc"], _neighbours(percent), "u long, v long").distinct())
+        tried = cut(dealt(lists, share(lists), iter, "token long, n long, doc long, pos int, bits binary", ["token", "n", "doc"], _neighbours(percent), "u long, v long").distinct())
     first = overlaps(tried)
     edges = first.where("linked").select("u", "v")
     known = components(edges)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.llm.batches import trimmed
@@ -16,9 +16,9 @@ PER_BUCKET, ONE_IN = 40, 32
 BUCKET_ROWS = 1_000_000
 
 
-def sampled(key: str) -> Column:
-    """True for one key in ONE_IN, by hash."""
-    return F.pmod(F.xxhash64(key), F.lit(ONE_IN)) == 0
+def share(df: DataFrame) -> DataFrame:
+    """One row in ONE_IN, drawn row by row, so that copies are drawn as often as they are there."""
+    return df.where(F.rand(7) < 1 / ONE_IN)
 
 
 def multikey(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,14 +4,14 @@ Sorting every suffix of a corpus would move hundreds of bytes for each byte of t
 ``length`` bytes hold the same smallest-hashed gram at the same place, though, so only one suffix in about 150, the
 one that starts with such an anchor gram, needs to be a row; it stands for the run of starts around it.
 
-1. Splitters, sampled from the suffixes of a hashed share of the texts, range-partition the anchor suffixes by their
+1. Splitters, sampled from the suffixes of a random share of the texts, range-partition the anchor suffixes by their
    leading tokens (the anchor gram, then the whole run, then the text), so even one string that a third of all
    documents hold spreads over many buckets. Each bucket sorts its suffixes by multikey quicksort, and what lies at
    its ends is compared with the ends of the others. Runs found twice are repeated as a whole.
 2. Runs that only share the gram are cut into blocks of neighbouring starts. All strings that start in a block share
    its core, so blocks are range-partitioned, sorted and compared likewise by their cores, and in blocks of equal cores
    the strings are told apart by the few bytes on both sides that the core leaves out. Strings of a core that goes on
-   across buckets are counted over all of them.
+   across buckets are counted over all of them, each once a bucket.
 3. The repeated spans of a text are joined to it and cut out.
 
 Texts are keyed by 128 bits of hash, so equal texts share their spans. Tokens are compared by 64-bit hashes each.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm import ranges
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows, trimmed
 from lexarium.llm.marks import has, marked
-from lexarium.llm.ranges import dealt, multikey, sliced, whole
+from lexarium.llm.ranges import dealt, multikey, share, sliced, whole
 from lexarium.session import cut
 
 _PLACE = np.uint64(24)
@@ -93,7 +93,14 @@ def _anchor_rows(length: int, gram: int):
     """The anchor suffixes of (ka, kb, base, body): ``base`` is where the body lies in its text."""
 
     def run(batches):
+        seen: Counter = Counter()
         for b in batches:
+            rows = []
+            for i, key in enumerate(zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("base").to_pylist(), strict=True)):
+                seen[key] += 1
+                if seen[key] < 3:  # two show that the text is repeated; its spans go to all of its copies
+                    rows.append(i)
+            b = b.take(pa.array(rows, pa.int64())) if len(rows) < len(b) else b
             data, offsets = tk.buffers(b.column("body"))
             text, s0, s1, k, grams, runs = anchors(data, offsets, length, gram)
             if len(text):
@@ -197,52 +204,38 @@ def _spans(ka, kb, at, tied: np.ndarray, length: int):
 
 
 def _same_strings(length: int, width: int):
-    """Repeated spans of a bucket's blocks; blocks whose core is at an end of the bucket come back too, with a fringe."""
+    """Repeated spans of a bucket's blocks, and the strings that other buckets may hold too.
+
+    These are the strings of the cores at the bucket's ends, each once: with a key, and whether they are known to be
+    repeated.
+    """
 
     def run(table: pa.Table, bucket: int):
         order, shared = multikey([whole(table.column("core"))])
         core_id = np.cumsum(shared < 1) - 1
-        ends = (core_id == 0) | (core_id == core_id[-1])
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-        names = ["ka", "kb", "start", "end", "core", "at", "lo", "hi", "fringe", "bucket"]
-
-        def filled(columns: dict, n: int):
-            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
-
-        outer = table.take(pa.array(order[ends])).combine_chunks()
-        for b in outer.select(["ka", "kb", "core", "at", "lo", "hi", "fringe"]).to_batches(20_000):
-            yield filled(dict(zip(b.schema.names, b.columns, strict=True)) | {"bucket": pa.array(np.full(len(b), bucket, np.int32))}, len(b))
-        cuts = np.flatnonzero(np.r_[True, core_id[1:] != core_id[:-1], True]) if len(core_id) else np.zeros(1, np.int64)
-        size = np.diff(cuts)
-        tied_core = np.repeat(size > 1, size)
-        own = table.take(pa.array(order[tied_core])).combine_chunks()
-        if not len(own):
-            return
-        tied = np.zeros((len(own), width), bool)
+        size = np.bincount(core_id)[core_id]
+        end = (core_id == 0) | (core_id == core_id[-1])
+        pick = (size > 1) | end
+        own = table.take(pa.array(order[pick])).combine_chunks()
+        outer = end[pick]
+        ka, kb, at = (own.column(n).to_numpy() for n in ("ka", "kb", "at"))
         keys, there = _strings(own, width)
+        tied = np.zeros((len(own), width), bool)
         for q in range(width):
             which = np.flatnonzero(there[:, q])
-            if len(which) > 1:
-                o, same = multikey([keys[which, q]])
-                tied[which[o[np.r_[same[1:] > 0, False] | (same > 0)]], q] = True
-        for b in _spans(*(own.column(n).to_numpy() for n in ("ka", "kb", "at")), tied, length):
-            yield filled(dict(zip(b.schema.names, b.columns, strict=True)), len(b))
-
-    return run
-
-
-def _string_rows(length: int, width: int):
-    """One row for each string of blocks whose core goes on across buckets."""
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                table = pa.Table.from_batches([b])
-                ka, kb, at = (table.column(n).to_numpy() for n in ("ka", "kb", "at"))
-                keys, there = _strings(table, width)
-                row, q = np.nonzero(there)
-                start = (at[row] - q).astype(np.int32)
-                yield from sliced([keys[row, q].view(np.int64), ka[row], kb[row], start, start + np.int32(length)], ["key", "ka", "kb", "start", "end"])
+            o, same = multikey([keys[which, q]])
+            which = which[o]
+            twice = np.zeros(len(which), bool)
+            twice[1:] |= same[1:] > 0
+            twice[:-1] |= same[1:] > 0
+            tied[which[twice], q] = True
+            first = which[(same == 0) & outer[which]]
+            start = (at[first] - q).astype(np.int32)
+            for b in sliced([ka[first], kb[first], start, start + np.int32(length), keys[first, q].view(np.int64), tied[first, q]], ["ka", "kb", "start", "end", "key", "known"]):
+                if len(b):
+                    yield b
+        for b in _spans(ka, kb, at, tied, length):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.int64()), pa.array(np.ones(len(b), bool))], [*b.schema.names, "key", "known"])
 
     return run
 
@@ -318,8 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     spark, bodies = docs.sparkSession, _bodies(docs, length, text_col)
     if within is not None:
         bodies = _pieces(bodies, within, length)
-    sampled = ranges.sampled("ka")
-    found = dealt(bodies, bodies.where(sampled), _anchor_rows(length, gram), _RUN, ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
+    found = dealt(bodies, share(bodies), _anchor_rows(length, gram), _RUN, ["gram", "run", "ka"], _same_runs, f"code byte, {_RUN}, bucket int")
     ends = [tuple(r) for r in found.where(F.col("code") == END).select("gram", "run", "bucket").collect()]  # two a bucket
     sure, open_ = _over_ends(found, ends)
     runs = cut(open_.groupBy("ka", "kb", "base").agg(F.collect_set(F.struct("s0", "s1", "anchor", "gram")).alias("runs")))
@@ -327,13 +319,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
 
     with batch_rows(spark, 1000):
         keys = ["ka", "kb", "base"]
-        compared = dealt(near.join(runs, keys), near.where(sampled).join(runs.where(sampled), keys), _block_rows(length, width), _BLOCK, ["core", "ka"], _same_strings(length, width), f"{_SPAN}, core long, at int, lo int, hi int, fringe binary, bucket int")
-        outer = compared.where("core is not null")
-        going_on = outer.select("core", "bucket").distinct().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")  # two cores a bucket at most
-        strings = cut(outer.join(F.broadcast(going_on), "core", "left_semi").mapInArrow(trimmed(_string_rows(length, width)), f"key long, {_SPAN}"))
+        compared = dealt(near.join(runs, keys), share(near).join(runs, keys), _block_rows(length, width), _BLOCK, ["core", "ka"], _same_strings(length, width), f"{_SPAN}, key long, known boolean")
+    strings = compared.where("key is not null")
     again = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     spans = sure.select("ka", "kb", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
-    for more in (compared.where("core is null"), strings.join(again, "key")):
+    for more in (compared.where("key is null"), strings.where("not known").join(again, "key")):
         spans = spans.union(more.select("ka", "kb", "start", "end"))
     return cut(spans.groupBy("ka", "kb").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
