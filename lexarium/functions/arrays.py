@@ -176,3 +176,35 @@ def kernel(distance, sigma: float, kind: str) -> Column:
     d = F.abs(_c(distance)) / sigma
     inside = {"gaussian": F.exp(-d * d / 2), "triangle": 1 - d, "cosine": (1 + F.cos(d * math.pi)) / 2, "circle": F.sqrt(F.greatest(F.lit(0.0), 1 - d * d)), "arc": 1 - F.sqrt(F.greatest(F.lit(0.0), 1 - (1 - d) ** 2)), "passage": F.lit(1.0)}[kind]
     return inside if kind == "gaussian" else F.when(d > 1, 0.0).otherwise(inside)
+
+
+def kendall(a, b) -> Column:
+    """Kendall's tau-a of two arrays: concordant less discordant pairs over all pairs."""
+    a, b = _c(a), _c(b)
+    n = F.size(a)
+    sums = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.aggregate(F.sequence(F.lit(0), i - 1), F.lit(0.0), lambda t, j: t + F.signum(F.get(a, i) - F.get(a, j)) * F.signum(F.get(b, i) - F.get(b, j))))
+    return F.when(n > 1, sums / (n * (n - 1) / 2))
+
+
+def distribute(total: Column, shares) -> Column:
+    """A total shared out by weights; all 0 where they sum to 0."""
+    s = F.aggregate(_c(shares), F.lit(0.0), lambda t, x: t + x)
+    return F.transform(_c(shares), lambda x: F.when(s == 0, 0.0).otherwise(total * x / s))
+
+
+def reshape(a, columns: int) -> Column:
+    """Rows of ``columns`` values, the last one shorter where they do not fit."""
+    rows = F.ceil(F.size(a) / columns).cast("int")
+    return F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.slice(a, i * columns + 1, F.lit(columns)))
+
+
+def column_of(rows, k: int) -> Column:
+    return F.transform(rows, lambda r: F.get(r, F.lit(k)))
+
+
+def diagonal(rows) -> Column:
+    return F.transform(rows, lambda r, i: F.get(r, i))
+
+
+def identity(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(i == j, 1.0).otherwise(0.0)))

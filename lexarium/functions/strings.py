@@ -136,3 +136,12 @@ def organization_parts(c: Column) -> Column:
 def strip_chapter(c: Column) -> Column:
     """Without the literal prefix of a chapter heading."""
     return F.trim(F.regexp_replace(c, "^ICD-10 Chapter ", ""))
+
+
+def joined(words: Column, start: int, end: int, sep: str = " ") -> Column:
+    """Words from start (0 the first) up to end, joined."""
+    return F.array_join(F.slice(words, start + 1, max(0, end - start)), sep)
+
+
+def item(words: Column, k: int, default: str = "") -> Column:
+    return F.coalesce(F.get(words, F.lit(k)), F.lit(default))

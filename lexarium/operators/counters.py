@@ -162,3 +162,44 @@ def folds(df: DataFrame, key: str, shares: list[float], seed: int = 11) -> DataF
         edges += s
         fold = F.when((u < edges) & (u >= edges - s), F.lit(i)).otherwise(fold)
     return df.withColumn("fold", fold)
+
+
+def transpose(counter: DataFrame, outer: str, inner: str) -> DataFrame:
+    """A counter map with its keys' places changed."""
+    return counter.select(F.col(inner).alias(outer), F.col(outer).alias(inner), "cnt")
+
+
+def inner_keys(counter: DataFrame, inner: str) -> DataFrame:
+    return counter.select(inner).distinct()
+
+
+def scale_row(counter: DataFrame, outer: str, key, factor: float) -> DataFrame:
+    return counter.withColumn("cnt", F.when(F.col(outer) == key, F.col("cnt") * factor).otherwise(F.col("cnt")))
+
+
+def text_form(counter: DataFrame, key: str, n: int, by_value: bool = True) -> DataFrame:
+    """One row: the first n entries as 'key:count, ...', by falling count or by key."""
+    order = [F.desc("cnt"), F.col(key)] if by_value else [F.col(key)]
+    first = counter.orderBy(*order).limit(n)
+    place = F.struct((-F.col("cnt")).alias("c"), F.col(key).alias("k")) if by_value else F.struct(F.col(key).alias("k"), (-F.col("cnt")).alias("c"))
+    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: F.concat_ws(":", x["k"].cast("string"), F.format_string("%.2f", -x["c"]))), ", ").alias("text"))
+
+
+def translate(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``key`` replaced by its id in ``ids`` (key, id)."""
+    return df.join(ids, key).drop(key)
+
+
+def zipf(freqs: DataFrame) -> DataFrame:
+    """One row: slope of ln frequency over ln rank, from a table of frequencies and how many words have each (freq, n)."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a frequency
+    points = freqs.withColumn("rank", before + (F.col("n") + 1) / 2)
+    return points.agg(F.regr_slope(F.ln("freq"), F.ln("rank")).alias("slope"))
+
+
+def ngram_postings(tokens: DataFrame, n: int = 2, doc: str = "doc_id") -> DataFrame:
+    """(gram, block, postings): 'doc:count' lists, documents in order; blocks are ranges of the sorted grams' heads."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    grams = tokens.select(doc, F.concat_ws("_", "term", *[F.lead("term", k).over(w) for k in range(1, n)]).alias("gram"), F.lead("term", n - 1).over(w).alias("last")).where("last is not null")
+    counts = grams.groupBy("gram", doc).agg(F.count("*").alias("c"))
+    return counts.groupBy("gram").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(doc, "c"))), lambda x: F.concat_ws(":", x[doc].cast("string"), x["c"].cast("string"))), " ").alias("postings")).withColumn("block", F.substring("gram", 1, 1))

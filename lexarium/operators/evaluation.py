@@ -83,3 +83,11 @@ def kappa(a: Column, b: Column) -> tuple[Column, Column]:
     pooled = (F.avg(a.cast("double")) + F.avg(b.cast("double"))) / 2
     chance = pooled**2 + (1 - pooled) ** 2
     return F.when(chance == 1, 1.0).otherwise((same - chance) / (1 - chance)), same
+
+
+def micro_macro(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: precision, recall and F1 over all decisions, and their means over labels."""
+    rows = confusion(df, truth, predicted)
+    n = df.agg(F.count("*").alias("n"), F.sum((F.col(truth) == F.col(predicted)).cast("int")).alias("tp"))
+    macro = rows.agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
+    return n.select((F.col("tp") / F.col("n")).alias("micro_f1")).crossJoin(macro)

@@ -41,7 +41,7 @@ def sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     """(doc, sentence, text): split behind . ! or ? and white space before a capital, a digit or a quote."""
     marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"([.!?])\s+([\p{Lu}0-9\"'])", "$1\x01$2")
     parts = F.split(marked, r"\x01|\n+")
-    return docs.select(doc, F.posexplode(F.filter(F.transform(parts, F.trim), lambda x: x != "")).alias("sentence", "text"))
+    return docs.select(doc, F.posexplode(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")).alias("sentence", "text"))
 
 
 def treebank(text: Column) -> Column:

@@ -45,6 +45,17 @@ def tsv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*[F.replace(S.null_markers(F.col(c)), F.lit("<NL>"), F.lit("\n")).alias(c) for c in columns])
 
 
+def svm(spark: SparkSession, path: str) -> DataFrame:
+    """(label, cells) of 'label idx:val ...' lines; cells are (i, x), places from 1."""
+    parts = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    cell = lambda c: F.struct(F.substring_index(c, ":", 1).cast("int").alias("i"), F.substring_index(c, ":", -1).cast("double").alias("x"))
+    return parts.select(F.get("p", 0).alias("label"), F.transform(F.slice("p", F.lit(2), F.size("p")), cell).alias("cells"))
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).agg(F.count("*").alias("n"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 

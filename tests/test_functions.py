@@ -150,3 +150,84 @@ def test_entry_point_registers_everything():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_porter_stems():
+    from lexarium.functions.stemming import porter
+
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "digitizer": "digit", "vietnamization": "vietnam", "hopefulness": "hope", "sensibiliti": "sensibl", "formalize": "formal", "electrical": "electr", "revival": "reviv", "replacement": "replac", "adoption": "adopt", "communism": "commun", "rate": "rate", "cease": "ceas", "controll": "control", "is": "is"}
+    assert {w: porter(w) for w in want} == want
+
+
+def test_optimal_pivots_equal_all_choices():
+    import itertools
+    import random
+
+    from lexarium.operators.gram_models import best_pivots
+
+    rng = random.Random(1)
+    for _ in range(200):
+        starts, q, k = [rng.randrange(12) for _ in range(rng.randint(0, 9))], rng.randint(1, 3), rng.randint(1, 3)
+        w = [rng.random() for _ in starts]
+        sets = [c for c in itertools.combinations(range(len(starts)), k) if all(abs(starts[a] - starts[b]) >= q for a, b in itertools.combinations(c, 2))]
+        got = best_pivots(starts, w, q, k)
+        if sets:
+            assert abs(sum(w[i] for i in got) - min(sum(w[i] for i in c) for c in sets)) < 1e-9
+        else:
+            assert got == []
+
+
+def test_huffman_codes_are_prefix_free_and_optimal():
+    from lexarium.operators.gram_models import huffman
+
+    counts = [5, 9, 12, 13, 16, 45]
+    codes, points = huffman(counts)
+    assert sum(c * len(x) for c, x in zip(counts, codes, strict=True)) == 224
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+    assert [len(p) for p in points] == [len(c) for c in codes] and all(p[0] == len(counts) - 2 for p in points)
+
+
+def test_weighted_alignment_and_respacing():
+    from lexarium.operators.gram_models import respaced, weighted_local
+
+    assert weighted_local("abc", "abc", {}) == 6 and weighted_local("abc", "xyz", {}) == 0
+    assert abs(weighted_local("ab", "ab", {"a": 1.0}) - (2 * 2.718281828459045 + 2)) < 1e-9
+    assert abs(weighted_local("axb", "ab", {"x": 0.0}) - 3) < 1e-9
+    assert respaced("ab", {("a", " "): 0.9, ("a", "b"): 0.1}) == "a b" and respaced("ab", {}) == "ab"
+
+
+def test_online_centroids_mend_a_mistake():
+    import numpy as np
+
+    from lexarium.operators.gram_models import updated_centroids
+
+    x, y = np.array([[1.0, 0.2], [0.9, 0.1], [0.1, 1.0]]), np.array([0, 0, 1])
+    start = np.array([[0.0, 1.0], [1.0, 0.0]])
+    c = updated_centroids(x, y, start, rate=0.5, rounds=10)
+    s = x @ c.T / np.linalg.norm(c, axis=1)
+    assert (s.argmax(1) == y).all()
+
+
+def test_settings_of_a_run_name():
+    from lexarium.operators.records import Settings
+
+    s = Settings.parse("cbeem_100_10_5_25_1500.0_0.4_true")
+    assert (s.top_k, s.fb_iters, s.fb_docs, s.fb_words, s.mu, s.mix_coll, s.doc_prior, s.mix_fb) == (100, 10, 5, 25, 1500.0, 0.4, True, 0.5)
+
+
+def test_index_opens_again(spark, tmp_path):
+    from lexarium.operators.retrieval import Index
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None), (1, "c")], "doc_id long, text string")
+    Index(docs, path=f"{tmp_path}/index")
+    i = Index.load(spark, f"{tmp_path}/index")
+    assert sorted(tuple(r) for r in i.post.collect()) == [(1, "a", 2, 4, 3), (1, "b", 1, 4, 3), (1, "c", 1, 4, 3), (2, "b", 1, 1, 1)]
+    assert tuple(i.total.first()) == (2, 5, 4)
+
+
+def test_clusters_of_copies_and_pairs(spark):
+    from lexarium.operators.mining import centroid_clusters
+
+    rows = [(i, [1.0, 0.0]) for i in range(5)] + [(10, [0.96, 0.28]), (20, [0.0, 1.0]), (21, [0.0, 1.0])]
+    got = dict(tuple(r) for r in centroid_clusters(spark.createDataFrame(rows, "id long, v array<double>"), 0.9).collect())
+    assert {got[i] for i in (0, 1, 2, 3, 4, 10)} == {0} and got[20] == got[21] == 20
