@@ -70,15 +70,13 @@ def needleman_wunsch(a: str, b: str, match: float = 0, mismatch: float = -1, gap
     return row[-1]
 
 
-def smith_waterman(a, b, match: float = 2, mismatch: float = -1, gap: float = -1, weights: dict | None = None) -> float:
-    """Best local alignment score of two sequences; weights multiply the score of a pair by its items' larger one."""
+def smith_waterman(a, b, match: float = 2, mismatch: float = -1, gap: float = -1) -> float:
+    """Best local alignment score of two sequences; gram_models.weighted_local has the form with weights."""
     best, row = 0.0, [0.0] * (len(b) + 1)
     for x in a:
         new = [0.0]
         for j, y in enumerate(b, 1):
             s = match if x == y else mismatch
-            if weights:
-                s *= max(weights.get(x, 1.0), weights.get(y, 1.0))
             new.append(max(0.0, row[j - 1] + s, row[j] + gap, new[-1] + gap))
         row = new
         best = max(best, *row)

@@ -57,9 +57,9 @@ pf AS (SELECT qid, doc_id, pos // 50 AS passage, term, count(*) AS ptf, any_valu
 px AS (SELECT qid, doc_id, passage, round(exp(m - base - mass * ln(pl + 50)), 9) AS score FROM pm JOIN pl USING (doc_id, passage) JOIN ba USING (qid)), psg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, passage) AS r FROM px) WHERE r = 1)"""
 
 
-@query(f"WITH {POST}, {Q}, {PASSAGES} SELECT qid, doc_id, passage::INT AS passage, round(score, 6) AS score FROM psg")
+@query(f"WITH {POST}, {Q}, {PASSAGES} SELECT qid, doc_id, passage::INT AS passage, score FROM psg")
 def retrieval_passages(t):
-    return P.passage_divergence(_index(t), T.tokens(t.documents), _model(t)).withColumn("score", F.round("score", 6))
+    return P.passage_divergence(_index(t), T.tokens(t.documents), _model(t))
 
 
 SIDE = "(least({0}, 25) + 1 - least({0}, 25) * (least({0}, 25) + 1) / 50)".format
@@ -68,9 +68,9 @@ SIDE = "(least({0}, 25) + 1 - least({0}, 25) * (least({0}, 25) + 1) / 50)".forma
 @query(f"""WITH {POST}, {LONG}, {KN}, ba AS (SELECT qid, sum(p * ln(p * n_tokens / (200 * cf))) AS base, sum(p) AS mass FROM kn GROUP BY 1), h AS (SELECT qid, doc_id, pos, term, p, pc FROM tok JOIN kn USING (term)),
 c AS (SELECT a.qid, a.doc_id, a.pos AS centre, b.term, sum(1 - abs(a.pos - b.pos) / 25) AS c, any_value(b.p) AS p, any_value(b.pc) AS pc FROM h a JOIN h b ON a.qid = b.qid AND a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 25 GROUP BY ALL),
 m AS (SELECT qid, doc_id, centre, sum(p * ln(1 + c / (200 * pc))) AS m FROM c GROUP BY ALL), s AS (SELECT qid, doc_id, centre, round(exp(m - base - mass * ln({SIDE('centre')} + {SIDE('(dl - 1 - centre)')} - 1 + 200)), 9) AS score FROM m JOIN ds USING (doc_id) JOIN ba USING (qid))
-SELECT qid, doc_id, centre::INT AS centre, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, centre) AS r FROM s) WHERE r = 1""")
+SELECT qid, doc_id, centre::INT AS centre, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, centre) AS r FROM s) WHERE r = 1""")
 def retrieval_positional(t):
-    return P.positional_divergence(_index(t), T.tokens(t.documents), _long(t)).withColumn("score", F.round("score", 6))
+    return P.positional_divergence(_index(t), T.tokens(t.documents), _long(t))
 
 
 @query(f"""WITH {TOK}, {LONG}, l AS (SELECT qid, doc_id, pos FROM tok JOIN qm USING (term)), n AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 10 THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY qid, doc_id ORDER BY pos)),
@@ -170,11 +170,11 @@ def sentence_split(t):
     return T.sentences(t.documents).select("doc_id", "sentence", F.md5("text").alias("h"))
 
 
-@query(f"""WITH {SENT}, tok AS (SELECT doc_id || '-' || sentence AS doc_id, unnest({WORDS}) AS term FROM se), {Q}, {collection('s', 'TRUE', 10, 1)} SELECT qid, doc_id AS sid, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ss) WHERE rank <= 10""")
+@query(f"""WITH {SENT}, tok AS (SELECT doc_id || '-' || sentence AS doc_id, unnest({WORDS}) AS term FROM se), {Q}, {collection('s', 'TRUE', 10, 1)} SELECT qid, doc_id AS sid, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ss) WHERE rank <= 10""")
 def sentence_search(t):
     s = T.sentences(t.documents).select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("sentence").cast("string")).alias("sid"), "text")
     scores = R.divergence(R.Index(s, "sid"), _model(t)).withColumn("score", F.round("score", 9))
-    return R.best(scores, 10, "sid").select("qid", "sid", F.round("score", 6).alias("score"))
+    return R.best(scores, 10, "sid").select("qid", "sid", "score")
 
 
 @query(f"{RANKED} w AS (SELECT doc_id, term, (ln(tf) + 1) * ln((n_docs + 1) / df) AS w FROM st), n AS (SELECT doc_id, term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS w FROM w) SELECT qid, doc_id, term, round(coalesce(w, 0), 6) AS weight FROM rk JOIN n USING (doc_id)")
@@ -185,12 +185,12 @@ def relevance_collection(t):
     return _ranked(t).select("qid", "doc_id").join(W.tfidf(_stats(t)), "doc_id").select("qid", "doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {POST}, {QM}, {KLD.format(qm='qm', ma='ma', s='s')} SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 1000")
+@query(f"WITH {POST}, {QM}, {KLD.format(qm='qm', ma='ma', s='s')} SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 1000")
 def initial_search(t):
     """The first ranking, kept in a run file and read back."""
     ranked = R.best(R.divergence(_index(t), _model(t)).withColumn("score", F.round("score", 9)), 1000)
     path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
-    sinks.text(ranked.select(F.concat_ws("\t", "qid", "doc_id", F.round("score", 6).cast("string")).alias("value")), path)
+    sinks.text(ranked.select(F.concat_ws("\t", "qid", "doc_id", F.col("score").cast("string")).alias("value")), path)
     return readers.run(t.spark, path)
 
 

@@ -54,7 +54,7 @@ def null_markers(t):
 def streaming_window_counts(t):
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(t.path)
-    return counts.drained(counts.windowed_counts(stream, "event_type"), f"counts_{uuid.uuid4().hex}")
+    return counts.drained(counts.windowed_counts(stream, "event_type"), ["start", "event_type"])
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS cnt FROM events GROUP BY ALL")

@@ -15,7 +15,7 @@ ts AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM post GROUP BY 1), tot AS
 st AS (SELECT * FROM post JOIN ds USING (doc_id) JOIN ts USING (term), tot)"""
 QM = f"""qt AS (SELECT item_id AS qid, term, count(*) AS tf FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL),
 qm AS (SELECT qid, term, tf / sum(tf) OVER (PARTITION BY qid) AS p FROM qt), ma AS (SELECT qm.qid, qm.p, st.* FROM qm JOIN st USING (term))"""
-TOP = "SELECT qid, doc_id, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
+TOP = "SELECT qid, doc_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
 KLD = """kb AS (SELECT qid, sum(p * ln(p / (2000 * cf / n_tokens))) AS base, sum(p) AS mass FROM {qm} JOIN ts USING (term), tot GROUP BY 1),
 km AS (SELECT qid, doc_id, dl, sum(p * ln(1 + tf / (2000 * cf / n_tokens))) AS m FROM {ma} GROUP BY ALL),
 {s} AS (SELECT qid, doc_id, exp(m - base - mass * ln(dl + 2000)) AS score FROM km JOIN kb USING (qid))"""
@@ -42,7 +42,7 @@ def _model(t):
 
 
 def _top(scores, k=10):
-    return R.best(scores.withColumn("score", F.round("score", 9)), k).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.best(scores.withColumn("score", F.round("score", 9)), k).select("qid", "doc_id", "score")
 
 
 def _sums(df, key="term"):
@@ -191,9 +191,9 @@ def concept_vectors(t):
     return R.concept_vectors(_model(t), weights, 10).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""WITH {TOK}, {QM.split(', ma AS')[0]}, x AS (SELECT qid, doc_id, pos // 50 AS passage, round(sum(p) / 100.0, 9) AS score FROM tok JOIN qm USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, passage) AS r FROM x) SELECT qid, doc_id, round(score, 6) AS score FROM r WHERE r = 1 AND score > 0.00500001""")
+@query(f"""WITH {TOK}, {QM.split(', ma AS')[0]}, x AS (SELECT qid, doc_id, pos // 50 AS passage, round(sum(p) / 100.0, 9) AS score FROM tok JOIN qm USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, passage) AS r FROM x) SELECT qid, doc_id, round(score, 6) AS score FROM r WHERE r = 1""")
 def best_passages(t):
-    return R.passages(T.tokens(t.documents), _model(t)).where("score > 0.00500001").select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.passages(T.tokens(t.documents), _model(t)).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {TOK}, {QM.split(', ma AS')[0]}, x AS (SELECT qid, doc_id, term, lead(term) OVER w AS t2, lead(pos) OVER w - pos AS d FROM tok JOIN qm USING (term) WINDOW w AS (PARTITION BY qid, doc_id ORDER BY pos)) SELECT qid, doc_id, round(1 / (1 + avg(d)), 6) AS score FROM x WHERE t2 <> term GROUP BY ALL""")

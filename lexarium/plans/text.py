@@ -10,13 +10,15 @@ from lexarium.operators import string_search as P
 from lexarium.operators import tokens as T
 from lexarium.plans.counters import WORDS
 from lexarium.plans.registry import query
+from lexarium.session import small
 
 PAIRS = "n AS (SELECT DISTINCT p_name AS s FROM part), pairs AS (SELECT a.s AS a, b.s AS b FROM n a, n b)"
 
 
 def _pairs(t):
+    """All pairs of the different names: a stated set of queries against all, broadcast behind a check of its size."""
     n = t.part.select(F.col("p_name").alias("s")).distinct()
-    return n.select(F.col("s").alias("a")).crossJoin(F.broadcast(n.select(F.col("s").alias("b"))))
+    return n.select(F.col("s").alias("a")).crossJoin(small(n.select(F.col("s").alias("b"))))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
