@@ -254,3 +254,25 @@ def outline_hierarchy(t):
     sections = t.nation.join(leaves, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", "l"))), lambda x: F.concat(F.lit("\n** ICD-10 Chapter "), x["n_name"], x["l"])), "").alias("s"))
     pages = t.region.join(sections, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("page"), F.concat(F.lit("* "), "r_name", "s").alias("text"))
     return readers.outline(pages)
+
+
+def _topics(name, words):
+    model = f"qt{name} AS (SELECT item_id AS qid, term, count(*) AS tf FROM (SELECT item_id, unnest(({WORDS})[1:{words}]) AS term FROM benchmark) GROUP BY ALL), qm{name} AS (SELECT qid, term, tf / sum(tf) OVER (PARTITION BY qid) AS p FROM qt{name})"
+    return f"{model}, {collection(name, 'TRUE', 10, 1).replace('FROM qm ', f'FROM qm{name} ')}"
+
+
+TOPICS = (("title", 5), ("whole", 1_000_000))
+
+
+@query(f"WITH {TOK}, {', '.join(_topics(n, w) for n, w in TOPICS)} {' UNION ALL '.join(f'''SELECT '{n}' AS run, round(sum(((doc_id + qid) % 10 = 0)::INT) / 10 / (SELECT count(*) FROM benchmark), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s{n}) WHERE rank <= 10''' for n, _ in TOPICS)}")
+def topic_runs(t):
+    """Mean precision of runs over parts of the topics; every tenth document counts as judged relevant."""
+    runs = None
+    n = t.benchmark.agg(F.count("*").alias("n"))
+    for name, words in TOPICS:
+        part = t.benchmark.select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.words(F.col("text")), 1, words), " ").alias("text"))
+        top = R.best(R.divergence(_index(t), R.query_model(part)).withColumn("score", F.round("score", 12)), 10)
+        hits = top.agg(F.sum(((F.col("doc_id") + F.col("qid")) % 10 == 0).cast("int")).alias("hits")).crossJoin(n)
+        one = hits.select(F.lit(name).alias("run"), F.round(F.col("hits") / 10 / F.col("n"), 6).alias("precision"))
+        runs = one if runs is None else runs.unionByName(one)
+    return runs

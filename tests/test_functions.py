@@ -231,3 +231,14 @@ def test_clusters_of_copies_and_pairs(spark):
     rows = [(i, [1.0, 0.0]) for i in range(5)] + [(10, [0.96, 0.28]), (20, [0.0, 1.0]), (21, [0.0, 1.0])]
     got = dict(tuple(r) for r in centroid_clusters(spark.createDataFrame(rows, "id long, v array<double>"), 0.9).collect())
     assert {got[i] for i in (0, 1, 2, 3, 4, 10)} == {0} and got[20] == got[21] == 20
+
+
+def test_file_operations(spark, tmp_path):
+    from lexarium.sources import files
+
+    root = f"file://{tmp_path}"
+    assert files.make(spark, f"{root}/a/b")
+    (tmp_path / "a/b/x.txt").write_text("12345")
+    assert files.copy(spark, f"{root}/a/b/x.txt", f"{root}/a/y.txt") and files.move(spark, f"{root}/a/y.txt", f"{root}/z.txt")
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in files.listing(spark, root).collect() if r.path.endswith(".txt")] == [("x.txt", 5), ("z.txt", 5)]
+    assert files.remove(spark, f"{root}/a") and not files.remove(spark, f"{root}/a")
