@@ -3,12 +3,12 @@
 Tokens of a document are its words (lower-cased, hashed to a fixed vocabulary), the shape of each word (runs of
 capitals, other letters, digits, and each further character), and a marker for a word equal to the one before.
 Every token has a fixed random sparse index vector; a word's context vector is the sum of the index vectors around
-it in the training documents. A document is the mean of its words' context vectors, the mean of its shapes' index
+it in all documents, which needs no labels. A document is the mean of its words' context vectors, the mean of its shapes' index
 vectors, and its length. A network with one hidden layer, trained with numpy, scores it, and a temperature fitted
 on training documents kept apart turns its logits into probabilities.
 
-Only rows of other folds than the held-out one are learnt from, at most ``sample`` of them, by hash of the id; all
-tables that are broadcast have a fixed size. Labels, language, source and id are no inputs of a score.
+Labels are learnt only from rows of other folds than the held-out one, at most ``sample`` of them, by hash of the id;
+all tables that are broadcast have a fixed size. Labels, language, source and id are no inputs of a score.
 
 Rows: null texts count as empty; a document without words is scored from its zero vector. A null id is not held
 out and has no label. Repeated rows are scored each; of labels that contradict each other the larger counts. Where
@@ -73,11 +73,17 @@ def _learn_contexts(batches):
         data, offsets = tk.buffers(b.column("text"))
         for i, j in tk.slices(offsets):
             words, _, _, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            text = np.repeat(np.arange(j - i), np.diff(at))
+            if not len(words):
+                continue
+            text, vectors = np.repeat(np.arange(j - i), np.diff(at)), own[words]
+            around = np.zeros_like(vectors)
             for step in range(1, _WINDOW + 1):
-                same = np.flatnonzero(text[step:] == text[:-step])
-                np.add.at(total, words[same], own[words[same + step]])
-                np.add.at(total, words[same + step], own[words[same]])
+                same = (text[step:] == text[:-step])[:, None]
+                around[:-step] += vectors[step:] * same
+                around[step:] += vectors[:-step] * same
+            order = np.argsort(words, kind="stable")
+            start = np.flatnonzero(np.diff(words[order], prepend=-1))
+            total[words[order[start]]] += np.add.reduceat(around[order], start, axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(range(0, WORDS, 1024), pa.int32()), pa.array([total[i : i + 1024].tobytes() for i in range(0, WORDS, 1024)], pa.binary())], ["part", "sums"])
 
 
@@ -168,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: in
     learn = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "y")  # `sample` ids at most
     learn = cut(learn)
     contexts = np.zeros((WORDS // 1024, 1024 * WORD_DIM), np.float32)
-    for part, raw in learn.select("text").mapInArrow(_learn_contexts, "part int, sums binary").repartition("part").mapInArrow(_add_parts, "part int, sums binary").collect():  # 4 MB
+    for part, raw in rows.select("text").mapInArrow(_learn_contexts, "part int, sums binary").repartition("part").mapInArrow(_add_parts, "part int, sums binary").collect():  # 4 MB
         contexts[part // 1024] = np.frombuffer(raw, np.float32)
     contexts = contexts.reshape(WORDS, WORD_DIM)
     contexts /= np.sqrt((contexts**2).sum(1, keepdims=True)) + 1e-9

@@ -43,3 +43,21 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
         labels = spark.createDataFrame([(i, y ^ flip if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in data], "doc_id long, quality int")
         out.append(sorted((r.doc_id, round(r.score, 6)) for r in qc.classify(docs, labels).collect()))
     assert out[0] == out[1]
+
+
+def test_context_sums_equal_plain_loops():
+    import pyarrow as pa
+
+    texts = ["a b a c", "", None, "b", "c c A"]
+    got = np.zeros((qc.WORDS, qc.WORD_DIM), np.float32)
+    for b in qc._learn_contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[part : part + 1024] = np.frombuffer(raw, np.float32).reshape(1024, -1)
+    own, want = qc.index_vectors(qc.WORDS, qc.WORD_DIM, 1), np.zeros_like(got)
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        words = qc.tokens(data, np.array([0, len(data)]))[0]
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                want[w] += own[words[j]] * (i != j)
+    assert np.allclose(got, want)
