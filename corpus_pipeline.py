@@ -8,6 +8,11 @@ stage's docs. All but the last return the columns of documents.
 3. Strings of 200 bytes or more that occur twice go from the texts: a passage of 50 words is longer than that.
 4. The documents are put in the order of a mixture of their sources with the target weights; none is dropped.
 5. They are tokenised and packed into sequences of 2048 tokens, which follow the order of the mixture.
+
+Rows: null, empty and very short texts fail the rules and go in stage 1. Of repeated rows one stays in stage 2 (rows that
+share an id are one document there, and all of them stay or go). Null ids pass every stage, but are linked with nothing.
+Null sources are one source, "". Ties go as each operator's docstring says. An empty table gives an empty result with all
+columns. Columns besides those of documents are kept up to stage 4, whatever their names.
 """
 
 from __future__ import annotations

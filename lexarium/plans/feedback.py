@@ -12,7 +12,7 @@ from lexarium.operators import retrieval as R
 from lexarium.operators import tokens as T
 from lexarium.plans.counters import TOK, WORDS
 from lexarium.plans.registry import query
-from lexarium.plans.retrieval import KLD, POST, QM, RM, TOP, _index, _model, _stats
+from lexarium.plans.retrieval import KLD, POST, QM, RM, _index, _model, _stats
 from lexarium.session import cut, shared_dir
 from lexarium.sources import readers, sinks
 
