@@ -94,3 +94,20 @@ def test_packed_sequences_follow_the_mixture(spark):
         assert all(abs(done[s] - w * k) < 64 * packing.WINDOW for s, w in share.items())
         if k % (64 * packing.WINDOW) == 0:  # a window is whole
             assert all(abs(done[s] - w * k) < 64 for s, w in share.items())
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, _ = fixture()
+    odd = [(None, rows[1][1] + " no id", "en", "src0", None), (100, None, None, None, 0), (101, "", "en", "", 0), (102, rows[2][1], None, None, 1), (102, rows[2][1], None, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    spark.createDataFrame(rows + odd, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    out = p.run(spark, f"{tmp_path}/a")
+    ids = {r.doc_id for r in out.collect()}
+    assert None in ids and 100 not in ids and 101 not in ids and 102 not in ids and 2 in ids
+    empty = p.run(spark, f"{tmp_path}/b")
+    assert empty.columns == out.columns and empty.count() == 0

@@ -128,3 +128,11 @@ def test_packing(spark):
         assert [o for o, _ in sorted(held)] == [sum(n for o2, n in held if o2 < o) for o, _ in sorted(held)]
         assert sum(n for _, n in held) <= 2048
     assert packing.pack_documents(df.limit(0), public_path("word_bpe_49k.json"), "words").count() == 0
+
+
+def test_packing_reaches_the_lower_bound_where_small_pieces_abound():
+    rng = np.random.default_rng(4)
+    lengths = np.clip(rng.lognormal(5.3, 1.0, 20_000).astype(int), 2, 2048)
+    table = packing.plan(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), 2048)
+    used = max(first + -(-(end - start) // per) for _, start, end, first, per, _ in table)
+    assert used == -(-int(lengths.sum()) // 2048)
