@@ -79,12 +79,20 @@ def frequent_sequences(rows: DataFrame, support: int, longest: int = 3, sid: str
         rest = F.slice(F.col(items), F.col("at") + 1, F.greatest(F.size(items) - F.col("at"), F.lit(0)))
         nxt = level.select(sid, items, "pattern", "at", F.explode(F.array_distinct(rest)).alias("item"), rest.alias("rest"))
         nxt = nxt.select(sid, items, F.concat("pattern", F.array("item")).alias("pattern"), (F.col("at") + F.array_position("rest", F.col("item"))).cast("int").alias("at"))
-        good = nxt.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        nxt = cut(nxt)
+        good = cut(nxt.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         out = good if out is None else out.unionByName(good)
         level = nxt.join(good.select("pattern"), "pattern", "left_semi")
     return out
 
 
+def closed_sequences(frequent: DataFrame) -> DataFrame:
+    """The patterns of (pattern, n) that no pattern of one more item holds with the same count."""
+    less = F.transform(F.sequence(F.lit(1), F.size("pattern")), lambda i: F.concat(F.slice("pattern", F.lit(1), i - 1), F.slice("pattern", i + 1, F.greatest(F.size("pattern") - i, F.lit(0)))))
+    shorter = frequent.where(F.size("pattern") > 1).select(F.explode(less).alias("pattern"), "n").distinct()
+    return frequent.join(shorter, ["pattern", "n"], "left_anti")
+
+
 def trie(rows: DataFrame, items: str = "items", deepest: int | None = None) -> DataFrame:
     """Counted prefixes: (prefix, depth, cnt, is_leaf)."""
     n = F.size(items) if deepest is None else F.least(F.size(items), F.lit(deepest))

@@ -28,11 +28,20 @@ def abbreviation_groups(t):
     return M.abbreviation_groups(abbreviation_pairs(t))
 
 
-@query(f"""WITH {SEQ}, p1 AS (SELECT DISTINCT sid, [items[i]] AS pattern FROM (SELECT sid, items, unnest(range(1, len(items) + 1)) AS i FROM sq)),
-e AS (SELECT sid, items[i] AS a, i FROM (SELECT sid, items, unnest(range(1, len(items) + 1)) AS i FROM sq)), p2 AS (SELECT DISTINCT x.sid, [x.a, y.a] AS pattern FROM e x JOIN e y ON x.sid = y.sid AND y.i > x.i)
-SELECT pattern, count(*) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY 1 HAVING count(*) >= 5""")
+LEVELS = f"{SEQ}, e AS (SELECT sid, items[i] AS item, i FROM (SELECT sid, items, unnest(range(1, len(items) + 1)) AS i FROM sq)), l0 AS (SELECT sid, []::VARCHAR[] AS pattern, 0 AS p FROM sq), " + ", ".join(
+    f"m{k} AS MATERIALIZED (SELECT l.sid, list_append(pattern, item) AS pattern, min(i) AS p FROM l{k - 1} l JOIN e ON e.sid = l.sid AND e.i > l.p GROUP BY l.sid, pattern, item), f{k} AS (SELECT pattern, count(*) AS n FROM m{k} GROUP BY 1 HAVING count(*) >= 5), l{k} AS (SELECT * FROM m{k} SEMI JOIN f{k} USING (pattern))" for k in range(1, 5)
+)
+ALL = "fq AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4)"
+
+
+@query(f"WITH {LEVELS}, {ALL} SELECT pattern, n FROM fq")
 def frequent_sequences(t):
-    return M.frequent_sequences(_sequences(t), 5, 2)
+    return M.frequent_sequences(_sequences(t), 5, 4)
+
+
+@query(f"WITH {LEVELS}, {ALL}, s AS (SELECT DISTINCT list_concat(pattern[1:i - 1], pattern[i + 1:]) AS pattern, n FROM (SELECT pattern, n, unnest(range(1, len(pattern) + 1)) AS i FROM fq WHERE len(pattern) > 1)) SELECT pattern, n FROM fq ANTI JOIN s USING (pattern, n)")
+def closed_sequences(t):
+    return M.closed_sequences(M.frequent_sequences(_sequences(t), 5, 4))
 
 
 @query(f"WITH {SEQ}, p AS (SELECT items[1:i] AS prefix, i AS depth FROM (SELECT items, unnest(range(1, len(items) + 1)) AS i FROM sq)), c AS (SELECT prefix, any_value(depth)::INT AS depth, count(*) AS cnt FROM p GROUP BY 1) SELECT prefix, depth, cnt, prefix NOT IN (SELECT prefix[1:depth - 1] FROM c WHERE depth > 1) AS is_leaf FROM c")
@@ -145,6 +154,12 @@ def word_vectors(t):
     return L.word2vec(t.documents).select("word", "vector")
 
 
+@query()
+def word_vectors_cbow(t):
+    """Over the questions: training is sequential in each partition, so it takes the smaller table of texts."""
+    return L.cbow(t.benchmark.withColumnRenamed("item_id", "doc_id"), size=20, rounds=2, least=2)
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, rank::INT AS rank FROM (SELECT a.vec_id AS x, b.vec_id AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 20 = 0) JOIN embeddings a ON a.vec_id = x JOIN embeddings b ON b.vec_id = y WHERE rank <= 5")
 def nearest_vectors(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

@@ -242,3 +242,19 @@ def test_file_operations(spark, tmp_path):
     assert files.copy(spark, f"{root}/a/b/x.txt", f"{root}/a/y.txt") and files.move(spark, f"{root}/a/y.txt", f"{root}/z.txt")
     assert [(r.path.rsplit("/", 1)[1], r.length) for r in files.listing(spark, root).collect() if r.path.endswith(".txt")] == [("x.txt", 5), ("z.txt", 5)]
     assert files.remove(spark, f"{root}/a") and not files.remove(spark, f"{root}/a")
+
+
+def test_cbow_puts_words_of_one_context_together(spark):
+    import random
+
+    import numpy as np
+
+    from lexarium.operators.learning import cbow
+
+    rng = random.Random(2)
+    groups = [["sun", "sea", "sand", "beach"], ["bank", "loan", "rate", "bond"]]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(groups[i % 2], k=12))) for i in range(200)], "doc_id long, text string")
+    v = {r.word: np.array(r.vector) for r in cbow(docs, size=12, rounds=4, rate=0.2).collect()}
+    cos = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
+    assert cos("sun", "sea") > cos("sun", "loan") and cos("bank", "bond") > cos("bank", "sand")
+    assert cbow(docs.limit(0)).count() == 0
