@@ -73,13 +73,12 @@ def frequent_sequences(rows: DataFrame, support: int, longest: int = 3, sid: str
     Level by level: a frequent pattern is extended by every item behind its first occurrence; each level is one
     explode and one aggregation with map-side combining, and infrequent patterns go before the next.
     """
-    level = rows.select(sid, items, F.array().cast("array<string>").alias("pattern"), F.lit(0).alias("at"))
-    out = None
-    for _ in range(longest):
+    level, out = rows.select(sid, F.array().cast("array<string>").alias("pattern"), F.lit(0).alias("at")), None
+    for k in range(longest):
         rest = F.slice(F.col(items), F.col("at") + 1, F.greatest(F.size(items) - F.col("at"), F.lit(0)))
-        nxt = level.select(sid, items, "pattern", "at", F.explode(F.array_distinct(rest)).alias("item"), rest.alias("rest"))
-        nxt = nxt.select(sid, items, F.concat("pattern", F.array("item")).alias("pattern"), (F.col("at") + F.array_position("rest", F.col("item"))).cast("int").alias("at"))
-        nxt = cut(nxt)
+        nxt = level.join(rows.select(sid, items), sid).select(sid, "pattern", "at", F.explode(F.array_distinct(rest)).alias("item"), rest.alias("rest"))
+        nxt = nxt.select(sid, F.concat("pattern", F.array("item")).alias("pattern"), (F.col("at") + F.array_position("rest", F.col("item"))).cast("int").alias("at"))
+        nxt = cut(nxt) if k < longest - 1 else nxt  # the last level is only counted
         good = cut(nxt.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         out = good if out is None else out.unionByName(good)
         level = nxt.join(good.select("pattern"), "pattern", "left_semi")
