@@ -157,3 +157,14 @@ def identification_scores(t):
     names = n.select(F.col("s").alias("entity"), F.col("s").alias("sid"), "s")
     found = P.identify(n.select(F.col("s").alias("qid"), F.col("s").alias("q")), names, 2, 3)
     return P.identification_scores(found, n.select(F.col("s").alias("qid"), F.col("s").alias("entity"))).select("k", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, -levenshtein(a, b)::DOUBLE AS score FROM pairs")
+def global_alignment(t):
+    """With no reward and equal penalties the best global alignment is the edit distance."""
+    return _pairs(t).select("a", "b", D.pair_udf(D.needleman_wunsch)(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT DISTINCT b, b[i:j] AS sub FROM (SELECT DISTINCT b FROM pairs), (SELECT unnest(range(1, 40)) AS i), (SELECT unnest(range(0, 40)) AS j) WHERE j >= i - 1 AND j <= length(b) AND i <= length(b) + 1) SELECT a, b, min(levenshtein(a, sub))::INT AS distance FROM (SELECT DISTINCT a FROM pairs), s GROUP BY ALL")
+def substring_distances(t):
+    return _pairs(t).select("a", "b", D.pair_udf(D.substring_distance, "int")(F.col("a"), F.col("b")).alias("distance"))
