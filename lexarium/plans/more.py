@@ -496,7 +496,7 @@ def run_settings(t):
     return t.customer.select("c_custkey", parse(name).alias("s")).select("c_custkey", "s.*")
 
 
-@query("SELECT 'u' || user_id AS qid, round(avg(value) FILTER (event_type = 'click'), 2) AS click, round(avg(value) FILTER (event_type = 'purchase'), 2) AS purchase FROM (SELECT user_id, event_type, round(value, 2) AS value FROM events) GROUP BY 1")
+@query("SELECT 'u' || user_id AS qid, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM (SELECT user_id, event_type, round(value, 2) AS value FROM events) GROUP BY 1")
 def search_log_statistics(t):
     lines = t.events.select(F.concat(F.lit("qid=u"), F.col("user_id").cast("string"), F.lit(" coll="), "event_type", F.lit(" mix="), F.round("value", 2).cast("string")).alias("value"))
-    return X.run_statistics(lines).select("qid", F.round("click", 2).alias("click"), F.round("purchase", 2).alias("purchase"))
+    return X.run_statistics(lines).select("qid", F.round("click", 6).alias("click"), F.round("purchase", 6).alias("purchase"))
