@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarium.functions.arrays import digamma
@@ -64,6 +64,11 @@ def query_model(queries: DataFrame, qid: str = "qid", text: str = "text") -> Dat
     return tf.select("qid", "term", (F.col("tf") / F.sum("tf").over(Window.partitionBy("qid"))).alias("p"))
 
 
+def level(score: Column | str) -> Column:
+    """A positive score's logarithm to 11 places: sums of the same parts in another order are the same level."""
+    return F.round(F.ln(score), 11)
+
+
 def best(scores: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """The k best documents of each query, ranked; ties go to the smaller document."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), doc))
