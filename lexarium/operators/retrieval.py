@@ -107,11 +107,11 @@ def spud(index: Index, model: DataFrame, omega: float = 0.8, b0: float = 500.0)
 
 
 def relevance_model(index: Index, ranked: DataFrame, docs: int = 5, words: int = 20, mu: float = 2000.0) -> DataFrame:
-    """RM1: score-weighted smoothed word probabilities of the best documents; the best words, normalized."""
+    """RM1: score-weighted smoothed word probabilities of the best documents; the best words, normalized, ties by term."""
     feed = index.post.join(small(ranked.where(F.col("rank") <= docs).select("qid", index.doc, "score")), index.doc).join(index.terms, "term").crossJoin(F.broadcast(index.total))
     p = (F.col("tf") + mu * F.col("cf") / F.col("n_tokens")) / (F.col("dl") + mu)
     model = feed.groupBy("qid", "term").agg(F.sum(F.col("score") * p).alias("w"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("w"), "term"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(level("w").desc(), "term"))
     top = model.withColumn("r", rank).where(F.col("r") <= words)
     return top.select("qid", "term", (F.col("w") / F.sum("w").over(Window.partitionBy("qid"))).alias("p"))
 
