@@ -27,7 +27,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", path: str | None = None):
         path = path or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
-        post = T.postings(docs, doc, text)
+        post = T.postings(docs.select(doc, text).repartition(doc), doc, text)  # dealt once, as texts, which are smaller than postings
         own = Window.partitionBy(doc)
         full = post.withColumns({"dl": F.sum("tf").over(own), "dvl": F.count("*").over(own)})
         full.repartitionByRange(F.col("term")).sortWithinPartitions("term", doc).write.parquet(f"{path}/postings")
