@@ -66,7 +66,8 @@ def word_ngrams(words: Column, n: int, sep: str = "_") -> Column:
 
 def qgrams(c: Column, q: int) -> Column:
     """(gram, start) of every q characters; none where the string is shorter."""
-    return F.when(F.length(c) < q, F.array().cast("array<struct<gram:string,start:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - q, F.lit(0))), lambda i: F.struct(F.substring(c, i + 1, F.lit(q)).alias("gram"), i.alias("start"))))
+    found = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1))  # one pass; a substring counts from the front each time
+    return F.transform(found, lambda g, i: F.struct(g.alias("gram"), i.alias("start")))
 
 
 def segments(c: Column, k: int) -> Column:

@@ -19,7 +19,7 @@ from lexarium.operators import tokens as T
 from lexarium.plans.counters import EV2, TOK, WORDS, _ev2
 from lexarium.plans.registry import query
 from lexarium.plans.text import STRINGS, _strings
-from lexarium.session import shared_dir, stored
+from lexarium.session import shared_dir, small, stored
 from lexarium.sources import binary, readers, sinks
 
 V = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -466,16 +466,17 @@ TRI = "tx AS (SELECT doc_id, lang AS label, lower(text) AS s FROM documents), gr
 
 @query(f"WITH {TRI}, ce AS (SELECT label, gram, sum(coalesce(w, 0)) / any_value(n) AS c FROM gu JOIN (SELECT label, count(DISTINCT doc_id) AS n FROM gr GROUP BY 1) USING (label) GROUP BY ALL), cn AS (SELECT label, sqrt(sum(c * c)) AS l FROM ce GROUP BY 1), sc AS (SELECT doc_id, ce.label, round(sum(coalesce(w, 0) * c) / any_value(l), 9) AS s FROM gu JOIN ce USING (gram) JOIN cn ON cn.label = ce.label GROUP BY ALL) SELECT doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS r FROM sc) WHERE r = 1".replace("gu JOIN ce USING (gram)", "gu JOIN ce ON ce.gram = gu.gram"))
 def gram_centroid_classes(t):
-    from lexarium.operators import weighting as W
-
-    low = t.documents.select("doc_id", F.col("lang").alias("label"), F.lower("text").alias("text"))
+    low = t.documents.select("doc_id", F.col("lang").alias("label"), F.lower("text").alias("text")).repartition("doc_id")  # a document's grams are counted and kept together
     tf = low.select("doc_id", "label", F.explode(S.qgrams(F.col("text"), 3)).alias("g")).groupBy("doc_id", "label", F.col("g.gram").alias("gram")).agg(F.count("*").alias("tf"))
     tf = stored(tf)
     n = tf.agg((F.count_distinct("doc_id") + 1).alias("n"))
     idf = tf.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", F.ln(F.col("n") / F.col("df")).alias("idf"))
-    unit = W.unit(tf.join(idf, "gram").withColumn("weight", (F.ln("tf") + 1) * F.col("idf")))
+    weighted = tf.join(small(idf), "gram").withColumn("weight", (F.ln("tf") + 1) * F.col("idf"))
+    length = small(weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")))
+    unit = weighted.join(length, "doc_id").withColumn("weight", F.when(F.col("length") == 0, 0.0).otherwise(F.col("weight") / F.col("length")))
     sizes = tf.groupBy("label").agg(F.count_distinct("doc_id").alias("n"))
     model = unit.groupBy("label", "gram").agg(F.sum("weight").alias("s")).join(F.broadcast(sizes), "label").select("label", "gram", (F.col("s") / F.col("n")).alias("c"))
+    model = small(model)
     norm = model.groupBy("label").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("l"))
     s = unit.select("doc_id", "gram", "weight").join(model, "gram").groupBy("doc_id", "label").agg(F.sum(F.col("weight") * F.col("c")).alias("d")).join(F.broadcast(norm), "label").select("doc_id", "label", F.round(F.col("d") / F.col("l"), 9).alias("s"))
     return s.groupBy("doc_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "label"))["label"].alias("predicted"))
