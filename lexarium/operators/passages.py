@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.operators import learning as L
 from lexarium.operators import retrieval as R
 from lexarium.session import cut, small
 
@@ -173,9 +174,8 @@ def vector_expansion(model: DataFrame, weights: DataFrame, vectors: DataFrame, w
     """
     cells = model.join(weights, "term").join(vectors, "term").select("qid", F.posexplode("v").alias("k", "x"), (F.col("p") * F.col("idf")).alias("w"))
     sums = cells.groupBy("qid", "k").agg(F.sum(F.col("x") * F.col("w")).alias("x")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    sim = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("q"), F.col("q"))), 9)
-    near = vectors.where(~F.col("term").rlike("[0-9]")).crossJoin(small(sums)).select("qid", "term", sim.alias("sim")).where(F.col("sim") >= least)
+    seen = model.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    near = L.products(vectors.where(~F.col("term").rlike("[0-9]")), sums, ["qid"], "term", "v", words + seen, least, scaled=False).withColumnRenamed("found", "term")
     new = near.join(model.select("qid", "term"), ["qid", "term"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "term"))
     mean = model.groupBy("qid").agg(F.avg("p").alias("p"))
