@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.operators import tokens as T
+
 
 def count(df: DataFrame, *keys: str, weight: str | Column | None = None) -> DataFrame:
     """Counts, or sums of a weight, by key."""
@@ -143,6 +145,13 @@ def bigrams(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", term: str
     return tokens.select(F.col(term).alias("first"), nxt.alias("second")).where("second is not null").groupBy("first", "second").agg(F.count("*").cast("double").alias("cnt"))
 
 
+def text_bigrams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Counts of adjacent words of texts; pairs are made inside each row, so no token is dealt."""
+    w = T.words(F.col(text))
+    pairs = docs.select(w.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("first"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("second"))).alias("p"))
+    return pairs.where("p.second is not null").groupBy("p.first", "p.second").agg(F.count("*").cast("double").alias("cnt"))
+
+
 def cooccurrences(tokens: DataFrame, window: int, weighted: bool = False, doc: str = "doc_id", pos: str = "pos", term: str = "term") -> DataFrame:
     """Ordered pairs at distance 1 to window - 1; weighted ones count window - distance + 1 each (window included).
 

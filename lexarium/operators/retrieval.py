@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexarium.functions.arrays import digamma
 from lexarium.operators import tokens as T
-from lexarium.session import cut, shared_dir, small
+from lexarium.session import cut, shared_dir, small, stored, swept
 
 
 class Index:
@@ -157,19 +157,30 @@ def priors(post: DataFrame, terms: DataFrame, total: DataFrame, mu: float = 2000
 
 
 def random_walk(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """Centrality on (src, dst, w): damped power iteration from uniform scores; dangling mass is spread evenly."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    n = nodes.count()
-    flow = edges.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("w"))
-    sources = edges.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
-    base = cut(nodes.join(sources, "node", "left"))
-    flow = cut(flow)
+    """Centrality on (src, dst, w): damped power iteration from uniform scores; dangling mass is spread evenly.
+
+    The edges are dealt by source once and kept in that many files, so no round deals them again.
+    """
+    spark = edges.sparkSession
+    name = f"walk_{uuid.uuid4().hex}"
+    out = edges.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("w"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out.repartition(parts, "src").write.bucketBy(parts, "src").sortBy("src").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    flow = spark.table(name)
+    del out
+    swept(spark)
+    nodes = flow.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
+    base = stored(flow.select(F.col("dst").alias("node")).distinct().join(nodes, "node", "full"))
+    n = base.count()
     rank = base.withColumn("score", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
         got = flow.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
         new = base.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
         rank = cut(new)  # used twice in the next round
+        del lost, got, new
+        swept(spark)
+    spark.sql(f"DROP TABLE {name}")  # its files stay with the other tables of the shared folder
     return rank.select("node", "score")
 
 

@@ -180,7 +180,7 @@ r0 AS (SELECT node, 1.0::DOUBLE / n AS score FROM no, nn), {WALK} SELECT node, r
 def word_centrality(t):
     from lexarium.operators import counters as C
 
-    edges = C.bigrams(T.tokens(t.documents)).toDF("src", "dst", "w")
+    edges = C.text_bigrams(t.documents).toDF("src", "dst", "w")
     return R.random_walk(edges).withColumn("score", F.round("score", 9))
 
 
