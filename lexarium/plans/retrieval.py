@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexarium.operators import blocks as B
 from lexarium.operators import retrieval as R
 from lexarium.operators import tokens as T
 from lexarium.operators import weighting as W
 from lexarium.plans.counters import TOK, WORDS
 from lexarium.plans.registry import query
+from lexarium.session import cut
 
 POST = f"""{TOK}, post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), ds AS (SELECT doc_id, sum(tf) AS dl, count(*) AS dvl FROM post GROUP BY 1),
 ts AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM post GROUP BY 1), tot AS (SELECT count(*) AS n_docs, sum(dl) AS n_tokens, sum(dvl) AS n_postings FROM ds),
@@ -198,7 +200,8 @@ def best_passages(t):
 
 @query(f"""WITH {TOK}, {QM.split(', ma AS')[0]}, x AS (SELECT qid, doc_id, term, lead(term) OVER w AS t2, lead(pos) OVER w - pos AS d FROM tok JOIN qm USING (term) WINDOW w AS (PARTITION BY qid, doc_id ORDER BY pos)) SELECT qid, doc_id, round(1 / (1 + avg(d)), 6) AS score FROM x WHERE t2 <> term GROUP BY ALL""")
 def proximity_score(t):
-    return R.proximity(T.tokens(t.documents), _model(t)).withColumn("score", F.round("score", 6))
+    d = B.neighbour_distances(B.rows_of(t.documents, "doc_id"), cut(_model(t)))
+    return d.select("qid", "doc_id", F.round(1 / (1 + F.col("total") / F.col("n")), 6).alias("score"))
 
 
 @query(f"""WITH {POST}, {QM.split(', ma AS')[0]}, tr(term, other, weight) AS (VALUES ('the', 'a', 0.5), ('the', 'an', 0.5), ('of', 'from', 1.0)) SELECT qid, term, round(sum(p), 6) AS p FROM (SELECT qid, qm.term, p * CASE WHEN term IN ('the', 'of') THEN 0.5 ELSE 1 END AS p FROM qm UNION ALL SELECT qid, other, p * 0.5 * weight FROM qm JOIN tr USING (term)) GROUP BY ALL""")
