@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from lexarium.llm import textkernel as tk
 from lexarium.llm.batches import batch_rows
 from lexarium.llm.textkernel import pack_keys, unpack_keys
-from lexarium.session import cut
+from lexarium.session import cut, shared_dir
+from lexarium.sources.files import remove
 
 #: Bit probes of an entry.
 PROBES = 5
@@ -242,12 +243,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(_SHARDS, (8 * buckets - 1).bit_length())
-    chunks = cut(rows.mapInArrow(_count(buckets, shards), "chunk string, bucket int, body binary, counts binary"))
+    path, made = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", "chunk string, bucket int, body binary, counts binary"
+    rows.mapInArrow(_count(buckets, shards), made).withColumn("kept", F.col("bucket") < buckets).write.partitionBy("kept").parquet(path)
+    chunks = spark.read.schema(f"{made}, kept boolean").parquet(path)
     with batch_rows(spark, 64):
-        asked = chunks.where("bucket >= 0")
+        asked = chunks.where("bucket >= 0").drop("kept")
         answers = cut(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(buckets, least), "chunk string, bucket int, body binary"))
+        remove(spark, f"{path}/kept=false")  # bigrams that are answered; only the texts and their words are read again
         stats = [struct.unpack("<qq", r.body) for r in answers.where("chunk is null").select("body").collect()]  # a row a bucket
     n, v = sum(s[0] for s in stats), sum(s[1] for s in stats)
     with batch_rows(spark, 512):
-        both = chunks.where(F.col("bucket") < buckets).select("chunk", "bucket", "body", F.lit(0).alias("side")).union(answers.where("chunk is not null").select("chunk", "bucket", "body", F.lit(1)))
+        both = chunks.where("kept").select("chunk", "bucket", "body", F.lit(0).alias("side")).union(answers.where("chunk is not null").select("chunk", "bucket", "body", F.lit(1)))
         return cut(both.repartition("chunk").sortWithinPartitions("chunk", "bucket", "side").mapInArrow(_score(n, v, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -104,3 +104,12 @@ def test_bigrams_seen_once_count_where_asked(spark):
         q = {1: 1.0, 2: 2.5}
         want = sum(math.log10((q[1] + lm.MU * base) / (q[m] + lm.MU)) for m in mass.values())
         assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_answered_bigrams_are_removed(spark, monkeypatch, tmp_path):
+    """The rows of bigrams are on disk once more than needed while the texts are scored."""
+    monkeypatch.setattr(lm, "shared_dir", lambda s: f"file://{tmp_path}")
+    got = lm.score(spark.createDataFrame([(1, "a b a b"), (2, "b a")], "doc_id long, text string"), least=1)
+    assert got.count() == 2
+    (kept,) = tmp_path.glob("chunks-*")
+    assert {p.name for p in kept.iterdir() if p.is_dir()} == {"kept=true"}
