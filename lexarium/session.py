@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -53,12 +52,6 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def swept(spark: SparkSession) -> None:
-    """Have shuffle files and checkpoints that nothing refers to any more deleted now, not when memory runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` cut from its lineage, and marked for broadcast if it has at most so many rows."""
     df = cut(df)
