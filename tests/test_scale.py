@@ -180,9 +180,12 @@ def test_clusters_meet_once(spark, monkeypatch):
     calls, search = [], M._best_partners
     monkeypatch.setattr(M, "_best_partners", lambda *a: calls.append(1) or search(*a))
     odd = [(100, None), (101, [0.0] * 6), (102, [float("nan")] * 6), (103, [None] * 6), (104, [0.0] * 6)]
-    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), *odd], "id long, v array<double>")
-    got = dict(tuple(r) for r in M.centroid_clusters(df, 0.7).collect())
+    plain = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = dict(tuple(r) for r in M.centroid_clusters(plain, 0.7).collect())
     assert rounds > 5 and len(calls) == 1
+    assert got == {i: last(i) for i in range(len(v))}
+    df = plain.union(spark.createDataFrame(odd, plain.schema))
+    got = dict(tuple(r) for r in M.centroid_clusters(df, 0.7).collect())
     assert got == {i: last(i) for i in range(len(v))} | {100: 100, 101: 101, 102: 102, 103: 103, 104: 101}
     monkeypatch.setattr(M, "BLOCK", 30)
     few = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:12])], "id long, v array<double>")
