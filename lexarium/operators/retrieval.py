@@ -69,6 +69,11 @@ def level(score: Column | str) -> Column:
     return F.round(F.ln(score), 11)
 
 
+def exact(part: Column | str) -> Column:
+    """A sum to 2^-50 that no order of its rows changes, as of integers; above 8,000 or so it raises."""
+    return F.sum(F.rint((F.col(part) if isinstance(part, str) else part) * 2.0**50).cast("long")) / F.lit(2.0**50)
+
+
 def best(scores: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """The k best documents of each query, ranked; ties go to the smaller document."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), doc))
@@ -83,11 +88,11 @@ def likelihood(index: Index, model: DataFrame, mu: float = 2000.0) -> DataFrame:
 
 
 def divergence(index: Index, model: DataFrame, mu: float = 2000.0) -> DataFrame:
-    """exp of minus the divergence of the query model from each matching document's smoothed model."""
+    """exp of minus the divergence of the query model from each matching document's smoothed model. Copies score exactly alike."""
     pc = F.col("cf") / F.col("n_tokens")
     model = cut(model)
-    base = index.known(model).groupBy("qid").agg(F.sum(F.col("p") * F.ln(F.col("p") / (mu * pc))).alias("base"), F.sum("p").alias("mass"))
-    own = index.matches(model).groupBy("qid", index.doc, "dl").agg(F.sum(F.col("p") * F.ln(1 + F.col("tf") / (mu * pc))).alias("m"))
+    base = index.known(model).groupBy("qid").agg(exact(F.col("p") * F.ln(F.col("p") / (mu * pc))).alias("base"), exact("p").alias("mass"))
+    own = index.matches(model).groupBy("qid", index.doc, "dl").agg(exact(F.col("p") * F.ln(1 + F.col("tf") / (mu * pc))).alias("m"))
     return own.join(base, "qid").select("qid", index.doc, F.exp(F.col("m") - F.col("base") - F.col("mass") * F.ln(F.col("dl") + mu)).alias("score"))
 
 
