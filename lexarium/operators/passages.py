@@ -148,8 +148,8 @@ def document_graph(index: R.Index, ranked: DataFrame, docs: int = 20, top: int =
     dst = feed.select("qid", F.col(d).alias("dst"), "term", F.col("tf").alias("td"))
     lengths = feed.select("qid", F.col(d).alias("dst"), F.col("dl").alias("dd")).distinct()
     # sum of ps ln(ps (dd + mu) / (td + mu pc)): the part without td, and what matching words add
-    alone = src.groupBy("qid", "src").agg(F.sum(F.col("ps") * F.ln(F.col("ps") / (mu * F.col("pc")))).alias("a"))
-    match = src.join(dst, ["qid", "term"]).where("src <> dst").groupBy("qid", "src", "dst").agg(F.sum(F.col("ps") * F.ln(1 + F.col("td") / (mu * F.col("pc")))).alias("m"))
+    alone = src.groupBy("qid", "src").agg(R.exact(F.col("ps") * F.ln(F.col("ps") / (mu * F.col("pc")))).alias("a"))
+    match = src.join(dst, ["qid", "term"]).where("src <> dst").groupBy("qid", "src", "dst").agg(R.exact(F.col("ps") * F.ln(1 + F.col("td") / (mu * F.col("pc")))).alias("m"))
     w = match.join(alone, ["qid", "src"]).join(lengths, ["qid", "dst"]).select("qid", "src", "dst", F.round(F.exp(F.col("m") - F.col("a") - F.ln(F.col("dd") + mu)), 12).alias("w"))
     rank = F.row_number().over(Window.partitionBy("qid", "src").orderBy(F.desc("w"), "dst"))
     return w.withColumn("r", rank).where(F.col("r") <= top).drop("r")
